@@ -10,6 +10,7 @@ STABILITY_FACTOR = {1: 0.5, 2: 1.3, 3: 2.5, 4: 4.0}
 LAPSE_STABILITY_FLOOR = 0.5
 INTERVAL_FACTOR = 0.10536
 SECONDS_PER_DAY = 86400
+LAST_SECOND = 253402300799.0
 RATING_CORRECT = 3
 RATING_WRONG = 1
 

@@ -23,9 +23,10 @@ def retrievability(stability: Column, last_review_at: Column, as_of: Column) ->
 
 
 def next_review_at(last_review_at: Column, stability: Column) -> Column:
-    """Due time in whole seconds."""
+    """Due time in whole seconds, at most the end of the year 9999."""
     seconds = F.unix_seconds(last_review_at.cast("timestamp"))
-    return F.timestamp_seconds(F.floor(seconds + stability * V.INTERVAL_FACTOR * V.SECONDS_PER_DAY))
+    at = seconds + stability * V.INTERVAL_FACTOR * V.SECONDS_PER_DAY
+    return F.timestamp_seconds(F.floor(F.least(at, F.lit(V.LAST_SECOND))))
 
 
 def answer_to_rating(is_correct: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,3 +74,13 @@ def stable_id(kind: T.DataType, *parts: Column) -> Column:
         text = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
         return F.sha2(F.concat_ws("\u001f", *text), 256)
     return F.xxhash64(*parts).cast(kind)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row.
+
+    A one-element generator keeps the optimizer from copying an expensive
+    expression (parsing, say) into every later use and filter.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*df.columns, F.inline(F.array(row)))

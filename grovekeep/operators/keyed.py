@@ -20,9 +20,11 @@ from ..scratch import kept
 HOT_ROWS = 1_000_000
 
 
-def same_key(left: DataFrame, right: DataFrame, names) -> Column:
-    """Equality on ``names`` in which null matches null."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``names``, a null key matching null; the key columns come from the left."""
+    renamed = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    match = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names])
+    return left.join(renamed, match, how).drop(*[f"_right_{n}" for n in names])
 
 
 def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
@@ -37,8 +39,7 @@ def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame |
 
 def split_hot(df: DataFrame, by: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows outside and inside the hot groups."""
-    match = same_key(df, hot, by)
-    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
+    return null_safe_join(df, hot, by, "left_anti"), null_safe_join(df, hot, by, "left_semi")
 
 
 def sliced(df: DataFrame, by: list[str], order: list[Column], rows: int, per_slice: int) -> DataFrame:
@@ -78,10 +79,8 @@ def running_sums(
     offsets = offsets.select(
         *keys, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in values]
     )
-    local = through_window(cuts, keys)
-    done = local.join(offsets, same_key(local, offsets, keys)).select(
-        *[local[c] for c in df.columns], *[(local[name] + offsets[f"_{name}"]).alias(name) for name in values]
-    )
+    joined = null_safe_join(through_window(cuts, keys), offsets, keys)
+    done = joined.select(*df.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in values])
     return through_window(cold_part, by).unionByName(done)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from ..functions.scalars import strip
-from .keyed import first_rows
+from ..functions.scalars import computed_once, strip
+from .keyed import first_rows, null_safe_join
 
 
 def scan_nodes(nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,8 +33,7 @@ def node_view(nodes: DataFrame) -> DataFrame:
 
 def null_safe_parent_match(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """Nodes whose (owner, parent) is listed, a null parent matching null."""
-    same = nodes["owner_id"].eqNullSafe(parents["owner_id"]) & nodes["parent_id"].eqNullSafe(parents["parent_id"])
-    return nodes.join(parents, same, "left_semi")
+    return null_safe_join(nodes, parents, ["owner_id", "parent_id"], "left_semi")
 
 
 def non_blank_content(nodes: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def ingest_json_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     and the position among the accepted items as order.
     """
     items = F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")
-    parsed = raw.withColumn("_items", items)
+    parsed = computed_once(raw, _items=items)
 
     def is_text(item: Column, key: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(item, f"$.{key}", "variant")) == "STRING", F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
 STRIDE = 20
+STREAM_DELAY = "1 hour"
 
 TAG_RULES = {"color": ["blue", "red"], "size": ["large", "small"], "tool": ["bolt", "gear"]}
 STYLE_RULES = [("color", 0.40, "sakura"), ("size", 0.30, "cyberpunk"), ("tool", 0.10, "ink")]
@@ -25,6 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = read(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _days_before(days: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(as_of()) - days * 86400)
 
@@ -105,14 +112,17 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return reviews_of(read(spark, sf_dir, "events"))
+
+
+def reviews_of(events: DataFrame) -> DataFrame:
     rating = (
         F.when(F.col("event_type") == "error", 1)
         .when(F.col("event_type") == "view", 2)
         .when(F.col("event_type") == "purchase", 4)
         .otherwise(3)
     )
-    return e.select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("owner_id"),
         F.pmod(F.get_json_object("props", "$.k").cast("bigint"), F.lit(8)).alias("node_id"),
@@ -162,9 +172,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of(read(spark, sf_dir, "lineitem"))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
     """Attempts; the key columns tell equal-time attempts apart."""
-    li = read(spark, sf_dir, "lineitem")
-    return li.select(
+    return lines.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").cast("bigint").alias("line"),
         F.col("l_extendedprice").alias("price"),
@@ -176,9 +189,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RECORD_ORDER = ("answered_at", "order_key", "line", "price")
-
-
 def taggable(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     return p.select(

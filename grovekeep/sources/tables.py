@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECALL_DEFAULTS = {
@@ -21,26 +22,23 @@ NODE_DEFAULTS = {
 }
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-USERS = _schema("id string not null, username string, created_at timestamp")
-NODES = _schema(
+# Schemas as DDL text.
+USERS = "id string not null, username string, created_at timestamp"
+NODES = (
     "id string not null, owner_id string not null, name string, content string, parent_id string, "
     "sort_order double, depth bigint, domain_tag string, mastery_score double, is_deleted boolean, "
     "created_at timestamp, updated_at timestamp, stability double, difficulty double, "
     "last_review_at timestamp, next_review_at timestamp, review_count bigint, review_state string"
 )
-EDGES = _schema("parent_id string, child_id string, sort_order double, relationship_type string")
-QUESTIONS = _schema(
+EDGES = "parent_id string, child_id string, sort_order double, relationship_type string"
+QUESTIONS = (
     "id string not null, node_id string, owner_id string, question string, options string, correct_index int, "
     "explanation string, question_type string, difficulty string, created_at timestamp"
 )
-RECORDS = _schema(
+RECORDS = (
     "id string not null, node_id string, owner_id string, question_id string, is_correct boolean, answered_at timestamp"
 )
-REVIEWS = _schema("event_id string not null, owner_id string, node_id string, rating int, reviewed_at timestamp")
+REVIEWS = "event_id string not null, owner_id string, node_id string, rating int, reviewed_at timestamp"
 
 SCHEMAS = {
     "users": USERS, "nodes": NODES, "edges": EDGES, "quiz_questions": QUESTIONS,
@@ -64,8 +62,6 @@ def write_table(df: DataFrame, folder: str, name: str, *, mode: str = "errorifex
 
 def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one JSON array, as rows (source, raw)."""
-    from pyspark.sql import functions as F
-
     return spark.read.option("wholetext", "true").text(path).select(
         F.input_file_name().alias("source"), F.col("value").alias("raw")
     )
