@@ -80,8 +80,8 @@ def _block_start() -> Column:
 
 
 def _scaled(factor: Column, s: Column) -> Column:
-    """Product in which an infinite stability stays infinite."""
-    return F.when(s == float("inf"), s).otherwise(factor * s)
+    """Product in which an infinite stability stays infinite, and zero stays zero."""
+    return F.when((s == float("inf")) | (s == 0), s).otherwise(factor * s)
 
 
 def _clamp(x: Column, low: Column, high: Column) -> Column:

@@ -850,7 +850,13 @@ def daily_review_counts(spark, d):
 
 @query
 def recall_state_stream(spark, d):
-    changes = jobs.recall_state_stream(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
+    states = jobs.fold_stream(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY_SECONDS)
+    return _state_columns(states, "owner_id", "node_id")
+
+
+@query
+def recall_state_stream_keyed(spark, d):
+    changes = jobs.recall_state_changes(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
     return _state_columns(jobs.latest_states(jobs.run_to_table(changes)), "owner_id", "node_id")
 
 

@@ -386,7 +386,8 @@ sql("recall_state_fold_mixed_log", f"""
            {time("last_review_at")} AS last_review_at FROM mixed_final""")
 sql("recall_state_history", _state("fold", "owner_id", "node_id", "event_id"))
 sql("daily_review_counts", "SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews GROUP BY ALL")
-sql("recall_state_stream", _state("passed_final", "owner_id", "node_id"))
+sql("recall_state_stream", _state("settled_final", "owner_id", "node_id"))
+sql("recall_state_stream_keyed", _state("passed_final", "owner_id", "node_id"))
 sql("daily_review_counts_stream", """
     SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews
     GROUP BY owner_id, strftime(reviewed_at, '%Y-%m-%d'), date_trunc('day', reviewed_at)

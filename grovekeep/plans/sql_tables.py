@@ -289,6 +289,8 @@ TABLES["both_logs"] = """
            date_trunc('second', reviewed_at) + INTERVAL 1 HOUR FROM reviews"""
 TABLES["mixed_log"] = f"SELECT *, {_RANKED} FROM both_logs"
 TABLES["passed_log"] = f"SELECT * FROM log WHERE ceil(epoch_us(reviewed_at) / 1000)::BIGINT < {_MARK}"
+TABLES["settled_log"] = "SELECT * FROM log WHERE reviewed_at < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+TABLES["settled_fold"] = _fold("settled_log", "settled_fold")
 TABLES["fold"] = _fold("log", "fold")
 TABLES["mixed_fold"] = _fold("mixed_log", "mixed_fold")
 TABLES["passed_fold"] = _fold("passed_log", "passed_fold")
@@ -300,6 +302,7 @@ def _last(fold: str) -> str:
 
 TABLES["final"] = _last("fold")
 TABLES["mixed_final"] = _last("mixed_fold")
+TABLES["settled_final"] = _last("settled_fold")
 TABLES["passed_final"] = _last("passed_fold")
 
 TABLES["raw_questions"] = """

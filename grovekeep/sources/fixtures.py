@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 STRIDE = 20
 STREAM_DELAY = "1 hour"
+STREAM_DELAY_SECONDS = 3600
 
 TAG_RULES = {"color": ["blue", "red"], "size": ["large", "small"], "tool": ["bolt", "gear"]}
 STYLE_RULES = [("color", 0.40, "sakura"), ("size", 0.30, "cyberpunk"), ("tool", 0.10, "ink")]

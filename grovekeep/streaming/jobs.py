@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as V
 from ..operators.keyed import last_rows
-from ..operators.recall import KEY, with_next_review
+from ..operators.recall import KEY, recall_state_fold, with_next_review
 from ..operators.scans import insert_ignore as new_rows
 from ..scratch import new_path
 
@@ -63,12 +63,13 @@ def _fold_key(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) ->
                            columns=[*KEY, "stability", "difficulty", "review_count", "review_state", "last_review_at"])
 
 
-def recall_state_stream(reviews: DataFrame, delay: str) -> DataFrame:
+def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
     """Changes of recall state of a review stream, one row per key and advance.
 
     Reviews are applied in (time, id) order once the watermark, ``delay`` behind
     the newest event, has passed them; reviews older than that are dropped.
-    Only the wait buffer and the current state are stored per key.
+    Only the wait buffer and the current state are stored per key.  This is the
+    low-latency form; :func:`fold_batches` suits large batches.
     """
     keys = [f.dataType.simpleString() for f in (reviews.schema[k] for k in KEY)]
     out = (
@@ -79,6 +80,64 @@ def recall_state_stream(reviews: DataFrame, delay: str) -> DataFrame:
     return marked.groupBy(*KEY).applyInPandasWithState(_fold_key, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Batch writer that folds a review stream with native expressions only.
+
+    Tables under ``path``, each with one folder per batch:
+    ``state`` the state of every key; ``pending`` reviews newer than the mark,
+    which trails the newest review by ``delay_seconds``; ``mark`` that time;
+    ``late`` reviews that came after the mark had passed them.  A batch reads
+    what the batch before it left and rewrites its own folders when replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def store(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}/batch={batch_id}")
+
+        def before(name: str, schema) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch_id - 1}")
+
+        fresh = batch.select(*KEY, "event_id", "rating", "reviewed_at")
+        at = F.unix_micros("reviewed_at")
+        initial, passed = None, None
+        if batch_id > 0:
+            passed = before("mark", "mark bigint").first()["mark"]
+            initial = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
+        late = F.lit(False) if passed is None else at < passed
+        store(fresh.where(late), "late")
+        waiting = fresh.where(~late)
+        if batch_id > 0:
+            waiting = waiting.unionByName(before("pending", fresh.schema))
+        waiting = store(waiting, "waiting")
+        newest = F.max(at) - delay_seconds * 1_000_000
+        mark = store(waiting.agg(F.greatest(newest, F.lit(passed).cast("bigint")).alias("mark")), "mark").first()["mark"]
+        due = F.lit(False) if mark is None else at < mark
+        store(waiting.where(~due), "pending")
+        states = recall_state_fold(waiting.where(due), initial)
+        if initial is not None:
+            states = initial.join(states.select(*KEY), KEY, "left_anti").unionByName(states)
+        store(states, "state")
+
+    return write
+
+
+def fold_stream(reviews: DataFrame, delay_seconds: int) -> DataFrame:
+    """Process all available reviews through :func:`fold_batches`; the last state table."""
+    spark = reviews.sparkSession
+    path = new_path(spark, "stream")
+    running = (
+        reviews.writeStream.foreachBatch(fold_batches(path, delay_seconds)).trigger(availableNow=True)
+        .option("checkpointLocation", f"{path}/checkpoint").start()
+    )
+    running.awaitTermination()
+    states = spark.read.parquet(f"{path}/state")
+    last = states.agg(F.max("batch")).first()[0]
+    return states.where(F.col("batch").eqNullSafe(last)).drop("batch")
+
+
 def latest_states(changes: DataFrame) -> DataFrame:
     """Current state per key of a table of state changes."""
     return with_next_review(last_rows(changes, KEY, [F.col("review_count")]))
