@@ -210,13 +210,13 @@ def blocked_move_targets(moving: DataFrame, closure: DataFrame, nodes: DataFrame
 
 def child_count(nodes: DataFrame) -> DataFrame:
     """Live children of every live node, 0 for leaves."""
-    live = live_nodes(nodes)
-    counted = (
-        live.where(F.col("parent_id").isNotNull())
-        .groupBy("owner_id", F.col("parent_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("child_count"))
-    )
-    return live.select("owner_id", "id").join(counted, ["owner_id", "id"], "left").fillna(0, ["child_count"])
+    counted = _children_per_parent(nodes)
+    return live_nodes(nodes).select("owner_id", "id").join(counted, ["owner_id", "id"], "left").fillna(0, ["child_count"])
+
+
+def _children_per_parent(nodes: DataFrame) -> DataFrame:
+    child = live_nodes(nodes).where(F.col("parent_id").isNotNull())
+    return child.groupBy("owner_id", F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("child_count"))
 
 
 def subtree_shape(nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -227,7 +227,8 @@ def subtree_shape(nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     links = (
         parent_link(nodes, carry=carry)
-        .join(child_count(nodes), ["owner_id", "id"])
+        .join(_children_per_parent(nodes), ["owner_id", "id"], "left")
+        .fillna(0, ["child_count"])
         .withColumn("subtree_size", F.lit(1).cast("bigint"))
         .withColumn("leaves", F.when(F.col("child_count") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
     )

@@ -99,15 +99,22 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int, out: str
     return df.withColumn(out, F.row_number().over(frame)).where(F.col(out) <= n)
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """First row of each group; a map-side combined aggregate."""
-    rest = [c for c in df.columns if c not in by]
-    picked = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*by).agg(picked).select(*by, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
-def last_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Last row of each group; a map-side combined aggregate."""
-    rest = [c for c in df.columns if c not in by]
-    picked = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*by).agg(picked).select(*by, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+def _extreme_rows(df: DataFrame, by: list[str], order: list[str], pick) -> DataFrame:
+    rest = [c for c in df.columns if c not in by and c not in order]
+    row = F.struct(*order, *rest)
+    grouped = df.groupBy(*by).agg(pick(row).alias("_row"))
+    return grouped.select(*[F.col(c) if c in by else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Row of each group that comes first by the ``order`` columns.
+
+    The minimum of one struct, order columns in front: combined before the
+    shuffle, so a hot group ships one row per input partition.
+    """
+    return _extreme_rows(df, by, order, F.min)
+
+
+def last_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Row of each group that comes last by the ``order`` columns; see :func:`first_rows`."""
+    return _extreme_rows(df, by, order, F.max)

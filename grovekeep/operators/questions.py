@@ -34,8 +34,8 @@ def latest_attempts(records: DataFrame, tie_break: list[str]) -> DataFrame:
     """Last attempt of every owner at every question."""
     names = ["question_id", "owner_id", "is_correct"]
     columns = list(dict.fromkeys([*names, "answered_at", *tie_break]))
-    order = [F.col("answered_at"), *[F.col(c) for c in tie_break]]
-    return last_rows(records.where(F.col("question_id").isNotNull()).select(*columns), ["question_id", "owner_id"], order)
+    tried = records.where(F.col("question_id").isNotNull()).select(*columns)
+    return last_rows(tried, ["question_id", "owner_id"], ["answered_at", *tie_break])
 
 
 def question_latest_attempt(questions: DataFrame, records: DataFrame, tie_break: list[str]) -> DataFrame:

@@ -291,18 +291,21 @@ def due_queue(states: DataFrame, as_of: Column, limit: int = V.DEFAULT_LIMIT, *,
     return top_rows(rows, ["owner_id"], order, limit).drop("mastery")
 
 
+def _questions_per_node(questions: DataFrame) -> DataFrame:
+    return questions.groupBy("owner_id", F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("question_count"))
+
+
 def question_counts(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions of every live node, 0 included."""
-    counted = questions.groupBy("owner_id", F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("question_count"))
     live = nodes.where(~F.col("is_deleted")).select("owner_id", "id")
-    return live.join(counted, ["owner_id", "id"], "left").fillna(0, ["question_count"])
+    return live.join(_questions_per_node(questions), ["owner_id", "id"], "left").fillna(0, ["question_count"])
 
 
 def quiz_node_stats(states: DataFrame, questions: DataFrame, as_of: Column) -> DataFrame:
     """Decayed mastery, recall fields and question count of every live node."""
-    live = states.where(~F.col("is_deleted"))
-    counts = question_counts(live, questions)
-    return decayed(live, as_of).join(counts, ["owner_id", "id"]).select(
+    live = decayed(states.where(~F.col("is_deleted")), as_of)
+    counted = live.join(_questions_per_node(questions), ["owner_id", "id"], "left")
+    return counted.select(
         "owner_id",
         "id",
         "name",
@@ -311,7 +314,7 @@ def quiz_node_stats(states: DataFrame, questions: DataFrame, as_of: Column) -> D
         round_half_even(F.col("difficulty"), 4).alias("difficulty"),
         "review_count",
         "review_state",
-        "question_count",
+        F.coalesce("question_count", F.lit(0).cast("bigint")).alias("question_count"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.scalars import choose, stable_id, strip
 from ..scratch import keep, kept
-from .hierarchy import climb, display_order, is_descendant, live_nodes, parent_link, preorder_rows
+from .hierarchy import climb, display_order, live_nodes, parent_link
 from .keyed import HOT_ROWS, first_rows, last_rows, null_safe_join, rank_rows
 from .tagging import match_parent
 
@@ -80,7 +80,7 @@ def apply_creates(
     clash = sibling_conflicts(named, nodes, enforce_root=enforce_root)
     free = named.join(clash.select("seq"), "seq", "left_anti")
     guarded = free if enforce_root else free.where(F.col("parent_id").isNotNull())
-    winners = first_rows(guarded, [*SIBLING_KEY, "name"], [F.col("seq")])
+    winners = first_rows(guarded, [*SIBLING_KEY, "name"], ["seq"])
     repeats = guarded.join(winners.select("seq"), "seq", "left_anti")
     accepted = free.join(repeats.select("seq"), "seq", "left_anti")
     rejects = _reject(empty, "empty_name").unionByName(_reject(clash, "name_taken")).unionByName(
@@ -95,7 +95,7 @@ def apply_content_updates(nodes: DataFrame, updates: DataFrame) -> tuple[DataFra
     live = live_nodes(nodes).select("owner_id", "id")
     rejects = _reject(updates.join(live, ["owner_id", "id"], "left_anti"), "node_not_found")
     valid = updates.join(live, ["owner_id", "id"], "left_semi")
-    last = last_rows(valid, ["owner_id", "id"], [F.col("at"), F.col("seq")]).select(
+    last = last_rows(valid, ["owner_id", "id"], ["at", "seq"]).select(
         "owner_id", "id", F.col("content").alias("_content"), F.col("at").alias("_at")
     )
     joined = nodes.join(last, ["owner_id", "id"], "left")
@@ -173,15 +173,25 @@ def apply_promote_delete(
 # --- moves -----------------------------------------------------------------------
 
 
-def move_conflicts(nodes: DataFrame, moves: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """``moves(seq, owner_id, id, new_parent_id)`` with ``reason``, the first that applies.
+def _moving_above(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """id and ``near``: the closest moving node at or above each live node.
 
-    null        the move is fine
-    no_op       the node is already there
-    ``order`` is the result of ``preorder_rows``, computed here if not given.
+    Only nodes that stay point upward, so one climb stops at the first mover.
+    Every further question about a batch is then one about its movers alone.
     """
-    order = preorder_rows(nodes) if order is None else order
+    movers = moves.select("id").distinct().withColumn("_mover", F.lit(True))
+    links = parent_link(nodes).join(movers, "id", "left").fillna(False, ["_mover"])
+    stops = links.select("id", F.when(~F.col("_mover"), F.col("up")).alias("up"), "_mover")
+    tops = climb(stops, carry=("_mover",))
+    reached = movers.select(F.col("id").alias("root"), F.col("id").alias("near"))
+    return tops.join(reached, "root").select("id", "near")
+
+
+def _judge(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves`` with ``reason``, the moving name, and the closest movers
+    above the present parent (``above``) and at or above the new one (``ahead``)."""
     live = live_nodes(nodes)
+    near = kept(_moving_above(nodes, moves), "movers")
     here = live.select("owner_id", "id", F.col("parent_id").alias("_from"), F.col("name").alias("_name"), F.lit(True).alias("_known"))
     there = live.select("owner_id", F.col("id").alias("new_parent_id"), F.lit(True).alias("_target"))
     taken = (
@@ -191,9 +201,14 @@ def move_conflicts(nodes: DataFrame, moves: DataFrame, order: DataFrame | None =
     )
     rows = moves.join(here, ["owner_id", "id"], "left").join(there, ["owner_id", "new_parent_id"], "left")
     rows = rows.join(taken, ["owner_id", "new_parent_id", "_name"], "left")
-    pairs = rows.withColumnsRenamed({"id": "ancestor", "new_parent_id": "candidate"})
-    rows = is_descendant(pairs, order).withColumnsRenamed({"ancestor": "id", "candidate": "new_parent_id"})
-    below = F.col("is_descendant") | F.coalesce(F.col("id") == F.col("new_parent_id"), F.lit(False))
+    rows = rows.join(near.select(F.col("id").alias("_from"), F.col("near").alias("above")), "_from", "left")
+    rows = rows.join(near.select(F.col("id").alias("new_parent_id"), F.col("near").alias("ahead")), "new_parent_id", "left")
+
+    # Movers above each mover: the node is among them if the new parent is below it.
+    chain = rows.where("_known").select("id", F.col("above").alias("up"), F.col("id").alias("trail")).dropDuplicates(["id"])
+    trails = climb(chain, trails=("trail",)).select(F.col("id").alias("ahead"), F.col("trail").alias("_trail"))
+    rows = rows.join(trails, "ahead", "left")
+    below = F.coalesce(F.array_contains("_trail", F.col("id")), F.lit(False)) | F.coalesce(F.col("id") == F.col("new_parent_id"), F.lit(False))
     reason = choose(
         [
             (F.col("_known").isNull(), F.lit("node_not_found")),
@@ -204,24 +219,22 @@ def move_conflicts(nodes: DataFrame, moves: DataFrame, order: DataFrame | None =
         ],
         F.lit(None).cast("string"),
     )
-    return rows.withColumn("reason", reason).select(*moves.columns, "reason", "_name")
+    return rows.withColumn("reason", reason).select(*moves.columns, "reason", "_name", "above", "ahead")
 
 
-def _joint_cycles(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Moves that lie on a cycle once all of ``accepted`` are carried out.
+def move_conflicts(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves(seq, owner_id, id, new_parent_id)`` with ``reason``, the first that applies.
 
-    Going up from a moved node's new parent, the next moved node is what
-    matters; a cycle among the moves is a cycle of that much smaller graph.
+    null for a move that is fine, ``no_op`` if the node is already there.
     """
-    moved = accepted.select("id", F.lit(True).alias("_moved"))
-    links = parent_link(nodes).join(moved, "id", "left")
-    stops = links.select("id", F.when(F.col("_moved").isNull(), F.col("up")).alias("up"), F.coalesce("_moved", F.lit(False)).alias("_stop"))
-    tops = climb(stops, carry=("_stop",)).select(F.col("id").alias("new_parent_id"), "root")
-    stopping = accepted.select(F.col("id").alias("root"), F.col("id").alias("up"))
-    graph = accepted.join(tops, "new_parent_id", "left").join(stopping, "root", "left").select("id", "up", F.col("id").alias("trail"))
-    walked = climb(graph, trails=("trail",), wrap=True).where(F.col("root").isNull())
+    return _judge(nodes, moves).select(*moves.columns, "reason")
+
+
+def _joint_cycles(graph: DataFrame) -> DataFrame:
+    """Moves on a cycle, of ``graph(id, up)``: each mover's next mover upward."""
+    walked = climb(graph.withColumn("trail", F.col("id")), trails=("trail",), wrap=True).where(F.col("root").isNull())
     met_again = F.size(F.filter("trail", lambda t: t == F.col("id"))) > 1
-    return walked.where(met_again).select("id")
+    return walked.where(met_again).select("id", F.lit(True).alias("_cyclic"))
 
 
 def apply_moves(
@@ -232,27 +245,33 @@ def apply_moves(
     One move per node and batch, the first; of two arrivals with one name at one
     parent the first wins; moves that would jointly close a cycle are rejected.
     """
-    single = first_rows(moves, ["owner_id", "id"], [F.col("seq")])
+    single = first_rows(moves, ["owner_id", "id"], ["seq"])
     repeated = moves.join(single.select("seq"), "seq", "left_anti")
-    judged = kept(move_conflicts(nodes, single), "moves")
-    rejects = _reject(repeated, "moved_twice").unionByName(judged.where(F.col("reason").isNotNull()).drop("_name"))
-    accepted = judged.where(F.col("reason").isNull()).drop("reason")
-    named = accepted.where(F.col("new_parent_id").isNotNull())
-    winners = first_rows(named, ["owner_id", "new_parent_id", "_name"], [F.col("seq")])
-    losers = named.join(winners.select("seq"), "seq", "left_anti")
-    rejects = rejects.unionByName(_reject(losers.drop("_name"), "name_taken_in_batch"))
-    accepted = accepted.join(losers.select("seq"), "seq", "left_anti")
-
-    # Turning moves down can expose another cycle, so look again until none is left.
+    judged = kept(_judge(nodes, single), "moves")
+    named = judged.where(F.col("reason").isNull() & F.col("new_parent_id").isNotNull())
+    winners = first_rows(named, ["owner_id", "new_parent_id", "_name"], ["seq"])
+    losers = named.join(winners.select("seq"), "seq", "left_anti").select("seq", F.lit("name_taken_in_batch").alias("_lost"))
+    judged = judged.join(losers, "seq", "left").withColumn("reason", F.coalesce("reason", "_lost")).drop("_lost")
+
+    # A rejected mover keeps its old place, which can close another cycle: look
+    # again until none is left.  Accepted movers that lead nowhere end the walk.
     while True:
-        accepted = kept(accepted, "accepted-moves")
-        cyclic, seen = keep(_joint_cycles(nodes, accepted), "joint-cycles", n=F.count(F.lit(1)))
+        leads_on = F.col("reason").isNull() & F.col("ahead").isNotNull()
+        judged, seen = keep(judged, "judged-moves", n=F.count_if(leads_on))
         if not seen.get("n"):
             break
-        turned_down = accepted.join(cyclic, "id", "left_semi")
-        rejects = rejects.unionByName(_reject(turned_down.drop("_name"), "joint_cycle"))
-        accepted = accepted.join(cyclic, "id", "left_anti")
+        movers = judged.where(F.coalesce(F.col("reason") != "node_not_found", F.lit(True)))
+        graph = movers.select("id", F.when(F.col("reason").isNull(), F.col("ahead")).otherwise(F.col("above")).alias("up"))
+        accepted = judged.where(F.col("reason").isNull())
+        cyclic, found = keep(_joint_cycles(graph).join(accepted, "id", "left_semi"), "joint-cycles", n=F.count(F.lit(1)))
+        if not found.get("n"):
+            break
+        broken = F.when(F.col("_cyclic"), F.lit("joint_cycle")).otherwise(F.col("reason"))
+        judged = judged.join(cyclic, "id", "left").withColumn("reason", broken).drop("_cyclic")
 
+    columns = [*moves.columns, "reason"]
+    rejects = _reject(repeated, "moved_twice").select(*columns).unionByName(judged.where(F.col("reason").isNotNull()).select(*columns))
+    accepted = judged.where(F.col("reason").isNull())
     arrivals = accepted.select("seq", "owner_id", "id", F.col("new_parent_id").alias("parent_id"))
     placed = append_order(nodes, arrivals, hot_rows=hot_rows).select(
         "id", F.col("parent_id").alias("_parent"), F.col("sort_order").alias("_order"), F.lit(True).alias("_moved")
@@ -289,7 +308,7 @@ def resolve_names(
     rows = rows.withColumn("final_name", name).drop("_nth", "_taken", "_suffixed", "_suffix_taken")
     # A suffixed name may also have been asked for as such: the first stays.
     named = rows.where(F.col("final_name").isNotNull())
-    winners = first_rows(named.select(*SIBLING_KEY, "final_name", "seq"), [*SIBLING_KEY, "final_name"], [F.col("seq")])
+    winners = first_rows(named.select(*SIBLING_KEY, "final_name", "seq"), [*SIBLING_KEY, "final_name"], ["seq"])
     won = winners.select("seq", F.lit(True).alias("_won"))
     return rows.join(won, "seq", "left").withColumn("final_name", F.when(F.col("_won"), F.col("final_name"))).drop("_won")
 
@@ -311,7 +330,7 @@ def place_generated_nodes(
     fresh = first_rows(
         asked.where(F.col("_match").isNull()).select("owner_id", "wanted", "seq", F.col("suggested_parent").alias("name")),
         ["owner_id", "wanted"],
-        [F.col("seq")],
+        ["seq"],
     )
     new_id = stable_id(kind, F.col("owner_id"), F.lit("root"), F.col("wanted"))
     roots = fresh.withColumns({"id": new_id, "parent_id": F.lit(None).cast(kind), "content": F.lit("")})

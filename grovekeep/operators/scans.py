@@ -108,7 +108,7 @@ def import_legacy_nodes(source: DataFrame) -> DataFrame:
     )
 
 
-def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Incoming rows whose key is new, the first of each key."""
     return first_rows(incoming, keys, order).join(target.select(*keys), keys, "left_anti")
 

@@ -84,7 +84,7 @@ def _order_lines(spark, d):
 def insert_ignore(spark, d):
     rows = _order_lines(spark, d)
     target = rows.where(F.pmod("order_key", F.lit(3)) == 0).select("order_key", "line").distinct()
-    order = [F.col("question_id"), F.col("price")]
+    order = ["question_id", "price"]
     return scans.insert_ignore(target, rows, ["order_key", "line"], order)
 
 
@@ -875,7 +875,7 @@ def stream_insert_ignore(spark, d):
 @query
 def stream_insert_into_table(spark, d):
     rows = X.records_of(X.read_stream(spark, d, "lineitem")).select("order_key", "line", "question_id", "price")
-    order = [F.col("question_id"), F.col("price")]
+    order = ["question_id", "price"]
     return jobs.run_into(rows, lambda path: jobs.insert_new_rows(path, ["order_key", "line"], order)).select(*rows.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -140,7 +140,7 @@ def fold_stream(reviews: DataFrame, delay_seconds: int) -> DataFrame:
 
 def latest_states(changes: DataFrame) -> DataFrame:
     """Current state per key of a table of state changes."""
-    return with_next_review(last_rows(changes, KEY, [F.col("review_count")]))
+    return with_next_review(last_rows(changes, KEY, ["review_count"]))
 
 
 def daily_review_counts(reviews: DataFrame, delay: str) -> DataFrame:
@@ -155,7 +155,7 @@ def insert_ignore(rows: DataFrame, keys: list[str], event_time: str, delay: str)
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def insert_new_rows(path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
+def insert_new_rows(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """Batch writer that adds rows whose key the table at ``path`` lacks.
 
     Exact for keys of any age.  A batch owns one partition folder and rewrites

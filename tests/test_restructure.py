@@ -2,8 +2,6 @@ from datetime import datetime
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from grovekeep.functions.fixed_values import DUPLICATE_NAME_SUFFIX as SUFFIX
 from grovekeep.operators import hierarchy as H
 from grovekeep.operators import restructure as S
@@ -132,4 +130,4 @@ def test_upsert_and_insert_ignore(spark):
     changes = spark.createDataFrame([(2, "c", None)], "id int, x string, y int")
     assert rows(scans.upsert_by_key(target, changes, ["id"]), "id", "x", "y") == [(1, "a", 1), (2, "c", 2)]
     incoming = spark.createDataFrame([(2, "z", 0), (3, "p", 2), (3, "q", 1)], "id int, x string, y int")
-    assert rows(scans.insert_ignore(target, incoming, ["id"], [F.col("y")]), "id", "x") == [(3, "q")]
+    assert rows(scans.insert_ignore(target, incoming, ["id"], ["y"]), "id", "x") == [(3, "q")]

@@ -53,7 +53,7 @@ def test_late_reviews_are_set_aside(spark, tmp_path):
 
 def test_new_rows_are_inserted_once_and_replays_change_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
-    write = jobs.insert_new_rows(path, ["k"], [F.col("v")])
+    write = jobs.insert_new_rows(path, ["k"], ["v"])
     frames = [spark.createDataFrame(rows, "k int, v int") for rows in ([(1, 5), (1, 4), (2, 1)], [(2, 0), (3, 7)])]
     for i, frame in enumerate(frames):
         write(frame, i)
