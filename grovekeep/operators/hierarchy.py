@@ -299,9 +299,11 @@ def is_descendant(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def child_pages(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Ordered children of each parent, in pages of at most ``page_rows``."""
+    """Ordered children of each parent, in pages of at most ``page_rows``.
+
+    The rows with a null id list the owner's roots.
+    """
     live = live_nodes(nodes).select("owner_id", "id", "parent_id", "sort_order", "name")
-    live = live.where(F.col("parent_id").isNotNull())
     ranked = rank_rows(live, ["owner_id", "parent_id"], display_order(), "_rank", hot_rows=hot_rows)
     page = F.floor((F.col("_rank") - 1) / page_rows).cast("bigint")
     entry = F.struct("_rank", "id", "name", "sort_order")
@@ -318,7 +320,7 @@ def child_pages(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT_
 
 def node_context(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each live node with its path and its children, one row per page of children."""
-    pages = child_pages(nodes, page_rows=page_rows, hot_rows=hot_rows)
+    pages = child_pages(nodes.where(F.col("parent_id").isNotNull()), page_rows=page_rows, hot_rows=hot_rows)
     paths = ancestor_path(nodes).select("id", "path")
     view = live_nodes(nodes).select("owner_id", "id", "name", "parent_id", "sort_order")
     return (
@@ -328,6 +330,12 @@ def node_context(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT
     )
 
 
+def root_context(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """What an owner sees above all nodes: the roots, in pages."""
+    roots = live_nodes(nodes).where(F.col("parent_id").isNull())
+    return child_pages(roots, page_rows=page_rows, hot_rows=hot_rows).drop("id")
+
+
 def subtree_documents(
     nodes: DataFrame, order: DataFrame, render: Column, *, separator: str, part_nodes: int = 1000
 ) -> DataFrame:

@@ -59,9 +59,13 @@ def wrong_attempt_times(records: DataFrame) -> DataFrame:
 
 
 def wrong_questions(questions: DataFrame, records: DataFrame, limit: int = V.DEFAULT_LIMIT) -> DataFrame:
-    """Each owner's questions with a wrong attempt, the latest wrong first."""
-    rows = questions.drop("correct_index").join(wrong_attempt_times(records), "id")
-    return top_rows(rows, ["owner_id"], [F.col("last_wrong_at").desc(), F.col("id").asc()], limit)
+    """Each owner's questions with a wrong attempt, the latest wrong first.
+
+    Keys are ranked alone; the texts join the rows that remain.
+    """
+    keys = questions.select("owner_id", "id").join(wrong_attempt_times(records), "id")
+    top = top_rows(keys, ["owner_id"], [F.col("last_wrong_at").desc(), F.col("id").asc()], limit)
+    return questions.drop("correct_index", "owner_id").join(top, "id")
 
 
 def question_detail(questions: DataFrame, wanted: DataFrame) -> DataFrame:

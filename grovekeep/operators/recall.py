@@ -277,18 +277,31 @@ def review_stats(states: DataFrame, as_of: Column) -> DataFrame:
 
 
 def due_queue(states: DataFrame, as_of: Column, limit: int = V.DEFAULT_LIMIT, *, only_due: bool = False) -> DataFrame:
-    """Most urgent nodes of every owner: unseen first, then lowest retrievability."""
-    rows = due_nodes(states, as_of) if only_due else states
-    rows = decayed(rows, as_of)
-    rows = rows.withColumns(
-        {
-            "retrievability": round_half_even(F.col("mastery"), 4),
-            "stability": round_half_even(F.col("stability"), 4),
-            "difficulty": round_half_even(F.col("difficulty"), 4),
-        }
+    """Most urgent nodes of every owner: unseen first, then lowest retrievability.
+
+    Only narrow columns are ranked; :func:`attach_content` adds the texts of the
+    rows that remain.
+    """
+    rows = decayed(due_nodes(states, as_of) if only_due else states, as_of)
+    rows = rows.select(
+        "owner_id",
+        "id",
+        "name",
+        round_half_even(F.col("mastery"), 4).alias("retrievability"),
+        round_half_even(F.col("stability"), 4).alias("stability"),
+        round_half_even(F.col("difficulty"), 4).alias("difficulty"),
+        "review_count",
+        "review_state",
+        "next_review_at",
     )
     order = [(F.col("stability") > 0).asc(), F.col("retrievability").asc(), F.col("id").asc()]
-    return top_rows(rows, ["owner_id"], order, limit).drop("mastery")
+    return top_rows(rows, ["owner_id"], order, limit)
+
+
+def attach_content(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with the text of their node, empty if it has none."""
+    texts = nodes.select("id", F.coalesce("content", F.lit("")).alias("content"))
+    return rows.join(texts, "id")
 
 
 def _questions_per_node(questions: DataFrame) -> DataFrame:

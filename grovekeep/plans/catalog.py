@@ -399,6 +399,12 @@ def node_context(spark, d):
     return rows.select("owner_id", "id", "name", joined("path"), "page", F.coalesce(children, F.lit("")).alias("children"))
 
 
+@query
+def root_context(spark, d):
+    rows = hierarchy.root_context(X.nodes(spark, d), page_rows=2)
+    return rows.select("owner_id", "page", F.array_join(F.transform("children", lambda c: c["id"].cast("string")), ",").alias("children"))
+
+
 @query
 def subtree_documents(spark, d):
     n = X.nodes(spark, d)
@@ -658,8 +664,9 @@ def sibling_rank(spark, d):
 
 @query
 def due_queue(spark, d):
-    rows = recall.due_queue(hierarchy.live_nodes(X.states(spark, d)), X.as_of())
-    return rows.select("owner_id", "id", "name", "retrievability", "stability", "difficulty", "review_count", "review_state",
+    states = hierarchy.live_nodes(X.states(spark, d))
+    rows = recall.attach_content(recall.due_queue(states, X.as_of()), states)
+    return rows.select(F.md5("content").alias("content_md5"), "owner_id", "id", "name", "retrievability", "stability", "difficulty", "review_count", "review_state",
                        text("next_review_at"), big("rank"))
 
 

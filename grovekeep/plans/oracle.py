@@ -148,6 +148,10 @@ sql("node_context", """
     FROM live l JOIN full_path p ON p.id = l.id
     LEFT JOIN (SELECT owner_id, parent_id, string_agg(id || ':' || name, ',' ORDER BY sort_order, name, id) AS children
                FROM live WHERE parent_id IS NOT NULL GROUP BY ALL) k ON k.owner_id = l.owner_id AND k.parent_id = l.id""")
+sql("root_context", """
+    SELECT owner_id, (place - 1) // 2 AS page, string_agg(id, ',' ORDER BY place) AS children
+    FROM (SELECT owner_id, id, row_number() OVER (PARTITION BY owner_id ORDER BY sort_order, name, id) AS place FROM live WHERE parent_id IS NULL)
+    GROUP BY ALL""")
 _DOCUMENTS = """
     SELECT m.owner_id, m.ancestor AS id, (d.pos - a.pos) // 1000 AS part, {text} AS text, count(*) AS n_nodes
     FROM members m JOIN preorder d ON d.id = m.descendant JOIN preorder a ON a.id = m.ancestor JOIN live l ON l.id = m.descendant
@@ -292,7 +296,7 @@ sql("sibling_rank", """
     SELECT owner_id, id, parent_id, row_number() OVER (PARTITION BY owner_id, parent_id ORDER BY sort_order, name, id) AS position FROM live""")
 sql("due_queue", f"""
     SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY stability > 0, retrievability, id) AS rank
-    FROM (SELECT owner_id, id, name, {half_even("mastery", 4)} AS retrievability, {half_even("stability", 4)} AS stability,
+    FROM (SELECT owner_id, id, name, md5(content) AS content_md5, {half_even("mastery", 4)} AS retrievability, {half_even("stability", 4)} AS stability,
                  {half_even("difficulty", 4)} AS difficulty, review_count, review_state, {time("next_review_at")} AS next_review_at
           FROM decayed WHERE NOT is_deleted)
     QUALIFY rank <= 20""")

@@ -117,7 +117,7 @@ TABLES["states"] = f"""
         CASE WHEN id % 4 <> 0 THEN {AS_OF} - to_days((id % 30)::INTEGER) END AS last_review_at
       FROM nodes)"""
 TABLES["decayed"] = f"""
-    SELECT owner_id, id, name, parent_id, is_deleted, stability,
+    SELECT owner_id, id, name, content, parent_id, is_deleted, stability,
            CASE WHEN difficulty = 0 THEN 0.3::DOUBLE ELSE difficulty END AS difficulty,
            review_count, coalesce(review_state, 'new') AS review_state, last_review_at, next_review_at,
            {retrievability("stability", "last_review_at")} AS mastery
