@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import keep
+from ..scratch import Rounds
 from .keyed import HOT_ROWS, rank_rows, running_sums
 
 SIBLINGS = ["owner_id", "up"]
@@ -91,9 +91,10 @@ def climb(
         trail = F.col(trails[0])
         open_rows = open_rows & (F.size(F.array_distinct(trail)) == F.size(trail))
 
+    rounds = Rounds(links.sparkSession, "climb")
     step, before = 1, None
     while True:
-        state, seen = keep(state, "climb", open=F.count_if(open_rows))
+        state, seen = rounds.write(state, open=F.count_if(open_rows))
         left = seen.get("open", 0)
         # While any acyclic row is open, the number of open rows falls.
         if left == 0 or (left == before and not wrap):

@@ -137,21 +137,13 @@ def apply_promote_delete(
     valid, unknown = _known(deletes, nodes)
     asked = valid.select("id").distinct().withColumn("_gone", F.lit(True))
     linked = kept(parent_link(nodes, carry=("sort_order", "name")).join(asked, "id", "left").fillna(False, ["_gone"]), "promote")
-    # Only deleted nodes point upward, so the walk ends at the first that stays.
-    stops = linked.select("id", F.when(F.col("_gone"), F.col("up")).alias("up"), "_gone")
-    tops = climb(stops, carry=("_gone",)).where(F.col("_gone"))
-    removed = linked.where("_gone").select(F.col("id").alias("root"), F.lit(True).alias("_top_gone"))
-    # A chain that is deleted to the top leaves its children as roots, unless the
-    # top is an orphan, whose children inherit the pointer it had.
-    orphan_parent = linked.where("_gone").select(F.col("id").alias("root"), F.col("parent_id").alias("_beyond"))
-    landing = (
-        tops.join(removed, "root", "left")
-        .join(orphan_parent, "root", "left")
-        .select(
-            F.col("id").alias("up"),
-            F.when(F.col("_top_gone"), F.col("_beyond")).otherwise(F.col("root")).alias("_new_parent"),
-        )
-    )
+    gone = linked.where("_gone")
+    # The walk is over deleted nodes alone: each points to its parent if that goes too.
+    also = gone.select(F.col("id").alias("up"), F.lit(True).alias("_also"))
+    chains = gone.join(also, "up", "left").select("id", F.when(F.col("_also"), F.col("up")).alias("up"))
+    # Above the top of a chain is a node that stays, or what the top pointed at.
+    beyond = gone.select(F.col("id").alias("root"), F.coalesce("up", "parent_id").alias("_new_parent"))
+    landing = climb(chains).join(beyond, "root", "left").select(F.col("id").alias("up"), "_new_parent")
     promoted = (
         linked.where(~F.col("_gone"))
         .join(landing, "up")

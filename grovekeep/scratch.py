@@ -35,19 +35,47 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """Write ``df`` out and read it back; ``metrics`` are aggregates observed
-    during the write, so they cost no second job."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
+def _store(df: DataFrame, folder: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
     observed = None
     if metrics:
         observed = Observation()
         df = df.observe(observed, *[c.alias(name) for name, c in metrics.items()])
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
     return table, (observed.get if observed is not None else {})
 
 
+def keep(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` out and read it back; ``metrics`` are aggregates observed
+    during the write, so they cost no second job."""
+    return _store(df, new_path(df.sparkSession, label), metrics)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     return keep(df, label)[0]
+
+
+class Rounds:
+    """Successive versions of one table of an iterative job.
+
+    Writing a version removes the one before it, which nothing needs any more
+    once the new one is complete; a long loop never holds more than two.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self._spark = spark
+        self._label = label
+        self._folder: str | None = None
+
+    def write(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        folder, outdated = new_path(self._spark, self._label), self._folder
+        table, seen = _store(df, folder, metrics)
+        self._folder = folder
+        if outdated is not None:
+            _remove(self._spark, outdated)
+        return table, seen
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,6 +36,6 @@ def forest(spark):
             node = dict(id=row[0], owner_id=owner, parent_id=row[1], name=f"n{row[0]}", content="", sort_order=float(i), is_deleted=False)
             node.update(extra)
             out.append(tuple(node[c.split()[0]] for c in NODE.split(", ")))
-        return spark.createDataFrame(out, NODE)
+        return spark.createDataFrame(out, NODE).coalesce(1)
 
     return build

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from grovekeep import scratch
 from grovekeep.operators import forest as forests
 from grovekeep.operators import hierarchy as H
 from grovekeep.operators import keyed, recall
@@ -64,8 +65,8 @@ def test_random_forests(spark, forest, seed, hot_rows):
 
 
 def test_deep_chain_needs_few_rounds(spark, forest, monkeypatch):
-    n, calls, keep = 300, [], H.keep
-    monkeypatch.setattr(H, "keep", lambda *a, **k: calls.append(1) or keep(*a, **k))
+    n, calls, write = 300, [], scratch.Rounds.write
+    monkeypatch.setattr(scratch.Rounds, "write", lambda *a, **k: calls.append(1) or write(*a, **k))
     got = rows(H.node_depth(forest(*[(i, i - 1 if i else None) for i in range(n)])), "id", "depth")
     assert got == [(i, i) for i in range(n)]
     assert len(calls) <= 10
@@ -103,7 +104,8 @@ def test_blocked_move_targets(spark, forest):
 
 def test_child_pages_cover_all_children(spark, forest):
     nodes = forest((0, None), *[(i, 0) for i in range(1, 24)])
-    pages = H.child_pages(nodes, page_rows=10, hot_rows=5).orderBy("page").collect()
+    pages = H.child_pages(nodes, page_rows=10, hot_rows=5).where("id = 0").orderBy("page").collect()
+    assert [c.id for c in H.root_context(nodes).first().children] == [0]
     assert [len(p.children) for p in pages] == [10, 10, 3]
     assert [c.id for p in pages for c in p.children] == list(range(1, 24))
 
