@@ -15,52 +15,58 @@ from ..operators.recall import KEY, recall_state_fold, with_next_review
 from ..operators.scans import insert_ignore as new_rows
 from ..scratch import new_path
 
-_NEVER = -1
 _STATE = (
     "stability double, difficulty double, count long, state string, last_us long, "
     "times array<long>, ids array<long>, ratings array<int>"
 )
 
 
-def _advance(stability: float, difficulty: float, count: int, state: str, rating: int) -> tuple:
-    """One review on plain numbers; the same rules as ``functions.recall``."""
-    pulled = difficulty + V.DIFFICULTY_RATE * (3 - rating) * (1 - difficulty)
-    difficulty = max(V.DIFFICULTY_FLOOR, min(V.DIFFICULTY_CEILING, pulled))
-    if count == 0 or stability <= 0:
-        stability = V.FIRST_STABILITY[rating]
-    else:
-        stability *= V.STABILITY_FACTOR[rating]
-        stability = max(V.LAPSE_STABILITY_FLOOR, stability) if rating == 1 else stability
-    if state == "new" or (state == "relearning" and rating >= 3):
-        state = "review"
-    elif rating == 1:
-        state = "relearning"
-    return stability, difficulty, count + 1, state
-
-
-def _fold_key(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold events until the watermark has passed them, then apply them in order."""
-    if group.exists:
-        *now, last_us, times, ids, ratings = group.get
-        waiting = list(zip(times, ids, ratings))
-    else:
-        now, last_us, waiting = [0.0, V.START_DIFFICULTY, 0, "new"], _NEVER, []
-    if not group.hasTimedOut:
-        for chunk in chunks:
-            waiting.extend(zip(chunk["at_us"].tolist(), chunk["event_id"].tolist(), chunk["rating"].tolist()))
-    mark = group.getCurrentWatermarkMs()
-    waiting.sort()
-    ready = [w for w in waiting if -(-w[0] // 1000) < mark]
-    waiting = waiting[len(ready):]
-    for at_us, _, rating in ready:
-        now = list(_advance(*now, rating))
-        last_us = at_us // 1_000_000 * 1_000_000
-    group.update((*now, last_us, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
-    if waiting:
-        group.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), mark + 1))
-    if ready:
-        yield pd.DataFrame([[*key, *now, pd.Timestamp(last_us, unit="us")]],
-                           columns=[*KEY, "stability", "difficulty", "review_count", "review_state", "last_review_at"])
+def _key_folder(keys: list[str], rate: float, bounds: tuple, start: float, first: dict, factor: dict, lapse: float) -> Callable:
+    """The per-key function of :func:`recall_state_changes`.
+
+    It is built from plain values, so workers need no copy of this package.
+    """
+    low, high = bounds
+    columns = [*keys, "stability", "difficulty", "review_count", "review_state", "last_review_at"]
+
+    def advance(stability: float, difficulty: float, count: int, state: str, rating: int) -> tuple:
+        """One review on plain numbers; the same rules as ``functions.recall``."""
+        difficulty = max(low, min(high, difficulty + rate * (3 - rating) * (1 - difficulty)))
+        if count == 0 or stability <= 0:
+            stability = first[rating]
+        else:
+            stability *= factor[rating]
+            stability = max(lapse, stability) if rating == 1 else stability
+        if state == "new" or (state == "relearning" and rating >= 3):
+            state = "review"
+        elif rating == 1:
+            state = "relearning"
+        return stability, difficulty, count + 1, state
+
+    def fold_key(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        """Hold events until the watermark has passed them, then apply them in order."""
+        if group.exists:
+            *now, last_us, times, ids, ratings = group.get
+            waiting = list(zip(times, ids, ratings))
+        else:
+            now, last_us, waiting = [0.0, start, 0, "new"], -1, []
+        if not group.hasTimedOut:
+            for chunk in chunks:
+                waiting.extend(zip(chunk["at_us"].tolist(), chunk["event_id"].tolist(), chunk["rating"].tolist()))
+        mark = group.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [w for w in waiting if -(-w[0] // 1000) < mark]
+        waiting = waiting[len(ready):]
+        for at_us, _, rating in ready:
+            now = advance(*now, rating)
+            last_us = at_us // 1_000_000 * 1_000_000
+        group.update((*now, last_us, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+        if waiting:
+            group.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), mark + 1))
+        if ready:
+            yield pd.DataFrame([[*key, *now, pd.Timestamp(last_us, unit="us")]], columns=columns)
+
+    return fold_key
 
 
 def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
@@ -77,7 +83,11 @@ def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
         "review_state string, last_review_at timestamp"
     )
     marked = reviews.withWatermark("reviewed_at", delay).withColumn("at_us", F.unix_micros("reviewed_at"))
-    return marked.groupBy(*KEY).applyInPandasWithState(_fold_key, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    fold_key = _key_folder(
+        KEY, V.DIFFICULTY_RATE, (V.DIFFICULTY_FLOOR, V.DIFFICULTY_CEILING), V.START_DIFFICULTY,
+        V.FIRST_STABILITY, V.STABILITY_FACTOR, V.LAPSE_STABILITY_FLOOR,
+    )
+    return marked.groupBy(*KEY).applyInPandasWithState(fold_key, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
