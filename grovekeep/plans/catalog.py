@@ -83,7 +83,7 @@ def _order_lines(spark, d):
 @query
 def insert_ignore(spark, d):
     rows = _order_lines(spark, d)
-    target = rows.where(F.pmod("order_key", F.lit(3)) == 0).select("order_key", "line").distinct()
+    target = X.records(spark, d).where("not is_correct").select("order_key", "line").distinct()
     order = ["question_id", "price"]
     return scans.insert_ignore(target, rows, ["order_key", "line"], order)
 
@@ -100,9 +100,10 @@ def append_sink(spark, d):
 
 @query
 def upsert_by_key(spark, d):
-    target = X.states(spark, d).select("owner_id", "id", "name", "stability", "review_count")
-    changes = target.where(F.pmod("id", F.lit(6)) == 1).select(
-        "id", (F.col("stability") + 1).alias("stability"), F.when(F.pmod("id", F.lit(12)) == 1, F.lit(9)).cast("bigint").alias("review_count")
+    states = X.states(spark, d)
+    target = states.select("owner_id", "id", "name", "stability", "review_count")
+    changes = states.where(F.col("review_state") == "relearning").select(
+        "id", (F.col("stability") + 1).alias("stability"), F.when(F.col("stability") > 9, F.lit(9)).cast("bigint").alias("review_count")
     )
     return scans.upsert_by_key(target, changes, ["id"]).select("owner_id", "id", "name", r6("stability"), "review_count")
 
@@ -155,7 +156,7 @@ def falsy_default(spark, d):
 @query
 def null_safe_parent_match(spark, d):
     n = X.nodes(spark, d)
-    wanted = n.where(F.pmod("id", F.lit(7)) == 0).select("owner_id", "parent_id").distinct()
+    wanted = n.where("is_deleted").select("owner_id", "parent_id").distinct()
     return scans.null_safe_parent_match(n.select("owner_id", "id", "parent_id"), wanted)
 
 
@@ -188,7 +189,7 @@ def clean_names(spark, d):
 @query
 def question_detail(spark, d):
     q = X.questions(spark, d)
-    wanted = q.where(F.pmod("id", F.lit(9)) == 2).select("owner_id", "id")
+    wanted = X.records(spark, d).where("not is_correct").select("owner_id", F.col("question_id").alias("id"))
     return questions.question_detail(q, wanted).select(
         "owner_id", "id", "node_id", "question", "options", big("correct_index"), "question_type", "difficulty", text("created_at")
     )
@@ -282,22 +283,21 @@ def keyword_match(spark, d):
     return tagging.keyword_match(X.taggable(spark, d), X.TAG_RULES)
 
 
-def _moves(nodes: DataFrame) -> DataFrame:
-    """Moves of every seventh node, to places near and far, some of them impossible."""
+def _moves(spark, d) -> DataFrame:
+    """Moves of the nodes labelled as good, to places near and far, some of them impossible."""
     n = F.col("id")
     target = (
         F.when(F.pmod(n, F.lit(4)) == 0, n + X.STRIDE * 3)
         .when(F.pmod(n, F.lit(4)) == 1, n - X.STRIDE)
         .when(F.pmod(n, F.lit(4)) == 2, n + X.STRIDE)
     )
-    rows = nodes.where(F.pmod(n, F.lit(7)) == 3)
-    return rows.select(n.alias("seq"), "owner_id", "id", target.alias("new_parent_id"))
+    return X.labelled(spark, d, "quality", 1).select(n.alias("seq"), "owner_id", "id", target.alias("new_parent_id"))
 
 
 @query
 def move_conflicts(spark, d):
     n = X.nodes(spark, d)
-    judged = restructure.move_conflicts(n, _moves(n))
+    judged = restructure.move_conflicts(n, _moves(spark, d))
     return judged.select("owner_id", "id", "new_parent_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
@@ -350,7 +350,7 @@ def is_descendant(spark, d):
 @query
 def blocked_move_targets(spark, d):
     n = X.nodes(spark, d)
-    moving = hierarchy.live_nodes(n).where(F.pmod("id", F.lit(7)) == 0)
+    moving = _moves(spark, d)
     return hierarchy.blocked_move_targets(moving, hierarchy.descendant_closure(n), n)
 
 
@@ -461,23 +461,21 @@ def apply_content_updates(spark, d):
 @query
 def apply_cascade_delete(spark, d):
     n = X.nodes(spark, d)
-    asked = n.where(F.pmod("id", F.lit(13)) == 4).select("owner_id", "id")
-    after, _ = restructure.apply_cascade_delete(n, asked)
+    after, _ = restructure.apply_cascade_delete(n, X.labelled(spark, d, "toxic", 1))
     return after.select("owner_id", "id", "is_deleted")
 
 
 @query
 def apply_promote_delete(spark, d):
     n = X.nodes(spark, d)
-    asked = n.where(F.pmod("id", F.lit(3)) == 1).select("owner_id", "id")
-    after, _ = restructure.apply_promote_delete(n, asked)
+    after, _ = restructure.apply_promote_delete(n, X.labelled(spark, d, "quality", 0))
     return after.select("owner_id", "id", "parent_id", "sort_order", "is_deleted")
 
 
 @query
 def apply_moves(spark, d):
     n = X.nodes(spark, d)
-    after, _ = restructure.apply_moves(n, _moves(n))
+    after, _ = restructure.apply_moves(n, _moves(spark, d))
     return after.select("owner_id", "id", "parent_id", "sort_order")
 
 
@@ -494,7 +492,7 @@ def normalize_sibling_order(spark, d):
 @query
 def append_order(spark, d):
     n = X.nodes(spark, d)
-    arrivals = n.where(F.pmod("id", F.lit(2)) == 0).select((F.col("id") * 3).alias("seq"), "owner_id", "parent_id")
+    arrivals = n.select((F.col("id") * 3).alias("seq"), "owner_id", "parent_id")
     return restructure.append_order(n, arrivals)
 
 

@@ -36,12 +36,12 @@ sql("import_legacy_nodes", f"""
     FROM part""")
 sql("insert_ignore", """
     SELECT order_key, line, question_id, price FROM records
-    WHERE (order_key, line) NOT IN (SELECT (order_key, line) FROM records WHERE order_key % 3 = 0)
+    WHERE (order_key, line) NOT IN (SELECT (order_key, line) FROM records WHERE NOT is_correct)
     QUALIFY row_number() OVER (PARTITION BY order_key, line ORDER BY question_id, price) = 1""")
 sql("append_sink", "SELECT owner_id, is_correct, count(*) AS n FROM records GROUP BY ALL")
 sql("upsert_by_key", """
-    SELECT owner_id, id, name, CASE WHEN id % 6 = 1 THEN stability + 1 ELSE stability END AS stability,
-           CASE WHEN id % 12 = 1 THEN 9 ELSE review_count END AS review_count
+    SELECT owner_id, id, name, CASE WHEN review_state = 'relearning' THEN stability + 1 ELSE stability END AS stability,
+           CASE WHEN review_state = 'relearning' AND stability > 9 THEN 9 ELSE review_count END AS review_count
     FROM states""")
 sql("evolve_schema", """
     SELECT id, owner_id, 0::DOUBLE AS mastery_score, 0::BIGINT AS depth, 0::DOUBLE AS stability, 0.3::DOUBLE AS difficulty,
@@ -60,7 +60,7 @@ sql("falsy_default", """
            coalesce(review_state, 'new') AS review_state FROM states""")
 sql("null_safe_parent_match", """
     SELECT n.owner_id, n.id, n.parent_id FROM nodes n
-    WHERE EXISTS (SELECT 1 FROM nodes w WHERE w.id % 7 = 0 AND w.owner_id = n.owner_id AND w.parent_id IS NOT DISTINCT FROM n.parent_id)""")
+    WHERE EXISTS (SELECT 1 FROM nodes w WHERE w.is_deleted AND w.owner_id = n.owner_id AND w.parent_id IS NOT DISTINCT FROM n.parent_id)""")
 _DUE = f"(stability <= 0 OR last_review_at IS NULL OR next_review_at <= {AS_OF})"
 sql("due_predicate", f"SELECT owner_id, id FROM states WHERE {_DUE}")
 sql("reviewed_on_day", f"""
@@ -73,7 +73,7 @@ sql("clean_names", """
            CASE WHEN id % 5 = 0 THEN 'empty' ELSE 'ok' END AS status FROM nodes""")
 sql("question_detail", f"""
     SELECT owner_id, id, node_id, question, options, correct_index, question_type, difficulty, {time("created_at")} AS created_at
-    FROM questions WHERE id % 9 = 2""")
+    FROM questions WHERE (owner_id, id) IN (SELECT (owner_id, question_id) FROM records WHERE NOT is_correct)""")
 sql("non_blank_content", r"""
     SELECT owner_id, id FROM nodes WHERE id % 4 <> 1 AND length(regexp_replace(content, '\s', '', 'g')) > 0""")
 
@@ -129,7 +129,7 @@ sql("is_descendant", """
     SELECT l.owner_id, l.id AS candidate, l.id % 20 + 20 * (l.id % 7) AS ancestor,
            EXISTS (SELECT 1 FROM closure c WHERE c.ancestor = l.id % 20 + 20 * (l.id % 7) AND c.descendant = l.id) AS is_descendant
     FROM live l""")
-sql("blocked_move_targets", "SELECT owner_id, ancestor AS id, descendant AS blocked_id FROM members WHERE ancestor % 7 = 0")
+sql("blocked_move_targets", "SELECT owner_id, ancestor AS id, descendant AS blocked_id FROM members WHERE ancestor IN (SELECT id FROM moves)")
 sql("self_union_descendants", "SELECT owner_id, ancestor, descendant, distance FROM members")
 sql("child_count", """
     SELECT l.owner_id, l.id, coalesce(c.n, 0) AS child_count FROM live l LEFT JOIN children c ON c.owner_id = l.owner_id AND c.id = l.id""")
@@ -185,10 +185,10 @@ sql("apply_content_updates", f"""
         FROM node_reviews r JOIN live l ON l.owner_id = r.owner_id AND l.id = r.node_id GROUP BY ALL) u
       ON u.owner_id = n.owner_id AND u.id = n.id""")
 sql("apply_cascade_delete", """
-    SELECT owner_id, id, is_deleted OR id IN (SELECT descendant FROM members WHERE ancestor % 13 = 4) AS is_deleted FROM nodes""")
+    SELECT owner_id, id, is_deleted OR id IN (SELECT descendant FROM members WHERE ancestor IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS is_deleted FROM nodes""")
 sql("apply_promote_delete", """
     SELECT n.owner_id, n.id, CASE WHEN p.id IS NULL THEN n.parent_id ELSE p.target END AS parent_id,
-           CASE WHEN p.id IS NULL THEN n.sort_order ELSE p.sort_order END AS sort_order, n.is_deleted OR n.id % 3 = 1 AS is_deleted
+           CASE WHEN p.id IS NULL THEN n.sort_order ELSE p.sort_order END AS sort_order, n.is_deleted OR n.id IN (SELECT id FROM dropped) AS is_deleted
     FROM nodes n LEFT JOIN promoted_at p ON p.id = n.id""")
 sql("apply_moves", """
     SELECT n.owner_id, n.id, CASE WHEN a.id IS NULL THEN n.parent_id ELSE a.new_parent_id END AS parent_id,
@@ -201,8 +201,7 @@ sql("normalize_sibling_order", """
 sql("append_order", """
     SELECT n.id * 3 AS seq, n.owner_id, n.parent_id,
            coalesce(o.next_order, 0) + row_number() OVER (PARTITION BY n.owner_id, n.parent_id ORDER BY n.id) - 1 AS sort_order
-    FROM nodes n LEFT JOIN next_orders o ON o.owner_id = n.owner_id AND o.parent_id IS NOT DISTINCT FROM n.parent_id
-    WHERE n.id % 2 = 0""")
+    FROM nodes n LEFT JOIN next_orders o ON o.owner_id = n.owner_id AND o.parent_id IS NOT DISTINCT FROM n.parent_id""")
 sql("place_generated_nodes", "SELECT seq, owner_id, name, sort_order, is_new_root, reason FROM placed")
 sql("placement_summary", """
     SELECT owner_id, count(*) FILTER (reason = 'ok') AS created, count(*) FILTER (reason <> 'ok') AS skipped FROM placed GROUP BY owner_id""")

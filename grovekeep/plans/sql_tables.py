@@ -370,7 +370,7 @@ TABLES["array_items"] = """
 
 TABLES["moves"] = """
     SELECT id AS seq, owner_id, id, CASE id % 4 WHEN 0 THEN id + 60 WHEN 1 THEN id - 20 WHEN 2 THEN id + 20 END AS new_parent_id
-    FROM nodes WHERE id % 7 = 3"""
+    FROM nodes WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"""
 TABLES["judged_moves"] = """
     SELECT m.*, h.name, CASE
         WHEN h.id IS NULL THEN 'node_not_found'
@@ -409,7 +409,7 @@ TABLES["arrivals"] = """
     SELECT a.id, a.new_parent_id, coalesce(n.next_order, 0)
              + row_number() OVER (PARTITION BY a.owner_id, a.new_parent_id ORDER BY a.seq) - 1 AS sort_order
     FROM accepted3 a LEFT JOIN next_orders n ON n.owner_id = a.owner_id AND n.parent_id IS NOT DISTINCT FROM a.new_parent_id"""
-TABLES["dropped"] = "SELECT * FROM links WHERE id % 3 = 1"
+TABLES["dropped"] = "SELECT * FROM links WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)"
 TABLES["landing"] = """
     SELECT id AS start, id AS cur FROM dropped
     UNION ALL
@@ -418,12 +418,12 @@ TABLES["landed"] = """
     SELECT l.start, CASE WHEN d.id IS NULL THEN l.cur ELSE d.parent_id END AS target
     FROM landing l LEFT JOIN dropped d ON d.id = l.cur WHERE d.id IS NULL OR d.up IS NULL"""
 TABLES["promoted"] = """
-    SELECT k.owner_id, k.id, g.target, k.sort_order, k.name FROM links k JOIN landed g ON g.start = k.up WHERE k.id % 3 <> 1"""
+    SELECT k.owner_id, k.id, g.target, k.sort_order, k.name FROM links k JOIN landed g ON g.start = k.up WHERE k.id NOT IN (SELECT id FROM dropped)"""
 TABLES["promoted_at"] = """
     SELECT p.id, p.target, coalesce(n.next_order, 0)
              + row_number() OVER (PARTITION BY p.owner_id, p.target ORDER BY p.sort_order, p.name, p.id) - 1 AS sort_order
     FROM promoted p
-    LEFT JOIN (SELECT owner_id, parent_id, max(sort_order) + 1 AS next_order FROM live WHERE id % 3 <> 1 GROUP BY ALL) n
+    LEFT JOIN (SELECT owner_id, parent_id, max(sort_order) + 1 AS next_order FROM live WHERE id NOT IN (SELECT id FROM dropped) GROUP BY ALL) n
       ON n.owner_id = p.owner_id AND n.parent_id IS NOT DISTINCT FROM p.target"""
 TABLES["creates"] = r"""
     SELECT id AS seq, owner_id, parent_id, CASE WHEN id % 6 = 0 THEN '' ELSE 'n' || (id % 4) END AS name FROM nodes"""

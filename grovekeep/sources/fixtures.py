@@ -79,6 +79,12 @@ def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("parent_id", F.when(loop, F.col("id") + STRIDE * 3).otherwise(F.col("parent_id")))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, value: int) -> DataFrame:
+    """Keys of the nodes a label marks: who is asked to move or to go."""
+    marked = read(spark, sf_dir, "labels").where(F.col(label) == value).select(F.col("doc_id").alias("id"))
+    return nodes(spark, sf_dir).select("owner_id", "id").join(marked, "id", "left_semi").select("owner_id", "id")
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with stored recall fields: some unseen, some overdue, some zero."""
     base = nodes(spark, sf_dir)
