@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed_values as V
 from ..sources import fixtures as X
-from .sql_tables import AS_OF, _tag_case, growth, half_even, quote, retrievability, step, time, with_tables
+from .sql_tables import AS_OF, growth, half_even, quote, retrievability, step, tag_case, time, with_tables
 
 ORACLE: dict[str, str] = {}
 
@@ -220,7 +220,7 @@ sql("place_extracted_nodes", f"""
 
 sql("tag_nodes", "SELECT owner_id, id, tag FROM tagged")
 sql("tag_nodes_default_rules", f"""
-    SELECT owner_id, id, {_tag_case(V.DOMAIN_KEYWORDS, "body", V.OTHER_TAG)} AS tag
+    SELECT owner_id, id, {tag_case(V.DOMAIN_KEYWORDS, "body", V.OTHER_TAG)} AS tag
     FROM (SELECT owner_id, id, lower(name || ' ' || content) AS body FROM nodes)""")
 sql("tag_counts", "SELECT owner_id, tag, count(*) AS n FROM tagged GROUP BY ALL")
 sql("domain_distribution", "SELECT owner_id, tag, n, share FROM shares")

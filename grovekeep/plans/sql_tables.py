@@ -154,7 +154,7 @@ TABLES["last_attempt"] = """
 TABLES["taggable"] = "SELECT p_partkey AS id, p_brand AS owner_id, lower(p_name || ' ' || p_type) AS body FROM part"
 
 
-def _tag_case(rules: dict[str, list[str]], text: str, other: str) -> str:
+def tag_case(rules: dict[str, list[str]], text: str, other: str) -> str:
     arms = " ".join(
         "WHEN " + " OR ".join(f"contains({text}, {quote(w.lower())})" for w in words) + f" THEN {quote(domain)}"
         for domain, words in rules.items()
@@ -162,7 +162,7 @@ def _tag_case(rules: dict[str, list[str]], text: str, other: str) -> str:
     return f"CASE {arms} ELSE {quote(other)} END"
 
 
-TABLES["tagged"] = f"SELECT owner_id, id, {_tag_case(X.TAG_RULES, 'body', X.OTHER)} AS tag FROM taggable"
+TABLES["tagged"] = f"SELECT owner_id, id, {tag_case(X.TAG_RULES, 'body', X.OTHER)} AS tag FROM taggable"
 TABLES["shares"] = f"""
     SELECT owner_id, tag, n, {half_even("n / sum(n) OVER (PARTITION BY owner_id)::DOUBLE", 4)} AS share
     FROM (SELECT owner_id, tag, count(*) AS n FROM tagged GROUP BY ALL)"""
