@@ -51,17 +51,36 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
-def read_json_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_json_table(spark: SparkSession, folder: str, name: str, *, schema: str | None = None) -> DataFrame:
     """A domain table stored as JSON lines, with its declared schema."""
-    return spark.read.schema(SCHEMAS[name]).json(f"{folder}/{name}")
+    return spark.read.schema(schema or SCHEMAS[name]).json(f"{folder}/{name}")
 
 
 def write_table(df: DataFrame, folder: str, name: str, *, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+# Keys by which each table is joined and grouped most.
+BUCKET_KEYS = {
+    "nodes": ["id"], "edges": ["child_id"], "quiz_questions": ["id"], "quiz_records": ["question_id"],
+    "reviews": ["owner_id", "node_id"],
+}
+
+
+def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, *, path: str | None = None) -> DataFrame:
+    """Save as a catalog table bucketed by ``keys``; joins and groups on them then need no shuffle.
+
+    Buckets hold whole keys, so this suits keys without a hot value.
+    """
+    writer = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array, as rows (source, raw)."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    """Files that each hold one JSON array, as rows (source, raw); one file is one row."""
+    return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("source"), F.col("value").alias("raw")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from grovekeep.operators import hierarchy, questions, recall, scans
-from grovekeep.sources import tables
+from grovekeep.sources import fixtures, tables
 
 
 def plan(df):
@@ -39,7 +39,7 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
 
 def test_json_and_parquet_tables_agree(spark, folder):
     stored = tables.read_table(spark, folder, "nodes")
-    as_json = spark.read.schema(tables.NODES).json(f"{folder}/nodes_json")
+    as_json = tables.read_json_table(spark, folder, "nodes_json", schema=tables.NODES)
     assert sorted(map(tuple, stored.select("id", "parent_id", "difficulty").collect())) == sorted(
         map(tuple, as_json.select("id", "parent_id", "difficulty").collect()))
 
@@ -107,6 +107,24 @@ def test_scratch_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
     assert scratch.scratch_root(Session()) == "/shared/folder"
 
 
+def test_bucketed_reviews_fold_without_a_shuffle(spark, sf, tmp_path):
+    log = fixtures.reviews(spark, sf)
+    stored = tables.save_bucketed(log, "bucketed_reviews", tables.BUCKET_KEYS["reviews"], 4, path=str(tmp_path / "b"))
+    try:
+        folded = recall.recall_state_fold(stored)
+        assert "Exchange" not in plan(folded) and "Exchange" in plan(recall.recall_state_fold(log))
+        assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, recall.recall_state_fold(log).collect()))
+    finally:
+        spark.sql("DROP TABLE bucketed_reviews")
+
+
+def test_json_arrays_are_read_one_per_file(spark, tmp_path):
+    for name, text in {"a": '[{"id":"x","name":"n"},\n{"id":"y","name":"m"}]', "b": "broken"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows, rejects = scans.ingest_json_records(tables.read_json_arrays(spark, str(tmp_path)))
+    assert sorted(r.id for r in rows.collect()) == ["x", "y"] and rejects.count() == 1
+
+
 def test_option_shapes(spark):
     df = spark.createDataFrame([('["a","b"]',), ('{"reference_answer":"r","keywords":["k"]}',), ("oops",), (None,)], "o string")
     got = [tuple(r[0]) for r in df.select(questions.decode_options(F.col("o"))).collect()]
