@@ -205,6 +205,13 @@ def main_text(html: str | None) -> str:
         if node.name in ("article", "main"):
             best = node
         node = node.parent
+    # An article among loose text is the article.
+    if best.name not in ("article", "main"):
+        for name in ("article", "main"):
+            inside = [n for n in _nodes(best) if n.name == name and n.text > n.link_text]
+            if inside:
+                best = max(inside, key=lambda n: n.text - n.link_text)
+                break
     top, keep = best.points * (1 - _links(best)), []
     for sibling in best.parent.children if best.parent is not None else [best]:
         if sibling is best or isinstance(sibling, str):

@@ -11,8 +11,8 @@ pivot of each of its buckets, twice, which connects copies of a common original.
 Only buckets that still hold texts of different components go on: their texts get a
 longer signature, and tasks compare blocks of a bucket with each other, passing
 over pairs that are connected already, pairs met in an earlier band, pairs whose
-set sizes rule the threshold out, and pairs estimated too low.  What is left is
-confirmed on the full sets.  So every proposed pair is either judged or connected.
+set sizes rule the threshold out, pairs estimated too low, and pairs whose sets,
+with 32 bits a shingle, fall short.  What is left is confirmed on the words.  So every proposed pair is either judged or connected.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def _long_signatures(shingle: int):
     shifts = mix(np.arange(9001, 9001 + LONG_MINIMA, dtype=np.uint64)).astype(np.uint32)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lowest bit of each of many minima, packed."""
+        """Lowest bit of each of many minima, packed, and the set itself with 32 bits a member."""
         for whole in batches:
             for batch in slices(whole, "text", 1 << 18):
                 words, counts = word_hashes(*text_bytes(batch.column("text")))
@@ -156,8 +156,9 @@ def _long_signatures(shingle: int):
                     bits[i] = (mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
                 packed = np.packbits(bits.T, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array(sizes.astype(np.int64)), pa.array([r.tobytes() for r in packed], pa.binary())],
-                    names=["node", "n", "sketch"],
+                    [batch.column("node"), pa.array(sizes.astype(np.int64)), pa.array([r.tobytes() for r in packed], pa.binary()),
+                     pa.array([np.unique(short[x : x + n]).tobytes() for x, n in zip(starts, sizes, strict=True)], pa.binary())],
+                    names=["node", "n", "sketch", "members"],
                 )
 
     return signed
@@ -166,7 +167,14 @@ def _long_signatures(shingle: int):
 def _compared(percent: int):
     least = percent / 100 - LONG_MARGIN
 
-    def block_pairs(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> list[np.ndarray]:
+    def reachable(left: bytes, right: bytes, n_left: int, n_right: int) -> bool:
+        """Whether two sets, of which 32 bits a member are known, may reach the threshold: never false for those that do."""
+        a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
+        merged = np.sort(np.concatenate([a, b]))
+        both = int((merged[1:] == merged[:-1]).sum()) + int(n_left - len(a))
+        return 100 * both >= percent * (n_left + n_right - both)
+
+    def block_pairs(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, bands: np.ndarray, sets: list[bytes]) -> list[np.ndarray]:
         """Candidates of one block, or of two (side 0 against side 1)."""
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
@@ -183,7 +191,9 @@ def _compared(percent: int):
                 good = 1 - 2 * unequal / LONG_MINIMA >= least
                 x, y = x[good], y[good]
                 first = (bands[x] == bands[y]).argmax(axis=1) == band
-                x, y = node[x[first]], node[y[first]]
+                x, y = x[first], y[first]
+                can = np.array([reachable(sets[i], sets[j], n[i], n[j]) for i, j in zip(x, y, strict=True)], bool)
+                x, y = node[x[can]], node[y[can]]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         return out
 
@@ -197,9 +207,10 @@ def _compared(percent: int):
             band, side, node, root, n = (table.column(c).to_numpy() for c in ("band", "side", "node", "root", "n"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
             bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            sets = table.column("members").to_pylist()
             found = [np.zeros((0, 2), np.int64)]
             for s, e in zip([0, *cuts], [*cuts, len(node)], strict=True):
-                found += block_pairs(int(band[s]), side[s:e], node[s:e], root[s:e], n[s:e], sketch[s:e], bands[s:e])
+                found += block_pairs(int(band[s]), side[s:e], node[s:e], root[s:e], n[s:e], sketch[s:e], bands[s:e], sets[s:e])
             pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -225,7 +236,7 @@ def _compared(percent: int):
 def candidate_pairs(members: DataFrame, detail: DataFrame, percent: int) -> DataFrame:
     """Pairs of different roots that share a bucket and may reach the threshold.
 
-    ``members``: bucket, band, node, root; ``detail``: node, n, sketch, bands.  A bucket of
+    ``members``: bucket, band, node, root; ``detail``: node, n, sketch, bands, members.  A bucket of
     more than ``BLOCK`` texts is cut into blocks, and each pair of blocks is a group of its own.
     """
     counts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
@@ -233,7 +244,7 @@ def candidate_pairs(members: DataFrame, detail: DataFrame, percent: int) -> Data
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("bucket", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"),
                        (F.col("_own") > F.col("_other")).cast("int").alias("side"), "band", "node", "root")
-    rows = rows.join(detail, "node").select("bucket", "one", "two", "side", "band", "node", "root", "n", "sketch", "bands")
+    rows = rows.join(detail, "node").select("bucket", "one", "two", "side", "band", "node", "root", "n", "sketch", "bands", "members")
     rows = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     return rows.mapInArrow(_compared(percent), "a bigint, b bigint")
 
@@ -316,7 +327,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Data
 
     # Whatever is left in buckets of several components, block by block.
     wanted = members.select("node").distinct()
-    detail = texts.select("node", "text").join(wanted, "node").mapInArrow(_long_signatures(shingle), "node bigint, n bigint, sketch binary")
+    detail = texts.select("node", "text").join(wanted, "node").mapInArrow(_long_signatures(shingle), "node bigint, n bigint, sketch binary, members binary")
     detail = kept(detail.join(nodes.select("node", "bands"), "node"), "near-detail")
     pairs = kept(candidate_pairs(members, detail, percent), "near-pairs")
     more = kept(confirmed(pairs, texts, shingle, percent), "near-links")
