@@ -13,15 +13,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
 from .common import text_key, whole_text
-from .textarrays import mix
+from .textarrays import mix, slices
 
 # Units of measure, in lower case.
 UNITS = frozenset(
@@ -44,24 +46,21 @@ _WORD, _NUMBER, _UNIT, _NAME, _NOTHING = range(5)
 
 
 def _hash(word: str) -> int:
-    value = 1469598103934665603
-    for byte in word.encode("utf-8", "surrogatepass"):
-        value = ((value ^ byte) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return value
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class Words(dict):
     """Number of each token, with what it stands for at the start of a sentence and inside; forgotten when full."""
 
-    SIZE = 300_000
+    SIZE = 600_000
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
         super().__init__()
-        self.template = np.zeros(self.SIZE, np.uint64)
-        self.value = np.zeros(self.SIZE, np.uint64)
-        self.kind = np.zeros(self.SIZE, np.uint8)
-        self.capital = np.zeros(self.SIZE, bool)
-        self.ends = np.zeros(self.SIZE, bool)
+        self.template = np.zeros(size, np.uint64)
+        self.value = np.zeros(size, np.uint64)
+        self.kind = np.zeros(size, np.uint8)
+        self.capital = np.zeros(size, bool)
+        self.ends = np.zeros(size, bool)
 
     def __missing__(self, token: str) -> int:
         at = len(self)
@@ -70,7 +69,7 @@ class Words(dict):
         self.ends[at] = token == "\n" or token.rstrip("\"')]}»”’").endswith(ENDS)
         if not word:
             self.kind[at] = _NOTHING
-        elif NUMBER.match(word) or NUMBER_UNIT.match(word):
+        elif not word.isalpha() and (NUMBER.match(word) or NUMBER_UNIT.match(word)):
             self.kind[at] = _NUMBER
         elif plain in UNITS and word not in ("in", "s", "h", "m", "l", "g", "v", "w", "j", "min", "second", "a"):
             self.kind[at] = _UNIT
@@ -86,54 +85,59 @@ _PLACEHOLDERS = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 _words: list[Words] = []
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of a text as hashes, whether each is a placeholder, and the hash of the word itself."""
-    if not _words or len(_words[0]) > Words.SIZE // 2:
-        _words[:] = [Words()]
-    words = _words[0]
-    tokens = TOKEN.findall(text)
-    if len(tokens) > Words.SIZE // 2:
-        words = Words.of(len(tokens))
-    ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    kind, starts = words.kind[ids], np.ones(len(ids), bool)
-    starts[1:] = words.ends[ids][:-1]
-    kind = np.where(words.capital[ids] & ~starts, _NAME, kind)
+def _of(size: int) -> Words:
+    """The words known so far, with room for ``size`` more."""
+    if not _words or len(_words[0]) + size > Words.SIZE:
+        _words[:] = [Words(max(Words.SIZE, size + 1))]
+    return _words[0]
+
+
+def template(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Template words of all texts as hashes, whether each is a placeholder, the hash of the word itself, and its text's number."""
+    split = [TOKEN.findall(text) for text in texts]
+    counts = np.array([len(t) for t in split], np.int64)
+    words = _of(int(counts.sum()))
+    ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    starts = np.ones(len(ids), bool)
+    starts[1:] = words.ends[ids][:-1] | (owner[1:] != owner[:-1])
+    kind = np.where(words.capital[ids] & ~starts, _NAME, words.kind[ids])
     shown = kind != _NOTHING
-    ids, kind = ids[shown], kind[shown]
+    ids, kind, owner = ids[shown], kind[shown], owner[shown]
     slot = kind != _WORD
-    return np.where(slot, _PLACEHOLDERS[kind], words.template[ids]), slot, words.value[ids]
-
-
-def _of(size: int) -> Words:
-    words = Words.__new__(Words)
-    dict.__init__(words)
-    for name, kind in (("template", np.uint64), ("value", np.uint64), ("kind", np.uint8), ("capital", bool), ("ends", bool)):
-        setattr(words, name, np.zeros(size + 1, kind))
-    return words
-
-
-Words.of = staticmethod(_of)
+    return np.where(slot, _PLACEHOLDERS[kind % 4], words.template[ids]), slot, words.value[ids], owner
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each telling window of a text, and the values in it (0 where it has a plain word).
+def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Each telling window of the texts: its text's number, hash, place, and the values in it (0 where it has a plain word).
 
     A text with fewer words than a window is one window.
     """
-    words, slot, value = template(text)
-    size = min(WINDOW, len(words))
-    if size == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint64)
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
-    literal = np.zeros(n, np.int64)
-    values = np.zeros((n, WINDOW), np.uint64)
-    for i in range(size):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-        literal += ~slot[i : i + n]
-        values[:, i] = np.where(slot[i : i + n], value[i : i + n], 0)
-    telling = np.flatnonzero(literal >= min(LITERALS, size))
-    return total[telling], telling, values[telling]
+    words, slot, value, owner = template(texts)
+    counts = np.bincount(owner, minlength=len(texts))
+    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    found = []
+    for size in range(1, WINDOW + 1):
+        n = len(words) - size + 1
+        if n <= 0:
+            break
+        whole = counts[owner[:n]] >= size if size == WINDOW else counts[owner[:n]] == size
+        at = np.flatnonzero(whole & (owner[:n] == owner[size - 1 :]))
+        if not len(at):
+            continue
+        total = np.full(len(at), size, np.uint64)
+        literal = np.zeros(len(at), np.int64)
+        values = np.zeros((len(at), WINDOW), np.uint64)
+        for i in range(size):
+            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
+            literal += ~slot[at + i]
+            values[:, i] = np.where(slot[at + i], value[at + i], 0)
+        telling = literal >= min(LITERALS, size)
+        at = at[telling]
+        found.append((owner[at], total[telling], at - first[owner[at]], values[telling]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 ROWS = "window bigint, place int, slots array<bigint>"
@@ -141,30 +145,20 @@ ROWS = "window bigint, place int, slots array<bigint>"
 
 def _rows(keys: list[str], bitmap: np.ndarray | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, hashes, places, slots, totals = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                h, p, v = windows(text or "")
-                total = len(h)
-                if bitmap is not None and total:
-                    bit = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                owner, hashes, places, slots = windows([t or "" for t in batch.column("text").to_pylist()])
+                totals = np.bincount(owner, minlength=batch.num_rows)[owner]
+                if bitmap is not None:
+                    bit = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     hit = (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    h, p, v = h[hit], p[hit], v[hit]
-                owner.append(np.full(len(h), i))
-                hashes.append(h)
-                places.append(p)
-                slots.append(v)
-                totals.append(np.full(len(h), total))
-            which = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
-            joined = np.concatenate(slots) if slots else np.zeros((0, WINDOW), np.uint64)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(joined.reshape(-1).view(np.int64)), WINDOW).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(which) for k in keys],
-                 pa.array((np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).view(np.int64)),
-                 pa.array((np.concatenate(places) if places else np.zeros(0)).astype(np.int32)), flat,
-                 pa.array((np.concatenate(totals) if totals else np.zeros(0)).astype(np.int32))],
-                names=[*keys, "window", "place", "slots", "total"],
-            )
+                    owner, hashes, places, slots, totals = (x[hit] for x in (owner, hashes, places, slots, totals))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(slots.reshape(-1).view(np.int64)), WINDOW).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(pa.array(owner)) for k in keys], pa.array(hashes.view(np.int64)),
+                     pa.array(places.astype(np.int32)), flat, pa.array(totals.astype(np.int32))],
+                    names=[*keys, "window", "place", "slots", "total"],
+                )
 
     return rows
 
