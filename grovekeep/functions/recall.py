@@ -42,9 +42,17 @@ def _per_rating(rating: Column, table: dict[int, float]) -> Column:
     return choose([(rating == c, F.lit(table[c])) for c in codes[:-1]], F.lit(table[codes[-1]]))
 
 
-def step_difficulty(difficulty: Column, rating: Column) -> Column:
-    moved = difficulty + F.lit(V.DIFFICULTY_RATE) * (F.lit(3) - rating) * (F.lit(1.0) - difficulty)
-    return F.greatest(F.lit(V.DIFFICULTY_FLOOR), F.least(F.lit(V.DIFFICULTY_CEILING), moved))
+def gap_factor(rating: Column) -> Column:
+    return F.lit(1.0) - F.lit(V.DIFFICULTY_RATE) * (F.lit(3) - rating)
+
+
+def step_gap(gap: Column, rating: Column) -> Column:
+    """The gap, 1 - difficulty, after one review.
+
+    Folds carry the gap rather than the difficulty: a review multiplies it and caps
+    it, so any number of reviews in a row compose without cancellation.
+    """
+    return F.least(F.lit(1.0 - V.DIFFICULTY_FLOOR), gap_factor(rating) * gap)
 
 
 def step_stability(stability: Column, count: Column, rating: Column) -> Column:
@@ -71,30 +79,36 @@ def fresh_state() -> Column:
         F.lit(0).cast("bigint").alias("review_count"),
         F.lit("new").alias("review_state"),
         F.lit(None).cast("timestamp").alias("last_review_at"),
+        F.lit(1.0 - V.START_DIFFICULTY).alias("gap"),
     )
 
 
-def clean_state(stability: Column, difficulty: Column, count: Column, state: Column, last: Column) -> Column:
-    """A stored state with zero and missing fields replaced by their defaults."""
+def clean_state(
+    stability: Column, difficulty: Column, count: Column, state: Column, last: Column, gap: Column | None = None
+) -> Column:
+    """A stored state with zero and missing fields replaced by their defaults; ``gap`` only where a fold has kept it."""
+    known = F.when(F.coalesce(difficulty, F.lit(0.0)) == 0, F.lit(V.START_DIFFICULTY)).otherwise(difficulty.cast("double"))
+    derived = F.lit(1.0) - known
     return F.struct(
         F.coalesce(stability.cast("double"), F.lit(0.0)).alias("stability"),
-        F.when(F.coalesce(difficulty, F.lit(0.0)) == 0, F.lit(V.START_DIFFICULTY))
-        .otherwise(difficulty.cast("double"))
-        .alias("difficulty"),
+        known.alias("difficulty"),
         F.coalesce(count.cast("bigint"), F.lit(0).cast("bigint")).alias("review_count"),
         F.when(F.coalesce(state, F.lit("")) == "", F.lit("new")).otherwise(state).alias("review_state"),
         last.cast("timestamp").alias("last_review_at"),
+        (derived if gap is None else F.coalesce(gap, derived)).alias("gap"),
     )
 
 
 def fsrs_step(state: Column, rating: Column, at: Column) -> Column:
-    """State after one review; ``state`` is a struct of STATE_FIELDS."""
+    """State after one review; ``state`` is a struct of STATE_FIELDS and the gap."""
+    gap = step_gap(state["gap"], rating)
     return F.struct(
         step_stability(state["stability"], state["review_count"], rating).alias("stability"),
-        step_difficulty(state["difficulty"], rating).alias("difficulty"),
+        (F.lit(1.0) - gap).alias("difficulty"),
         (state["review_count"] + F.lit(1)).cast("bigint").alias("review_count"),
         step_state(state["review_state"], rating).alias("review_state"),
         F.date_trunc("second", at).alias("last_review_at"),
+        gap.alias("gap"),
     )
 
 

@@ -101,6 +101,9 @@ def climb(
             break
         before = left
         state = _double(state, step, sums, trails, totals, height)
+        if wrap:
+            # A walk that has come round goes no further.
+            state = state.withColumn("jump", F.when(F.size(F.array_distinct(trails[0])) == F.size(trails[0]), F.col("jump")))
         step *= 2
     return state.drop("jump").withColumn("depth", F.when(F.col("root").isNotNull(), F.col("depth")))
 

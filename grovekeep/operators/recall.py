@@ -50,7 +50,8 @@ def _start(log: DataFrame, initial: DataFrame | None, keys: list[str] = KEY) ->
     """``log`` with ``start``: the state its key had before the first event."""
     if initial is None:
         return log.withColumn("start", R.fresh_state())
-    stored = initial.select(*keys, R.clean_state(*[F.col(c) for c in R.STATE_FIELDS]).alias("start"))
+    gap = F.col("gap") if "gap" in initial.columns else None
+    stored = initial.select(*keys, R.clean_state(*[F.col(c) for c in R.STATE_FIELDS], gap).alias("start"))
     return log.join(stored, keys, "left").withColumn("start", F.coalesce("start", R.fresh_state()))
 
 
@@ -63,16 +64,14 @@ def _block_start() -> Column:
 
     After a key's first review every later step is one of three kinds of map,
     and each kind is closed under composition: stability goes to
-    max(floor, factor * s), difficulty to clamp(slope * d + shift, low, high),
+    max(floor, factor * s), the gap below difficulty 1 to min(cap, slope * gap),
     and the state is settled by the last rating other than 2.
     """
     return F.struct(
         F.lit(0.0).alias("floor"),
         F.lit(1.0).alias("factor"),
         F.lit(1.0).alias("slope"),
-        F.lit(0.0).alias("shift"),
-        F.lit(float("-inf")).alias("low"),
-        F.lit(float("inf")).alias("high"),
+        F.lit(float("inf")).alias("cap"),
         F.lit(0).cast("bigint").alias("count"),
         F.lit(None).cast("string").alias("settled"),
         F.lit(None).cast("timestamp").alias("last"),
@@ -84,19 +83,13 @@ def _scaled(factor: Column, s: Column) -> Column:
     return F.when((s == float("inf")) | (s == 0), s).otherwise(factor * s)
 
 
-def _clamp(x: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(high, x))
-
-
 def _then(a: Column, b: Column) -> Column:
     """Block ``a`` followed by block ``b``."""
     return F.struct(
         F.greatest(b["floor"], _scaled(b["factor"], a["floor"])).alias("floor"),
         _scaled(b["factor"], a["factor"]).alias("factor"),
-        (b["slope"] * a["slope"]).alias("slope"),
-        (b["slope"] * a["shift"] + b["shift"]).alias("shift"),
-        _clamp(b["slope"] * a["low"] + b["shift"], b["low"], b["high"]).alias("low"),
-        _clamp(b["slope"] * a["high"] + b["shift"], b["low"], b["high"]).alias("high"),
+        _scaled(b["slope"], a["slope"]).alias("slope"),
+        F.least(b["cap"], _scaled(b["slope"], a["cap"])).alias("cap"),
         (a["count"] + b["count"]).cast("bigint").alias("count"),
         F.coalesce(b["settled"], a["settled"]).alias("settled"),
         F.coalesce(b["last"], a["last"]).alias("last"),
@@ -105,15 +98,12 @@ def _then(a: Column, b: Column) -> Column:
 
 def _of_event(event: Column) -> Column:
     rating = event["rating"]
-    pull = F.lit(V.DIFFICULTY_RATE) * (F.lit(3) - rating)
     factor = reduce(lambda acc, c: F.when(rating == c, F.lit(V.STABILITY_FACTOR[c])).otherwise(acc), (1, 2, 3), F.lit(V.STABILITY_FACTOR[4]))
     return F.struct(
         F.when(rating == 1, F.lit(V.LAPSE_STABILITY_FLOOR)).otherwise(F.lit(0.0)).alias("floor"),
         factor.alias("factor"),
-        (F.lit(1.0) - pull).alias("slope"),
-        pull.alias("shift"),
-        F.lit(V.DIFFICULTY_FLOOR).alias("low"),
-        F.lit(V.DIFFICULTY_CEILING).alias("high"),
+        R.gap_factor(rating).alias("slope"),
+        F.lit(1.0 - V.DIFFICULTY_FLOOR).alias("cap"),
         F.lit(1).cast("bigint").alias("count"),
         F.when(rating == 1, F.lit("relearning")).when(rating >= 3, F.lit("review")).alias("settled"),
         F.date_trunc("second", event["reviewed_at"]).alias("last"),
@@ -121,12 +111,14 @@ def _of_event(event: Column) -> Column:
 
 
 def _apply(block: Column, state: Column) -> Column:
+    gap = F.least(block["cap"], _scaled(block["slope"], state["gap"]))
     return F.struct(
         F.greatest(block["floor"], _scaled(block["factor"], state["stability"])).alias("stability"),
-        _clamp(block["slope"] * state["difficulty"] + block["shift"], block["low"], block["high"]).alias("difficulty"),
+        (F.lit(1.0) - gap).alias("difficulty"),
         (state["review_count"] + block["count"]).cast("bigint").alias("review_count"),
         F.coalesce(block["settled"], state["review_state"]).alias("review_state"),
         F.coalesce(block["last"], state["last_review_at"]).alias("last_review_at"),
+        gap.alias("gap"),
     )
 
 
@@ -159,12 +151,21 @@ def _columns_of(state: str) -> list[Column]:
     return [F.col(f"{state}.{c}").alias(c) for c in R.STATE_FIELDS]
 
 
-def recall_state_fold(log: DataFrame, initial: DataFrame | None = None, *, fold_events: int = FOLD_EVENTS) -> DataFrame:
+def recall_state_fold(
+    log: DataFrame, initial: DataFrame | None = None, *, fold_events: int = FOLD_EVENTS, with_gap: bool = False
+) -> DataFrame:
     """Final state per (owner, node), events applied in (time, id) order.
 
-    Short logs are folded as one array.  A log above ``fold_events`` is cut into
-    blocks of events that are merged independently, in two levels.
+    Events rated outside 1..4 or without a time change nothing; :func:`valid_rating`
+    gives the former.  Short logs are folded as one array.  A log above
+    ``fold_events`` is cut into blocks of events that are merged independently, in
+    two levels, with the same result.  ``with_gap`` keeps the gap, 1 - difficulty, for a
+    later fold from these states.
     """
+    log = valid_rating(log)[0].where(F.col("reviewed_at").isNotNull())
+
+    def _columns_of(state: str) -> list[Column]:
+        return [F.col(f"{state}.{c}").alias(c) for c in (*R.STATE_FIELDS, *(("gap",) if with_gap else ()))]
 
     def short(part: DataFrame) -> DataFrame:
         logs = _start(part.groupBy(*KEY).agg(_event_list()), initial)
@@ -215,7 +216,8 @@ def _before_each(units: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def recall_state_history(log: DataFrame, initial: DataFrame | None = None, *, history_events: int = HISTORY_EVENTS) -> DataFrame:
-    """State after every event."""
+    """State after every event with a valid rating and a time."""
+    log = valid_rating(log)[0].where(F.col("reviewed_at").isNotNull())
 
     def listed(logs: DataFrame) -> DataFrame:
         states = logs.select(*KEY, F.explode(_states_along(F.col("log"), F.col("start"))).alias("e"))

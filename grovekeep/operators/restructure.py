@@ -115,12 +115,20 @@ def apply_cascade_delete(nodes: DataFrame, deletes: DataFrame) -> tuple[DataFram
     """Nodes after soft-deleting ``deletes(owner_id, id)`` and all below them.
 
     A node goes if any node on its path is asked for; counting those along the
-    path needs no closure.
+    path needs no closure.  In and below a cycle the walk upward is followed until it
+    has come round, so all nodes there go that reach an asked one.
     """
     valid, unknown = _known(deletes, nodes)
     asked = valid.select("id").distinct().withColumn("_hit", F.lit(1).cast("bigint"))
     links = parent_link(nodes).join(asked, "id", "left").fillna(0, ["_hit"])
-    gone = climb(links, sums=("_hit",)).where(F.col("_hit") > 0).select("id", F.lit(True).alias("_gone"))
+    climbed = climb(links, sums=("_hit",))
+    gone = climbed.where(F.col("root").isNotNull() & (F.col("_hit") > 0)).select("id")
+    endless = climbed.where(F.col("root").isNull()).select("id")
+    if not endless.isEmpty():
+        rounds = links.join(endless, "id", "left_semi").withColumn("trail", F.col("id"))
+        walked = climb(rounds, trails=("trail", "_hit"), wrap=True)
+        gone = gone.unionByName(walked.where(F.array_contains("_hit", 1)).select("id"))
+    gone = gone.select("id", F.lit(True).alias("_gone"))
     after = nodes.join(gone, "id", "left")
     flag = F.coalesce("_gone", F.col("is_deleted"))
     return after.withColumn("is_deleted", flag).drop("_gone").select(*nodes.columns), _reject(unknown, "node_not_found")

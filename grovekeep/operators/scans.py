@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.scalars import computed_once, strip
-from .keyed import first_rows, null_safe_join
+from .keyed import first_rows, last_rows, null_safe_join
 
 
 def scan_nodes(nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -118,9 +118,14 @@ def append_sink(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upsert_by_key(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` with the non-null columns of ``changes`` (unique on ``keys``) written over it."""
+def upsert_by_key(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``target`` with the non-null columns of ``changes`` written over it.
+
+    Of several changes of one key the last by ``order`` counts, by default by all columns.
+    """
     names = [c for c in changes.columns if c not in keys]
+    changes = last_rows(changes, keys, order or names)
+    names = [c for c in names if c in target.columns]
     renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in names])
     joined = target.join(renamed, keys, "left")
     updated = {c: F.coalesce(f"_new_{c}", c) for c in names}

@@ -843,6 +843,18 @@ def recall_state_fold_mixed_log(spark, d):
                        "review_state", text("last_review_at"))
 
 
+@query
+def recall_state_fold_blocks(spark, d):
+    """Every log above ten events folded as blocks."""
+    return _state_columns(recall.recall_state_fold(X.reviews(spark, d), fold_events=10), "owner_id", "node_id")
+
+
+@query
+def recall_state_history_blocks(spark, d):
+    """Every log above ten events followed through blocks."""
+    return _state_columns(recall.recall_state_history(X.reviews(spark, d), history_events=10), "owner_id", "node_id", "event_id")
+
+
 @query
 def recall_state_history(spark, d):
     return _state_columns(recall.recall_state_history(X.reviews(spark, d)), "owner_id", "node_id", "event_id")
@@ -862,19 +874,19 @@ def recall_state_stream(spark, d):
 @query
 def recall_state_stream_keyed(spark, d):
     changes = jobs.recall_state_changes(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
-    return _state_columns(jobs.latest_states(jobs.run_to_table(changes)), "owner_id", "node_id")
+    return _state_columns(jobs.finished_states(jobs.run_to_table(changes), X.reviews(spark, d)), "owner_id", "node_id")
 
 
 @query
 def daily_review_counts_stream(spark, d):
     counts = jobs.daily_review_counts(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
-    return jobs.run_to_table(counts)
+    return jobs.finished_counts(jobs.run_to_table(counts), X.reviews(spark, d))
 
 
 @query
 def stream_insert_ignore(spark, d):
-    rows = X.records_of(X.read_stream(spark, d, "lineitem"))
-    return jobs.run_to_table(jobs.insert_ignore(rows, ["order_key", "line"], "answered_at", X.STREAM_DELAY).select("order_key", "line"))
+    rows = X.records_of(X.read_stream(spark, d, "lineitem")).select("order_key", "line", "answered_at")
+    return jobs.run_into(rows, lambda path: jobs.insert_new_rows(path, ["order_key", "line"], ["answered_at"])).select("order_key", "line")
 
 
 @query

@@ -389,13 +389,11 @@ sql("recall_state_fold_mixed_log", f"""
            {time("last_review_at")} AS last_review_at FROM mixed_final""")
 sql("recall_state_history", _state("fold", "owner_id", "node_id", "event_id"))
 sql("daily_review_counts", "SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews GROUP BY ALL")
-sql("recall_state_stream", _state("settled_final", "owner_id", "node_id"))
-sql("recall_state_stream_keyed", _state("passed_final", "owner_id", "node_id"))
-sql("daily_review_counts_stream", """
-    SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews
-    GROUP BY owner_id, strftime(reviewed_at, '%Y-%m-%d'), date_trunc('day', reviewed_at)
-    HAVING epoch_us(date_trunc('day', reviewed_at)) + 86400000000
-        <= (SELECT floor(max(epoch_us(ts)) / 1000)::BIGINT - 3600000 FROM events) * 1000""")
+sql("recall_state_fold_blocks", _state("final", "owner_id", "node_id"))
+sql("recall_state_history_blocks", _state("fold", "owner_id", "node_id", "event_id"))
+sql("recall_state_stream", _state("final", "owner_id", "node_id"))
+sql("recall_state_stream_keyed", _state("final", "owner_id", "node_id"))
+sql("daily_review_counts_stream", "SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews GROUP BY ALL")
 sql("stream_insert_ignore", "SELECT DISTINCT order_key, line FROM records")
 sql("stream_insert_into_table", """
     SELECT order_key, line, question_id, price FROM records

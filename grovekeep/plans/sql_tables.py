@@ -268,19 +268,20 @@ def step(stability: str, difficulty: str, count: str, state: str, r: str) -> tup
 
 
 def _fold(log: str, name: str) -> str:
-    s0, d0, t0 = step("0::DOUBLE", "0.3::DOUBLE", "0", "'new'", "rating")
-    s1, d1, t1 = step("f.stability", "f.difficulty", "f.review_count", "f.review_state", "l.rating")
+    s0, _, t0 = step("0::DOUBLE", "0.3::DOUBLE", "0", "'new'", "rating")
+    s1, _, t1 = step("f.stability", "f.difficulty", "f.review_count", "f.review_state", "l.rating")
+    # The gap, 1 - difficulty, is carried: a review multiplies and caps it.
+    g0, g1 = (f"least(0.99::DOUBLE, (1 - 0.15::DOUBLE * (3 - {r})) * {g})" for r, g in (("rating", "0.7::DOUBLE"), ("l.rating", "f.gap")))
     return f"""
-    SELECT owner_id, node_id, event_id, rn, {s0} AS stability, {d0} AS difficulty, 1::BIGINT AS review_count,
-           {t0} AS review_state, date_trunc('second', reviewed_at) AS last_review_at
+    SELECT owner_id, node_id, event_id, rn, {s0} AS stability, 1 - {g0} AS difficulty, 1::BIGINT AS review_count,
+           {t0} AS review_state, date_trunc('second', reviewed_at) AS last_review_at, {g0} AS gap
     FROM {log} WHERE rn = 1
     UNION ALL
-    SELECT l.owner_id, l.node_id, l.event_id, l.rn, {s1}, {d1}, f.review_count + 1, {t1}, date_trunc('second', l.reviewed_at)
+    SELECT l.owner_id, l.node_id, l.event_id, l.rn, {s1}, 1 - {g1}, f.review_count + 1, {t1}, date_trunc('second', l.reviewed_at), {g1}
     FROM {name} f JOIN {log} l ON l.owner_id = f.owner_id AND l.node_id = f.node_id AND l.rn = f.rn + 1"""
 
 
 _RANKED = "row_number() OVER (PARTITION BY owner_id, node_id ORDER BY reviewed_at, event_id) AS rn"
-_MARK = "(SELECT floor(max(epoch_us(ts)) / 1000)::BIGINT - 3600000 FROM events)"
 TABLES["log"] = f"SELECT *, {_RANKED} FROM reviews"
 TABLES["both_logs"] = """
     SELECT event_id, owner_id, node_id, rating, reviewed_at FROM reviews
@@ -288,12 +289,8 @@ TABLES["both_logs"] = """
     SELECT event_id + 1000000000, owner_id, node_id, CASE WHEN rating <> 1 THEN 3 ELSE 1 END,
            date_trunc('second', reviewed_at) + INTERVAL 1 HOUR FROM reviews"""
 TABLES["mixed_log"] = f"SELECT *, {_RANKED} FROM both_logs"
-TABLES["passed_log"] = f"SELECT * FROM log WHERE ceil(epoch_us(reviewed_at) / 1000)::BIGINT < {_MARK}"
-TABLES["settled_log"] = "SELECT * FROM log WHERE reviewed_at < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-TABLES["settled_fold"] = _fold("settled_log", "settled_fold")
 TABLES["fold"] = _fold("log", "fold")
 TABLES["mixed_fold"] = _fold("mixed_log", "mixed_fold")
-TABLES["passed_fold"] = _fold("passed_log", "passed_fold")
 
 
 def _last(fold: str) -> str:
@@ -302,8 +299,6 @@ def _last(fold: str) -> str:
 
 TABLES["final"] = _last("fold")
 TABLES["mixed_final"] = _last("mixed_fold")
-TABLES["settled_final"] = _last("settled_fold")
-TABLES["passed_final"] = _last("passed_fold")
 
 TABLES["raw_questions"] = """
     SELECT p_partkey AS id,

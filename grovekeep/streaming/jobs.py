@@ -11,27 +11,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as V
 from ..operators.keyed import last_rows
-from ..operators.recall import KEY, recall_state_fold, with_next_review
+from ..operators import recall as batch_recall
+from ..operators.keyed import rank_rows
+from ..operators.recall import KEY, recall_state_fold, valid_rating, with_next_review
 from ..operators.scans import insert_ignore as new_rows
 from ..scratch import new_path
 
 _STATE = (
-    "stability double, difficulty double, count long, state string, last_us long, "
+    "stability double, gap double, count long, state string, last_us long, "
     "times array<long>, ids array<long>, ratings array<int>"
 )
 
 
-def _key_folder(keys: list[str], rate: float, bounds: tuple, start: float, first: dict, factor: dict, lapse: float) -> Callable:
+def _key_folder(keys: list[str], rate: float, low: float, start: float, first: dict, factor: dict, lapse: float) -> Callable:
     """The per-key function of :func:`recall_state_changes`.
 
     It is built from plain values, so workers need no copy of this package.
     """
-    low, high = bounds
-    columns = [*keys, "stability", "difficulty", "review_count", "review_state", "last_review_at"]
+    columns = [*keys, "stability", "difficulty", "review_count", "review_state", "last_review_at", "gap"]
 
-    def advance(stability: float, difficulty: float, count: int, state: str, rating: int) -> tuple:
+    def advance(stability: float, gap: float, count: int, state: str, rating: int) -> tuple:
         """One review on plain numbers; the same rules as ``functions.recall``."""
-        difficulty = max(low, min(high, difficulty + rate * (3 - rating) * (1 - difficulty)))
+        gap = min(1.0 - low, (1.0 - rate * (3 - rating)) * gap)
         if count == 0 or stability <= 0:
             stability = first[rating]
         else:
@@ -41,7 +42,7 @@ def _key_folder(keys: list[str], rate: float, bounds: tuple, start: float, first
             state = "review"
         elif rating == 1:
             state = "relearning"
-        return stability, difficulty, count + 1, state
+        return stability, gap, count + 1, state
 
     def fold_key(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         """Hold events until the watermark has passed them, then apply them in order."""
@@ -49,7 +50,7 @@ def _key_folder(keys: list[str], rate: float, bounds: tuple, start: float, first
             *now, last_us, times, ids, ratings = group.get
             waiting = list(zip(times, ids, ratings))
         else:
-            now, last_us, waiting = [0.0, start, 0, "new"], -1, []
+            now, last_us, waiting = [0.0, 1.0 - start, 0, "new"], -1, []
         if not group.hasTimedOut:
             for chunk in chunks:
                 waiting.extend(zip(chunk["at_us"].tolist(), chunk["event_id"].tolist(), chunk["rating"].tolist()))
@@ -64,7 +65,8 @@ def _key_folder(keys: list[str], rate: float, bounds: tuple, start: float, first
         if waiting:
             group.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), mark + 1))
         if ready:
-            yield pd.DataFrame([[*key, *now, pd.Timestamp(last_us, unit="us")]], columns=columns)
+            stability, gap, count, state = now
+            yield pd.DataFrame([[*key, stability, 1.0 - gap, count, state, pd.Timestamp(last_us, unit="us"), gap]], columns=columns)
 
     return fold_key
 
@@ -80,11 +82,13 @@ def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
     keys = [f.dataType.simpleString() for f in (reviews.schema[k] for k in KEY)]
     out = (
         f"owner_id {keys[0]}, node_id {keys[1]}, stability double, difficulty double, review_count long, "
-        "review_state string, last_review_at timestamp"
+        "review_state string, last_review_at timestamp, gap double"
     )
+    # Rows without a valid rating or a time change nothing and would stop the fold.
+    reviews = valid_rating(reviews)[0].where(F.col("reviewed_at").isNotNull())
     marked = reviews.withWatermark("reviewed_at", delay).withColumn("at_us", F.unix_micros("reviewed_at"))
     fold_key = _key_folder(
-        KEY, V.DIFFICULTY_RATE, (V.DIFFICULTY_FLOOR, V.DIFFICULTY_CEILING), V.START_DIFFICULTY,
+        KEY, V.DIFFICULTY_RATE, V.DIFFICULTY_FLOOR, V.START_DIFFICULTY,
         V.FIRST_STABILITY, V.STABILITY_FACTOR, V.LAPSE_STABILITY_FLOOR,
     )
     return marked.groupBy(*KEY).applyInPandasWithState(fold_key, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -96,8 +100,9 @@ def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], No
     Tables under ``path``, each with one folder per batch:
     ``state`` the state of every key; ``pending`` reviews newer than the mark,
     which trails the newest review by ``delay_seconds``; ``mark`` that time;
-    ``late`` reviews that came after the mark had passed them.  A batch reads
-    what the batch before it left and rewrites its own folders when replayed.
+    ``late`` reviews that came after the mark had passed them; ``rejected`` reviews
+    without a valid rating or a time.  A batch reads what the batch before it left and
+    rewrites its own folders when replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -110,7 +115,10 @@ def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], No
         def before(name: str, schema) -> DataFrame:
             return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch_id - 1}")
 
-        fresh = batch.select(*KEY, "event_id", "rating", "reviewed_at")
+        every = batch.select(*KEY, "event_id", "rating", "reviewed_at")
+        sound = F.coalesce(F.col("rating").isin(1, 2, 3, 4), F.lit(False)) & F.col("reviewed_at").isNotNull()
+        store(every.where(~sound), "rejected")
+        fresh = every.where(sound)
         at = F.unix_micros("reviewed_at")
         initial, passed = None, None
         if batch_id > 0:
@@ -126,7 +134,7 @@ def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], No
         mark = store(waiting.agg(F.greatest(newest, F.lit(passed).cast("bigint")).alias("mark")), "mark").first()["mark"]
         due = F.lit(False) if mark is None else at < mark
         store(waiting.where(~due), "pending")
-        states = recall_state_fold(waiting.where(due), initial)
+        states = recall_state_fold(waiting.where(due), initial, with_gap=True)
         if initial is not None:
             states = initial.join(states.select(*KEY), KEY, "left_anti").unionByName(states)
         store(states, "state")
@@ -135,7 +143,10 @@ def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], No
 
 
 def fold_stream(reviews: DataFrame, delay_seconds: int) -> DataFrame:
-    """Process all available reviews through :func:`fold_batches`; the last state table."""
+    """Process all available reviews through :func:`fold_batches`; the states after the last one.
+
+    The input has an end, so what still waits for the mark is folded too.
+    """
     spark = reviews.sparkSession
     path = new_path(spark, "stream")
     running = (
@@ -145,7 +156,35 @@ def fold_stream(reviews: DataFrame, delay_seconds: int) -> DataFrame:
     running.awaitTermination()
     states = spark.read.parquet(f"{path}/state")
     last = states.agg(F.max("batch")).first()[0]
-    return states.where(F.col("batch").eqNullSafe(last)).drop("batch")
+    if last is None:
+        return states.drop("batch", "gap")
+    states = states.where(F.col("batch") == last).drop("batch")
+    pending = spark.read.parquet(f"{path}/pending/batch={last}")
+    flushed = recall_state_fold(pending, states, with_gap=True)
+    return states.join(flushed.select(*KEY), KEY, "left_anti").unionByName(flushed).drop("gap")
+
+
+def finished_states(changes: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Current state per key once the input has ended: the last change, and the reviews that still waited.
+
+    ``reviews`` is the whole input; of each key's reviews in order the first
+    ``review_count`` have been applied.
+    """
+    now = last_rows(changes, KEY, ["review_count"])
+    sound = valid_rating(reviews)[0].where(F.col("reviewed_at").isNotNull())
+    ranked = rank_rows(sound, KEY, [F.col("reviewed_at"), F.col("event_id")], "_rank")
+    counts = now.select(*KEY, F.col("review_count").alias("_applied"))
+    waiting = ranked.join(counts, KEY, "left").where(F.col("_rank") > F.coalesce("_applied", F.lit(0))).drop("_rank", "_applied")
+    flushed = recall_state_fold(waiting, now, with_gap=True)
+    kept = with_next_review(now).join(flushed.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(flushed).drop("gap")
+
+
+def finished_counts(counts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Closed days of :func:`daily_review_counts` and, the input having ended, the days still open."""
+    closed = counts.select("owner_id", "day").distinct()
+    every = batch_recall.daily_review_counts(reviews.where(F.col("reviewed_at").isNotNull()))
+    return counts.unionByName(every.join(closed, ["owner_id", "day"], "left_anti").select(*counts.columns))
 
 
 def latest_states(changes: DataFrame) -> DataFrame:
@@ -161,7 +200,11 @@ def daily_review_counts(reviews: DataFrame, delay: str) -> DataFrame:
 
 
 def insert_ignore(rows: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
-    """First arrival of each key; a key is remembered for ``delay`` of event time."""
+    """First arrival of each key, for rows that arrive in event order.
+
+    A key is remembered for ``delay`` of event time and rows later than that are
+    dropped; :func:`insert_new_rows` is exact for any order.
+    """
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 

@@ -8,7 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+from grovekeep.plans.catalog import QUERIES as CATALOG
+
+QUERIES = {name: build for name, build in entry_points.queries().items() if name in CATALOG}
+SQL = {name: sql for name, sql in entry_points.oracle_sql().items() if name in CATALOG}
 TYPES = {"int64": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "bool": "BOOLEAN"}
 
 

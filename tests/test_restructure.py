@@ -131,3 +131,17 @@ def test_upsert_and_insert_ignore(spark):
     assert rows(scans.upsert_by_key(target, changes, ["id"]), "id", "x", "y") == [(1, "a", 1), (2, "c", 2)]
     incoming = spark.createDataFrame([(2, "z", 0), (3, "p", 2), (3, "q", 1)], "id int, x string, y int")
     assert rows(scans.insert_ignore(target, incoming, ["id"], ["y"]), "id", "x") == [(3, "q")]
+
+
+def test_cascade_follows_cycles(spark, forest):
+    nodes = forest((1, 6), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 4), (8, None), (9, 8), (10, 10))
+    deletes = spark.createDataFrame([(1, "o", 1)], "seq int, owner_id string, id long")
+    after, _ = S.apply_cascade_delete(nodes, deletes)
+    assert sorted(r.id for r in after.where("is_deleted").collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_the_last_of_repeated_changes_counts(spark):
+    target = spark.createDataFrame([(1, "a", 1)], "id int, x string, y int")
+    changes = spark.createDataFrame([(1, "b", 5, 1), (1, "c", 4, 2)], "id int, x string, y int, at int")
+    got = scans.upsert_by_key(target, changes, ["id"], ["at"]).collect()
+    assert [tuple(r) for r in got] == [(1, "c", 4)]

@@ -29,12 +29,28 @@ def as_dict(df):
 def test_batch_and_keyed_streams_equal_the_batch_fold(spark, tmp_path):
     rows = events(120)
     stream = write_files(spark, tmp_path, [rows[:50], rows[50:80], rows[80:]])
-    newest = max(r[4] for r in rows)
-    whole = spark.createDataFrame(rows, LOG)
-    settled = whole.where(F.col("reviewed_at") < F.lit(newest - timedelta(hours=1)))
-    want = as_dict(recall.recall_state_fold(settled))
+    want = as_dict(recall.recall_state_fold(spark.createDataFrame(rows, LOG)))
     assert as_dict(jobs.fold_stream(stream, 3600)) == want
-    assert as_dict(jobs.latest_states(jobs.run_to_table(jobs.recall_state_changes(stream, "1 hour")))) == want
+    changes = jobs.run_to_table(jobs.recall_state_changes(stream, "1 hour"))
+    assert as_dict(jobs.finished_states(changes, spark.createDataFrame(rows, LOG))) == want
+
+
+def test_rows_without_time_or_valid_rating_change_nothing(spark, tmp_path):
+    good = events(40)
+    bad = [(900, "o", 1, 3, None), (901, "o", 1, 0, T0), (902, "o", 2, None, T0), (903, "o", 2, 9, T0)]
+    stream = write_files(spark, tmp_path, [good[:20] + bad, good[20:]])
+    want = as_dict(recall.recall_state_fold(spark.createDataFrame(good, LOG)))
+    assert as_dict(recall.recall_state_fold(spark.createDataFrame(good + bad, LOG))) == want
+    assert as_dict(jobs.fold_stream(stream, 3600)) == want
+    changes = jobs.run_to_table(jobs.recall_state_changes(stream, "1 hour"))
+    assert as_dict(jobs.finished_states(changes, spark.createDataFrame(good + bad, LOG))) == want
+
+
+def test_exact_insertion_over_files_in_any_order(spark, tmp_path):
+    files = [[(1, "o", 1, 3, T0 + timedelta(days=200))], [(5, "o", 1, 3, T0)], [(1, "o", 1, 2, T0 + timedelta(days=400)), (2, "o", 1, 3, T0)], [(3, "o", 1, 1, T0)]]
+    stream = write_files(spark, tmp_path, files)
+    table = jobs.run_into(stream, lambda path: jobs.insert_new_rows(path, ["event_id"], ["reviewed_at"]))
+    assert sorted((r.event_id, r.rating) for r in table.collect()) == [(1, 3), (2, 3), (3, 1), (5, 3)]
 
 
 def test_late_reviews_are_set_aside(spark, tmp_path):
@@ -66,6 +82,9 @@ def test_days_are_emitted_once_closed(spark, tmp_path):
     stream = write_files(spark, tmp_path, [rows])
     got = sorted((r.day, r.reviews) for r in jobs.run_to_table(jobs.daily_review_counts(stream, "1 hour")).collect())
     assert got == [("2024-01-01", 3), ("2024-01-02", 3)]
+    counts = jobs.run_to_table(jobs.daily_review_counts(stream, "1 hour"))
+    every = sorted((r.day, r.reviews) for r in jobs.finished_counts(counts, spark.createDataFrame(rows, LOG)).collect())
+    assert every == [*got, ("2024-01-03", 2)]
 
 
 def test_a_key_is_taken_once_within_the_delay(spark, tmp_path):
