@@ -706,7 +706,7 @@ def retrievability(spark, d):
 
 @query
 def fsrs_step(spark, d):
-    """Each key's first event applied to a stored state."""
+    """Every event applied to a stored state."""
     e = X.reviews(spark, d)
     n = F.col("event_id")
     state = F.struct(
@@ -715,6 +715,7 @@ def fsrs_step(spark, d):
         F.pmod(n, F.lit(4)).cast("bigint").alias("review_count"),
         F.when(F.pmod(n, F.lit(3)) == 0, "new").when(F.pmod(n, F.lit(3)) == 1, "review").otherwise("relearning").alias("review_state"),
         F.lit(None).cast("timestamp").alias("last_review_at"),
+        (F.lit(0.95) - F.pmod(n, F.lit(10)) / 10.0).alias("gap"),
     )
     stepped = e.select("event_id", state.alias("s"), "rating", "reviewed_at").select(
         "event_id", R.fsrs_step(F.col("s"), F.col("rating"), F.col("reviewed_at")).alias("t"))
