@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, 1 << 16)
         for name, base in (("up", BASE), ("down", INVERSE)):
             values = np.full(size, base, dtype=np.uint64)
