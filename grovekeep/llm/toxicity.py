@@ -67,7 +67,7 @@ class Settings:
 
     sample: int = 12_000
     entries: int = 5_000
-    least_rows: int = 8
+    least_rows: int = 5
     least_share: float = 0.5
     prefix: tuple[int, int] = (4, 7)
     rounds: tuple[float, ...] = (0.01, 0.2)  # least part of the toxic rows not yet explained
