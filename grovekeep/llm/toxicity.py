@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
@@ -69,6 +70,7 @@ class Settings:
     entries: int = 5_000
     least_rows: int = 5
     least_share: float = 0.5
+    repeats: tuple[int, ...] = (1, 2, 3, 4)  # a term may be judged by the rows that hold it so often
     prefix: tuple[int, int] = (4, 7)
     rounds: tuple[float, ...] = (0.01, 0.2)  # least part of the toxic rows not yet explained
     bins: int = 24
@@ -130,15 +132,21 @@ def _terms(settings: Settings):
     low, high = settings.prefix
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct folded words and beginnings of words of each text."""
+        """Folded words and beginnings of words of each text, with how often they occur, up to the highest of ``repeats``."""
+        most = max(settings.repeats)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
-                words = set(fold(text).split(" ")) - {""}
-                found = {f" {w} " for w in words}
-                for size in range(low, high + 1):
-                    found.update(f" {w[:size]}" for w in words if len(w) > size)
+                found: Counter[str] = Counter()
+                for word, times in Counter(fold(text).split()).items():
+                    found[f" {word} "] += times
+                    for size in range(low, min(high + 1, len(word))):
+                        found[f" {word[:size]}"] += times
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.string()), pa.array([label] * len(found), pa.int32())], names=["term", "label"]
+                    [
+                        pa.array(list(found), pa.string()), pa.array([label] * len(found), pa.int32()),
+                        pa.array([min(n, most) for n in found.values()], pa.int32()),
+                    ],
+                    names=["term", "label", "times"],
                 )
 
     return terms
@@ -159,6 +167,13 @@ def _chosen_terms(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     return weights
 
 
+def _sure_share(toxic: Column, clean: Column) -> Column:
+    """Lower bound (Wilson, two standard deviations) of the share of toxic rows among those with a term; null without any."""
+    n = F.nullif(toxic + clean, F.lit(0))
+    part = toxic / n
+    return (part + 2 / n - 2 * F.sqrt(part * (1 - part) / n + 1 / (n * n))) / (1 + 4 / n)
+
+
 def _values(lexicon: Lexicon):
     def value(texts: pd.Series) -> pd.Series:
         return pd.Series([lexicon.value(t) for t in texts], dtype=float)
@@ -171,8 +186,8 @@ def fit_lexicon(
 ) -> Lexicon:
     """Learn a lexicon from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
-    A term is an entry if rows that hold it are toxic for the most part, with confidence;
-    its weight is its log odds.  Of a word's
+    A term is an entry if rows that hold it, or hold it several times, are toxic for the most
+    part, with confidence; its weight is the log odds of holding it.  Of a word's
     beginnings the longest one is kept that still stands for the same rows.  Words that
     begin like an entry but occur in rows that are not toxic become exceptions, beside
     the phrases given.  Null labels are left out, null texts are empty, repeated labels
@@ -193,16 +208,18 @@ def fit_lexicon(
         least = max(s.least_rows, share * toxic)
         if toxic < least:
             continue
-        terms = left.select("text", "_label").mapInArrow(_terms(s), "term string, label int")
-        counted = terms.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        # Lower bound (Wilson, two standard deviations) of the share of toxic rows among those with the term.
-        n, part = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
-        bound = (part + 2 / n - 2 * F.sqrt(part * (1 - part) / n + 1 / (n * n))) / (1 + 4 / n)
-        heavy = (
-            counted.withColumn("odds", odds).where((F.col("toxic") >= least) & (bound >= s.least_share))
-            .orderBy(F.desc("odds"), "term").limit(s.entries).collect()
+        terms = left.select("text", "_label").mapInArrow(_terms(s), "term string, label int, times int")
+        often = [(k, (F.col("times") >= k).cast("int")) for k in s.repeats]
+        counted = terms.groupBy("term").agg(
+            F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"),
+            *[F.sum(F.col("label") * held).alias(f"toxic_{k}") for k, held in often],
+            *[F.sum((1 - F.col("label")) * held).alias(f"clean_{k}") for k, held in often],
         )
+        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+        telling = F.lit(False)
+        for k in s.repeats:
+            telling |= F.coalesce((F.col(f"toxic_{k}") >= least) & (_sure_share(F.col(f"toxic_{k}"), F.col(f"clean_{k}")) >= s.least_share), F.lit(False))
+        heavy = counted.withColumn("odds", odds).where(telling & (F.col("odds") > 0)).orderBy(F.desc("odds"), "term").limit(s.entries).collect()
         found = {r["term"]: (r["toxic"], float(r["odds"])) for r in heavy}
         lexicon = Lexicon({**_chosen_terms(found), **lexicon.weights}, list(given))
         value = F.pandas_udf(_values(lexicon), "double")
@@ -217,7 +234,7 @@ def fit_lexicon(
         begins = F.lit(False)
         for size in sorted({len(t) for t in stems}):
             begins |= F.substring("term", 1, size).isin([t for t in stems if len(t) == size])
-        words = rows.select("text", "_label").mapInArrow(_terms(Settings(prefix=(1, 0))), "term string, label int")
+        words = rows.select("text", "_label").mapInArrow(_terms(Settings(prefix=(1, 0))), "term string, label int, times int")
         counted = words.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
         benign = counted.where(F.col("term").endswith(" ") & begins & (F.col("clean") >= 2) & (F.col("clean") * toxic > F.col("toxic") * clean))
         lexicon.exceptions += [r["term"] for r in benign.orderBy(F.desc("clean"), "term").limit(s.entries).collect()]
