@@ -32,8 +32,12 @@ def next_sort_order(nodes: DataFrame, exclude: DataFrame | None = None) -> DataF
     return live.groupBy(*SIBLING_KEY).agg((F.max("sort_order") + 1).alias("next_order"))
 
 
-def append_order(nodes: DataFrame, arrivals: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``arrivals`` with ``sort_order``: numbered by ``seq`` after the present children."""
+def append_order(
+    nodes: DataFrame, arrivals: DataFrame, *, with_deleted: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``arrivals`` with ``sort_order``: numbered by ``seq`` after the live children, or after all of them."""
+    if with_deleted:
+        nodes = nodes.withColumn("is_deleted", F.lit(False))
     ranked = rank_rows(arrivals, SIBLING_KEY, [F.col("seq")], "_rank", hot_rows=hot_rows)
     joined = null_safe_join(ranked, next_sort_order(nodes), SIBLING_KEY, "left")
     order = F.coalesce("next_order", F.lit(0.0)) + F.col("_rank") - 1
@@ -319,7 +323,8 @@ def place_generated_nodes(
     """Inserts for ``suggestions(seq, owner_id, name, content, suggested_parent)``, and the skipped.
 
     A suggestion goes under its best matching node; suggestions without a match
-    share one new root per (owner, suggested parent), ignoring case.
+    share one new root per (owner, suggested parent), ignoring case.  New nodes come
+    after all siblings, deleted ones included.
     """
     kind = nodes.schema["id"].dataType
     nameless = suggestions.where(F.coalesce(F.length("suggested_parent"), F.lit(0)) == 0)
@@ -334,7 +339,7 @@ def place_generated_nodes(
     )
     new_id = stable_id(kind, F.col("owner_id"), F.lit("root"), F.col("wanted"))
     roots = fresh.withColumns({"id": new_id, "parent_id": F.lit(None).cast(kind), "content": F.lit("")})
-    root_rows = append_order(nodes, roots, hot_rows=hot_rows)
+    root_rows = append_order(nodes, roots, with_deleted=True, hot_rows=hot_rows)
 
     target = roots.select("owner_id", "wanted", F.col("id").alias("_new"))
     aimed = asked.join(target, ["owner_id", "wanted"], "left").withColumn("parent_id", F.coalesce("_match", "_new"))
@@ -342,7 +347,7 @@ def place_generated_nodes(
     named = resolve_names(nodes, aimed, hot_rows=hot_rows)
     good = named.where(F.col("final_name").isNotNull()).withColumn("name", F.col("final_name")).drop("final_name")
     good = good.withColumn("id", stable_id(kind, F.col("owner_id"), F.col("parent_id"), F.col("name"), F.col("seq")))
-    child_rows = append_order(nodes, good, hot_rows=hot_rows)
+    child_rows = append_order(nodes, good, with_deleted=True, hot_rows=hot_rows)
     columns = ["seq", "owner_id", "id", "parent_id", "name", "content", "sort_order"]
     inserts = root_rows.select(*columns).withColumn("is_new_root", F.lit(True)).unionByName(
         child_rows.select(*columns).withColumn("is_new_root", F.lit(False))
@@ -360,7 +365,7 @@ def place_extracted_nodes(
     good = named.where(F.col("final_name").isNotNull()).withColumn("name", F.col("final_name")).drop("final_name")
     good = good.withColumn("id", stable_id(kind, F.col("owner_id"), F.col("parent_id"), F.col("name"), F.col("seq")))
     skipped = named.where(F.col("final_name").isNull()).select("seq", "owner_id", "name", F.lit("name_taken_twice").alias("reason"))
-    return append_order(nodes, good, hot_rows=hot_rows), skipped
+    return append_order(nodes, good, with_deleted=True, hot_rows=hot_rows), skipped
 
 
 def placement_summary(inserts: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ TABLES["named"] = f"""
     SELECT *, CASE nth WHEN 1 THEN name WHEN 2 THEN name || {quote(V.DUPLICATE_NAME_SUFFIX)} END AS final_name
     FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, target, name ORDER BY seq) AS nth FROM aimed)"""
 TABLES["named_next"] = """
-    SELECT owner_id, parent_id, max(sort_order) + 1 AS next_order FROM named_nodes WHERE NOT is_deleted GROUP BY ALL"""
+    SELECT owner_id, parent_id, max(sort_order) + 1 AS next_order FROM named_nodes GROUP BY ALL"""
 TABLES["new_roots"] = """
     SELECT f.seq, f.owner_id, f.name,
            coalesce(n.next_order, 0) + row_number() OVER (PARTITION BY f.owner_id ORDER BY f.seq) - 1 AS sort_order

@@ -145,3 +145,15 @@ def test_the_last_of_repeated_changes_counts(spark):
     changes = spark.createDataFrame([(1, "b", 5, 1), (1, "c", 4, 2)], "id int, x string, y int, at int")
     got = scans.upsert_by_key(target, changes, ["id"], ["at"]).collect()
     assert [tuple(r) for r in got] == [(1, "c", 4)]
+
+
+def test_placed_nodes_come_after_deleted_siblings(spark, forest):
+    nodes = forest((1, None, {"name": "Biology"}), (2, 1, {"sort_order": 0.0}), (3, 1, {"sort_order": 7.0, "is_deleted": True}), (4, None, {"sort_order": 4.0, "is_deleted": True}))
+    suggestions = spark.createDataFrame(
+        [(1, "o", "Cells", "", "biology"), (2, "o", "Atoms", "", "Chemistry")],
+        "seq long, owner_id string, name string, content string, suggested_parent string",
+    )
+    made, _ = S.place_generated_nodes(nodes, suggestions)
+    assert rows(made, "name", "sort_order") == [("Atoms", 0.0), ("Cells", 8.0), ("Chemistry", 5.0)]
+    extracted = spark.createDataFrame([(1, "o", 1, "Genes", "")], "seq long, owner_id string, parent_id long, name string, content string")
+    assert rows(S.place_extracted_nodes(nodes, extracted)[0], "name", "sort_order") == [("Genes", 8.0)]
