@@ -173,6 +173,17 @@ def test_repeats(spark, group, keep_first):
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == _repeats(rows, 20)
 
 
+def test_repeats_of_frequent_anchors(spark, monkeypatch):
+    """Anchors dealt over many parts give what brute force gives."""
+    monkeypatch.setattr(repeats, "FREQUENT", 3)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    rows = [(i, (str(i * 7919) if i % 3 else "") + passage + "tail" * (i % 4)) for i in range(60)] + [(60, passage[:199]), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == _repeats(rows, 200)
+
+
 def test_repeats_of_table(spark, sf, odd, empty):
     for docs in (read(spark, sf, "documents"), odd):
         got = repeats.remove_repeats(docs).collect()
