@@ -90,11 +90,14 @@ def rank_rows(df: DataFrame, by: list[str], order: list[Column], out: str, *, ho
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
-    """First ``n`` rows of each group, for a small ``n``.
+    """First ``n`` rows of each group; ``order`` must be unique there.
 
-    Spark limits each group before the shuffle, so a hot group ships at most
-    ``n`` rows per input partition.
+    Up to a threshold of its own Spark limits each group before the shuffle, so a
+    hot group ships at most ``n`` rows per input partition.  Beyond it rows are
+    ranked by :func:`rank_rows`, which spreads hot groups, with the same result.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return rank_rows(df, by, order, out).where(F.col(out) <= n).withColumn(out, F.col(out).cast("int"))
     frame = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(frame)).where(F.col(out) <= n)
 

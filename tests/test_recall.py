@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekeep.functions import recall as R
 from grovekeep.functions.scalars import parse_time, round_half_even
-from grovekeep.operators import recall
+from grovekeep.operators import keyed, recall
 
 LOG = "event_id long, owner_id string, node_id long, rating int, reviewed_at timestamp"
 START = datetime(2024, 1, 1)
@@ -155,3 +155,13 @@ def test_long_runs_have_one_result(spark, runs, stored):
         assert other.difficulty == pytest.approx(whole.difficulty, rel=1e-9)
         assert other.stability == pytest.approx(whole.stability, rel=1e-9) or other.stability == whole.stability
         assert (other.review_count, other.review_state) == (whole.review_count, whole.review_state)
+
+
+def test_top_rows_beyond_the_group_limit(spark):
+    """A large ``n`` gives the rows and ranks of the plain window."""
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'a', 'b') AS owner_id")
+    top = keyed.top_rows(rows, ["owner_id"], [F.col("id").desc()], 1500)
+    got = sorted((r.owner_id, r.rank, r.id) for r in top.collect())
+    want = [("a", i + 1, 2997 - 3 * i) for i in range(1000)]
+    rest = [i for i in range(2999, -1, -1) if i % 3][:1500]
+    assert got == want + [("b", i + 1, v) for i, v in enumerate(rest)]
