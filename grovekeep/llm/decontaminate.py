@@ -3,7 +3,9 @@
 Words of a text become a template: numbers, units of measure and names give way to
 typed placeholders, other words are lower-cased without punctuation at their ends.
 Windows of five template words of documents are joined by hash with those of the
-benchmark.  Matches on one alignment belong together; they count only if the
+benchmark, and windows of the words themselves, so that what is copied is found in
+any context; items shorter than a window are joined by windows of their own length,
+items of hardly any plain words by the words themselves only.  Matches on one alignment belong together; they count only if the
 values in the placeholders are consistent, each value of the benchmark standing
 for one value of the document.  That finds copies of a question and the same
 question with other numbers and names.
@@ -34,12 +36,19 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\Z")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([^\W\d_]+|%)\Z")
-TRIM = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
+TRIM = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—、。，．！？：；（）［］｛｝「」『』【】〔〕《》〈〉・〜～"
 TOKEN = re.compile(r"\n|\S+")
-ENDS = (".", "!", "?", ":", "…")
+# Scripts written without spaces, and their punctuation: each character is a word.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff9f\U00020000-\U0003ffff"
+)
+ANY_TOKEN = re.compile(rf"\n|[{UNSPACED}]|[^\s{UNSPACED}]+")
+ENDS = (".", "!", "?", ":", "…", "。", "！", "？", "：")
 
 WINDOW = 5
 LITERALS = 3  # windows with fewer plain words say too little
+EXACT = 16  # added to the kind of windows of the words themselves
 FILTER_BITS = 22
 
 _WORD, _NUMBER, _UNIT, _NAME, _NOTHING = range(5)
@@ -94,7 +103,7 @@ def _of(size: int) -> Words:
 
 def template(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Template words of all texts as hashes, whether each is a placeholder, the hash of the word itself, and its text's number."""
-    split = [TOKEN.findall(text) for text in texts]
+    split = [(TOKEN if text.isascii() else ANY_TOKEN).findall(text) for text in texts]
     counts = np.array([len(t) for t in split], np.int64)
     words = _of(int(counts.sum()))
     ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
@@ -108,10 +117,22 @@ def template(texts: list[str]) -> tuple[np.ndarray, ...]:
     return np.where(slot, _PLACEHOLDERS[kind % 4], words.template[ids]), slot, words.value[ids], owner
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Each telling window of the texts: its text's number, hash, place, and the values in it (0 where it has a plain word).
+def _hashed(words: np.ndarray, at: np.ndarray, size: int, kind: int) -> np.ndarray:
+    total = np.full(len(at), kind, np.uint64)
+    for i in range(size):
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
+    return total
+
+
+def windows(texts: list[str], kinds: frozenset[int] | None = None) -> tuple[np.ndarray, ...]:
+    """Windows of the texts: text's number, hash, place, the values in it (0 where it has a plain word), and kind.
 
-    A text with fewer words than a window is one window.
+    The kind is the number of words for windows of template words, and that plus ``EXACT``
+    for windows of the words themselves, which have no values.  Without ``kinds`` the texts
+    are items: an item with fewer words than a window is one window; each telling window comes
+    in both kinds, as a word may be a name in one context and none in another, and an item
+    without a telling window has all its exact ones.  With ``kinds`` the texts are documents
+    and have all windows of these kinds, those shorter than ``WINDOW`` once each.
     """
     words, slot, value, owner = template(texts)
     counts = np.bincount(owner, minlength=len(texts))
@@ -121,43 +142,61 @@ def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
         n = len(words) - size + 1
         if n <= 0:
             break
-        whole = counts[owner[:n]] >= size if size == WINDOW else counts[owner[:n]] == size
-        at = np.flatnonzero(whole & (owner[:n] == owner[size - 1 :]))
-        if not len(at):
+        if kinds is None:
+            whole = counts[owner[:n]] >= size if size == WINDOW else counts[owner[:n]] == size
+        elif size in kinds or size + EXACT in kinds:
+            whole = np.ones(n, bool)
+        else:
             continue
-        total = np.full(len(at), size, np.uint64)
+        at = np.flatnonzero(whole & (owner[:n] == owner[size - 1 :]))
         literal = np.zeros(len(at), np.int64)
-        values = np.zeros((len(at), WINDOW), np.uint64)
         for i in range(size):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
             literal += ~slot[at + i]
-            values[:, i] = np.where(slot[at + i], value[at + i], 0)
         telling = literal >= min(LITERALS, size)
-        at = at[telling]
-        found.append((owner[at], total[telling], at - first[owner[at]], values[telling]))
+        for kind in (size, size + EXACT):
+            if kinds is not None and kind not in kinds:
+                continue
+            here = at
+            if kind == size:
+                here = at[telling]
+            elif kinds is None:
+                none = np.bincount(owner[at[telling]], minlength=len(texts)) == 0
+                here = at[telling | none[owner[at]]]
+            total = _hashed(words if kind == size else value, here, size, kind)
+            values = np.zeros((len(here), WINDOW), np.uint64)
+            if kind == size:
+                for i in range(size):
+                    values[:, i] = np.where(slot[here + i], value[here + i], 0)
+            if kinds is not None and size < WINDOW:
+                # An item of this size has one window: any place that has it, with these values, will do.
+                own = np.column_stack([owner[here].astype(np.uint64), total, values[:, :size]])
+                once = np.sort(np.unique(own, axis=0, return_index=True)[1])
+                here, total, values = here[once], total[once], values[once]
+            found.append((owner[here], total, here - first[owner[here]], values, np.full(len(here), kind, np.int32)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int32)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-ROWS = "window bigint, place int, slots array<bigint>"
+ROWS = "window bigint, place int, slots array<bigint>, kind int"
 
 
-def _rows(keys: list[str], bitmap: np.ndarray | None):
+def _rows(keys: list[str], kinds: frozenset[int] | None = None, bitmap: np.ndarray | None = None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                owner, hashes, places, slots = windows([t or "" for t in batch.column("text").to_pylist()])
-                totals = np.bincount(owner, minlength=batch.num_rows)[owner]
+                owner, hashes, places, slots, kind = windows([t or "" for t in batch.column("text").to_pylist()], kinds)
                 if bitmap is not None:
                     bit = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     hit = (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    owner, hashes, places, slots, totals = (x[hit] for x in (owner, hashes, places, slots, totals))
+                    owner, hashes, places, slots, kind = (x[hit] for x in (owner, hashes, places, slots, kind))
+                # Of an item, every place has an exact window.
+                totals = np.bincount(owner[kind > EXACT], minlength=batch.num_rows)[owner]
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(slots.reshape(-1).view(np.int64)), WINDOW).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).take(pa.array(owner)) for k in keys], pa.array(hashes.view(np.int64)),
-                     pa.array(places.astype(np.int32)), flat, pa.array(totals.astype(np.int32))],
-                    names=[*keys, "window", "place", "slots", "total"],
+                     pa.array(places.astype(np.int32)), flat, pa.array(kind), pa.array(totals.astype(np.int32))],
+                    names=[*keys, "window", "place", "slots", "kind", "total"],
                 )
 
     return rows
@@ -177,17 +216,20 @@ def _bitmap(asked: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that hold a benchmark item or one with other values: doc_id, text_key, item_id, matched, total, coverage.
 
-    Of an item's telling windows, at least the share ``least`` has to occur in the document
-    at places of one alignment or of several that are each consistent in their values.
+    Of an item's telling windows, or of all its windows if none is telling, at least the
+    share ``least`` has to occur in the document at places of one alignment or of several that are each consistent in their values.
     Null texts and texts without words match nothing; repeated documents give one row per item,
     repeated items (doc_id and item_id alike) are taken as one; empty tables give an
     empty result; further columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text().cast("string").alias("text")).distinct()
-    asked = items.mapInArrow(_rows(["item_id"], None), f"item_id bigint, {ROWS}, total int")
-    asked = kept(asked.select("item_id", "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "total"), "template-items")
+    asked = items.mapInArrow(_rows(["item_id"]), f"item_id bigint, {ROWS}, total int")
+    asked = kept(asked.select("item_id", "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "kind", "total"), "template-items")
+    # Ten kinds at most.
+    kinds = frozenset(r["kind"] for r in asked.select("kind").distinct().collect())
+    asked = asked.drop("kind")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), whole_text().cast("string").alias("text"))
-    met = rows.mapInArrow(_rows(["doc_id", "text_key"], _bitmap(asked)), f"doc_id bigint, text_key bigint, {ROWS}, total int").drop("total")
+    met = rows.mapInArrow(_rows(["doc_id", "text_key"], kinds, _bitmap(asked)), f"doc_id bigint, text_key bigint, {ROWS}, total int").drop("kind", "total")
     joined = met.join(asked, "window")
     filled = F.filter(
         F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b"))), lambda z: z["a"] != 0)

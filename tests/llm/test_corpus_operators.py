@@ -319,6 +319,27 @@ def test_inconsistent_values(spark):
     assert [r.doc_id for r in decontaminate.contaminated(rows, items, least=0.6).collect()] == [1]
 
 
+SHORT_ITEMS = [
+    (1, "What is 12 + 7?"), (2, "Define osmosis"), (3, "photosynthesis"), (4, "日本で一番高い山は何ですか。"), (5, "12 km 40 km 7 s 300 kg 81 m 5.5"),
+    (6, "42 17"), (7, "Name three noble gases"), (8, "Explain why leaves turn red"), (9, "..."), (10, "Compare 3 large red apples tonight."),
+]
+
+
+def test_short_and_valued_items(spark):
+    """Items shorter than a window, in a script without spaces, or without a telling window are found inside longer documents."""
+    filler = "some words that come before and after nothing in particular here"
+    rows = [(i, f"{filler} {t} {filler}") for i, t in SHORT_ITEMS if i != 4]
+    rows += [(4, "前の文があります。次の問題は日本で一番高い山は何ですか。答えは富士山です。"), (20, filler), (21, "日本の山は高い。一番は何ですか。"),
+             (22, f"{filler} 12 km 41 km 8 s 300 kg 80 m 5.5 {filler}"), (23, f"{filler} 17 42 {filler}"), (24, f"{filler} What is 30 + 9? {filler}")]
+    docs = tune(spark).createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(SHORT_ITEMS, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs, items).collect()}
+    assert all(0.8 <= c <= 1 for c in found.values())
+    # Item 1 has a document with other values only if the template agrees: in 24 a name-like word starts inside a sentence.
+    assert {k for k in found if k != (24, 1)} == {(i, i) for i, _ in SHORT_ITEMS if i != 9}
+    assert decontaminate.contaminated(docs, items.where("item_id = 9")).count() == 0
+
+
 def test_contaminated_table(spark, sf, odd, empty):
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
