@@ -7,7 +7,7 @@ benchmark, and windows of the words themselves, so that what is copied is found
 any context; items shorter than a window are joined by windows of their own length,
 items of hardly any plain words by the words themselves only.  Matches on one alignment belong together; they count only if the
 values in the placeholders are consistent, each value of the benchmark standing
-for one value of the document.  That finds copies of a question and the same
+for one value of the document, the most frequent one, or for itself.  That finds copies of a question and the same
 question with other numbers and names.
 """
 
@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
@@ -213,11 +213,33 @@ def _bitmap(asked: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _agreeing(lines: Column) -> Column:
+    """The windows of one alignment whose values all agree with the most frequent binding of each value, or are all identical.
+
+    Each slot of the item counts once, in however many windows it is; of equally frequent
+    bindings the one to the same value goes first.
+    """
+    slots = F.array_distinct(F.flatten(F.transform(lines, lambda w: w["pairs"])))
+    bound = F.array_distinct(F.transform(slots, lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"))))
+    values = F.array_distinct(F.transform(bound, lambda z: z["a"]))
+
+    def most(value: Column) -> Column:
+        own = F.filter(bound, lambda z: z["a"] == value)
+        often = F.transform(own, lambda z: F.struct(
+            F.size(F.filter(slots, lambda y: (y["a"] == z["a"]) & (y["b"] == z["b"]))).alias("n"), (z["a"] == z["b"]).alias("same"), z["b"].alias("b")))
+        return F.struct(value.alias("a"), F.array_max(often)["b"].alias("b"))
+
+    chosen = F.transform(values, most)
+    kept_lines = F.filter(lines, lambda w: F.forall(w["pairs"], lambda z: z["a"] == z["b"]) | F.forall(
+        w["pairs"], lambda z: F.array_contains(chosen, F.struct(z["a"].alias("a"), z["b"].alias("b")))))
+    return F.when(F.size(values) == F.size(bound), lines).otherwise(kept_lines)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that hold a benchmark item or one with other values: doc_id, text_key, item_id, matched, total, coverage.
 
     Of an item's telling windows, or of all its windows if none is telling, at least the
-    share ``least`` has to occur in the document at places of one alignment or of several that are each consistent in their values.
+    share ``least`` has to occur in the document at places of one alignment or of several, without the places that contradict the values of their alignment.
     Null texts and texts without words match nothing; repeated documents give one row per item,
     repeated items (doc_id and item_id alike) are taken as one; empty tables give an
     empty result; further columns are not read.
@@ -231,14 +253,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8) -
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), whole_text().cast("string").alias("text"))
     met = rows.mapInArrow(_rows(["doc_id", "text_key"], kinds, _bitmap(asked)), f"doc_id bigint, text_key bigint, {ROWS}, total int").drop("kind", "total")
     joined = met.join(asked, "window")
-    filled = F.filter(
-        F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b"))), lambda z: z["a"] != 0)
+    zipped = F.transform(F.arrays_zip("item_slots", "slots"), lambda z, i: F.struct((F.col("item_place") + i).alias("p"), z["item_slots"].alias("a"), z["slots"].alias("b")))
+    line = F.struct("item_place", F.filter(zipped, lambda z: z["a"] != 0).alias("pairs"))
     # Repeated rows of a document meet here.  An item's places bound every list.
     lines = joined.groupBy("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.max("total").alias("total"),
-        F.array_distinct(F.flatten(F.collect_set(filled))).alias("pairs"))
-    one_each = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    places = lines.where(one_each).select("doc_id", "text_key", "item_id", "total", F.explode("places").alias("place"))
+        F.collect_set(line).alias("lines"), F.max("total").alias("total"))
+    places = lines.select("doc_id", "text_key", "item_id", "total", F.explode(_agreeing(F.col("lines"))["item_place"]).alias("place"))
     counted = places.groupBy("doc_id", "text_key", "item_id").agg(F.countDistinct("place").alias("matched"), F.max("total").cast("bigint").alias("total"))
     scored = counted.withColumn("coverage", F.col("matched") / F.col("total"))
     return scored.where(F.col("matched") >= F.lit(float(least)) * F.col("total") - 1e-9)

@@ -319,6 +319,26 @@ def test_inconsistent_values(spark):
     assert [r.doc_id for r in decontaminate.contaminated(rows, items, least=0.6).collect()] == [1]
 
 
+def test_partly_inconsistent_values(spark):
+    """A value that is changed in one place takes the windows there from the match, not the others."""
+    middle = " while the children watch from the long wooden bench beside the garden wall and count every single stone that falls into the water and "
+    item = "The teacher puts 3 red balls into the first box" + middle + "then puts 3 blue balls into the second box near the door."
+    ends = [("3", "3"), ("3", "4"), ("7", "9"), ("5", "5")]
+    docs = [(i, "So it was. " + item.replace("3 red", f"{a} red").replace("3 blue", f"{b} blue")) for i, (a, b) in enumerate(ends)]
+    short = "puts 3 red balls and 3 blue balls and 3 green balls there"
+    docs += [(4, "now he " + short.replace("3 blue", "5 blue").replace("3 green", "6 green"))]
+    rows = tune(spark).createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.matched, r.total) for r in decontaminate.contaminated(rows, items, least=0.0).collect()}
+    whole = found[0, 1][1]
+    assert found[0, 1] == found[3, 1] == (whole, whole)
+    # Five windows hold the second number, four the first.
+    assert found[1, 1] == (whole - 5, whole)
+    assert found[2, 1] in ((whole - 5, whole), (whole - 4, whole))
+    assert found[4, 2][0] < 0.8 * found[4, 2][1]
+    assert {r.doc_id for r in decontaminate.contaminated(rows, items).collect()} == {0, 1, 2, 3}
+
+
 SHORT_ITEMS = [
     (1, "What is 12 + 7?"), (2, "Define osmosis"), (3, "photosynthesis"), (4, "日本で一番高い山は何ですか。"), (5, "12 km 40 km 7 s 300 kg 81 m 5.5"),
     (6, "42 17"), (7, "Name three noble gases"), (8, "Explain why leaves turn red"), (9, "..."), (10, "Compare 3 large red apples tonight."),
