@@ -2,7 +2,9 @@
 
 The page becomes a tree.  Parts that are never article text (menus, headers,
 footers, side columns, notices, adverts, forms, scripts, reader comments) are
-cut by element, role and class.  Every block of text then passes points for its
+cut by element and role, and by whole class tokens and ids, unless what is so named
+holds the article, is a section of it under a heading, or is most of a page
+without an article.  Every block of text then passes points for its
 length and commas to its ancestors, less the further up they are, and each
 ancestor's points are discounted by the share of its text that is links.  The
 container with the most points and those of its siblings that read as text are
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,23 +41,42 @@ ENDS = {
 }
 # An end tag does not reach past these.
 WALLS = frozenset("table td th article main section body html".split())
-CUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|"
-    r"pop-up|modal|overlay|sidebar|side-?bar|sidenav|rail|nav|navbar|navigation|menu\w*|breadcrumb\w*|footer|foot|header|masthead|topbar|"
-    r"comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|social|share|sharing|related|recommend\w*|newsletter|subscri\w*|"
-    r"signup|sign-up|login|widget|toolbar|pagination|pager|skip-?link|copyright|disclaimer)(?:$|[\s_-])", re.IGNORECASE
+# Parts of class tokens and ids that name what is never article text, and words that stand beside them there.
+CLUTTER = re.compile(
+    r"ads?|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|sidenav|"
+    r"rail|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|"
+    r"discussions?|social|share|sharing|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscriptions?|signup|login|widgets?|toolbar|"
+    r"pagination|pager|skiplink|copyright|disclaimer"
 )
+BESIDE = re.compile(
+    r"site|page|main|global|top|bottom|left|right|primary|secondary|inner|outer|wrapper|wrap|container|box|bar|list|items?|section|area|block|"
+    r"links?|buttons?|icons?|slot|unit|mobile|desktop|sticky|fixed|form|toggle|panel|group|col|column|title|posts?|entry|article|articles|"
+    r"stories|google|dfp|js|id|\d+(?:x\d+)?|"
+)
+# What others say or sell: never a section of the article, whatever its heading.
+FOREIGN = re.compile(r"ads?|adv|adsense|adbox|cookies?|gdpr|comments?|commentlist|disqus|reply|replies|respond|newsletter|signup|popup")
+HALVES = re.compile(r"\b(pop|sign|side|skip)[-_](up|bar|link)\b")
 CUT_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+@lru_cache(1 << 16)
+def clutter(token: str) -> tuple[str, ...]:
+    """The parts of a class token or id that name clutter; none if any part says something else, as in has-sidebar or notice-period."""
+    parts = re.split("[-_]+", HALVES.sub(r"\1\2", token.lower()))
+    named = tuple(p for p in parts if CLUTTER.fullmatch(p))
+    return named if all(p in named or BESIDE.fullmatch(p) for p in parts) else ()
+
+
 class Node:
-    __slots__ = ("children", "cut", "link_text", "name", "parent", "points", "text")
+    __slots__ = ("children", "cut", "doubt", "link_text", "name", "parent", "points", "text")
 
     def __init__(self, name: str, parent: Node | None, cut: bool) -> None:
         self.name, self.parent, self.cut = name, parent, cut
         self.children: list[Node | str] = []
         self.points, self.text, self.link_text = 0.0, 0, 0
+        # Names of clutter in its class tokens and its id, each with the token; settled once the whole tree is known.
+        self.doubt: list[tuple[str, tuple[str, ...]]] = []
 
 
 class Tree(HTMLParser):
@@ -64,6 +86,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None, False)
         self.at = self.root
+        self.doubtful: list[Node] = []
 
     def _close(self, names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
         node = self.at
@@ -82,17 +105,19 @@ class Tree(HTMLParser):
         return False
 
     def _is_cut(self, name: str, attrs: dict[str, str | None]) -> bool:
-        if name in ("html", "body", "main", "article") and not CUT_NAME.search(attrs.get("class") or ""):
-            return False
-        if name in ("html", "body"):
+        if name in ("html", "body", "main", "article"):
             return False
         if name in CUT or (attrs.get("role") or "").lower() in CUT_ROLE:
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or ""):
             return True
-        if name == "header":
-            return not self._inside("article", "main")
-        return name not in HEADINGS and bool(CUT_NAME.search(attrs.get("class") or "") or CUT_NAME.search(attrs.get("id") or ""))
+        return name == "header" and not self._inside("article", "main")
+
+    def _doubt(self, name: str, attrs: dict[str, str | None]) -> list[tuple[str, tuple[str, ...]]]:
+        if name in ("html", "body", "header") or name in HEADINGS:
+            return []
+        tokens = [*(attrs.get("class") or "").split(), (attrs.get("id") or "").strip()]
+        return [(t, named) for t in tokens if t and (named := clutter(t))]
 
     def handle_starttag(self, name: str, attributes: list[tuple[str, str | None]]) -> None:
         if name in ENDS:
@@ -101,7 +126,11 @@ class Tree(HTMLParser):
             self._close({"p"}, WALLS)
             if name in HEADINGS:
                 self._close(HEADINGS, WALLS | {"div", "li"})
-        node = Node(name, self.at, self.at.cut or self._is_cut(name, dict(attributes)))
+        attrs = dict(attributes)
+        node = Node(name, self.at, self.at.cut or self._is_cut(name, attrs))
+        if not node.cut and (doubt := self._doubt(name, attrs)):
+            node.doubt = doubt
+            self.doubtful.append(node)
         self.at.children.append(node)
         if name not in VOID:
             self.at = node
@@ -172,6 +201,50 @@ def _measure(root: Node) -> None:
             node.parent.link_text += node.link_text
 
 
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"\w+", text.lower().replace("_", "-")))
+
+
+def _above(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def _settle(root: Node, doubtful: list[Node]) -> None:
+    """Cut what is named as clutter, except what holds the article, is a section of it, or is most of the page."""
+    _measure(root)
+    bodies = [n for n in _nodes(root) if n.name in ("article", "main")]
+    body = max(bodies, key=lambda n: n.text - n.link_text, default=None)
+    holders = {id(n) for n in (body, *_above(body))} if body is not None else set()
+    for node in doubtful:
+        if id(node) in holders or any(n.cut for n in _above(node)):
+            continue
+        inside = any(n.name in ("article", "main") for n in _above(node))
+        doubt = [(t, named) for t, named in node.doubt if not (inside and set(named) <= {"header", "masthead", "banner"})]
+        if doubt and not any(FOREIGN.fullmatch(n) for _, named in doubt for n in named):
+            blocks = blocks_of(node)
+            paragraphs = sum(len(text) for owner, text in blocks if owner.name not in HEADINGS)
+            if node.link_text > 0.25 * paragraphs:
+                paragraphs = 0
+            heading = next((text for owner, text in blocks if owner.name in HEADINGS), "")
+            if (inside or not bodies) and paragraphs and all(_slug(heading) == _slug(t) or (node.name == "section" and heading) for t, _ in doubt):
+                continue
+            if not bodies and paragraphs >= 200 and 2 * (node.text - node.link_text) > root.text - root.link_text:
+                continue
+        node.cut = bool(doubt)
+    for node in _nodes(root):
+        node.text = node.link_text = 0
+
+
+def _reads(node: Node) -> bool:
+    """Whether there is a paragraph below ``node``: a long one, or a sentence."""
+    return any(
+        owner.name in ("p", "pre", "blockquote", "li", "dd") and (len(text) >= 80 or text.rstrip("\"')]”’»").endswith((".", "!", "?", "…", "。", "！", "？")))
+        for owner, text in blocks_of(node)
+    )
+
+
 def _links(node: Node) -> float:
     return min(1.0, node.link_text / node.text) if node.text else 0.0
 
@@ -183,6 +256,8 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubtful:
+        _settle(tree.root, tree.doubtful)
     _measure(tree.root)
     scored: dict[int, Node] = {}
     for owner, text in blocks_of(tree.root):
@@ -217,7 +292,7 @@ def main_text(html: str | None) -> str:
         if sibling is best or isinstance(sibling, str):
             keep.append(sibling)
         elif not sibling.cut and _links(sibling) < 0.25 and (
-            sibling.points * (1 - _links(sibling)) >= 0.2 * top
+            sibling.points * (1 - _links(sibling)) >= 0.2 * top or _reads(sibling)
             or sibling.name in HEADINGS or sibling.name in ("p", "pre", "blockquote", "ul", "ol", "table", "figure")
             or (sibling.name not in BLOCKS and best.name not in ("article", "main"))
         ):

@@ -63,6 +63,39 @@ def test_main_text_cases(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "<p>" + "The first paragraph, which is long, goes on for a while, and says a lot, as such texts do. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout has-sidebar'>{}</div>", "<main class='no-sidebar'>{}</main>", "<div id='page-with-menu'>{}</div>",
+                                  "<div class='sidebar-right'><article>{}</article></div>", "<div class='header'><main>{}</main></div>"])
+def test_wrappers_named_like_clutter(wrap):
+    page = wrap.format(LONG + "<p>Last one.</p>") + "<div class='sidebar left'><p>Side, text, here.</p></div>"
+    text = html_text.main_text(f"<body>{page}</body>")
+    assert text.startswith("The first paragraph") and text.endswith("Last one.")
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "notice-period", "social-effects", "sharing-data", "commentary"])
+@pytest.mark.parametrize("kind", ["section", "div"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_sections_named_like_clutter(name, kind, around):
+    heading = name.replace("-", " ").capitalize()
+    page = f"<{around}><h1>T</h1>{LONG}<{kind} id='{name}'><h2>{heading}</h2><p>Its own text.</p></{kind}></{around}>"
+    assert html_text.main_text(page).endswith(f"{heading}\nIts own text.")
+
+
+@pytest.mark.parametrize("part", ["<div class='ad'><p>Gone, all of it.</p></div>", "<div class='site-footer'><p>Gone, all of it.</p></div>", "<div id='comments'><h2>Comments</h2><p>Gone.</p></div>",
+                                  "<div class='related-posts'><h3>Related posts</h3><ul><li><a href='x'>Gone</a></ul></div>", "<div class='box cookie-notice'><p>Gone.</p></div>",
+                                  "<section id='related'><h2>Related</h2><a href='x'>Gone and gone</a></section>", "<div class='social share-buttons'>Gone</div>"])
+def test_clutter_goes(part):
+    assert "Gone" not in html_text.main_text(f"<article>{LONG}{part}</article>")
+    assert "Gone" not in html_text.main_text(f"<div>{LONG}{part}</div>")
+
+
+def test_short_sibling_keeps_its_paragraphs():
+    text = html_text.main_text(f"<div><div>{LONG * 3}</div><div><p>A short one.</p></div><div><a href='x'>Gone</a></div></div>")
+    assert text.endswith("A short one.")
+
+
 def test_pages(spark, sf):
     """Every article of the given pages, against a plain cut at its tags."""
     import html as H
