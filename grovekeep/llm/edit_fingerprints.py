@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
 from .common import whole_text
-from .textarrays import mix
+from .textarrays import BASE, mix
 
 SAMPLES = 64
 CLASSES = 64
@@ -220,25 +222,72 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(walk, "doc_id bigint, fingerprint string")
 
 
+def octave_span(octave: int) -> tuple[int, int]:
+    """Where an octave's digits begin in a fingerprint, and how many it has."""
+    return sum(min(1 << i, SAMPLES) for i in range(octave)), min(1 << octave, SAMPLES)
+
+
+@lru_cache(256)
+def _places(octave: int, bands: int, digits: int) -> np.ndarray:
+    """The digits of an octave that each band samples."""
+    n = octave_span(octave)[1]
+    return np.stack([np.random.default_rng([1000 + band, octave]).choice(n, digits, replace=False) for band in range(bands)])
+
+
+def band_keys(fingerprint: str, bands: int, digits: int) -> np.ndarray:
+    """Hashes of the bands of a fingerprint.
+
+    They sample the last two octaves that it has in full, the octave below, which it shares with
+    longer texts across a border, and what it has of the octave above.  Octaves of fewer than
+    ``digits`` digits have no bands; the shortest fingerprints are hashed exactly besides.
+    """
+    data = np.frombuffer(fingerprint.encode(), np.uint8).astype(np.uint64)
+    least = max(1, (digits - 1).bit_length())
+    last = -1
+    while sum(octave_span(last + 1)) <= len(data):
+        last += 1
+    found = []
+    for octave in range(max(least, last - 2), last + 2):
+        start = octave_span(octave)[0]
+        places = _places(octave, bands, digits)
+        band = np.flatnonzero(places.max(1) + start < len(data))
+        total = mix((band + octave * 4096 + 1).astype(np.uint64) * BASE)
+        for i in range(digits):
+            total = mix(total * BASE + data[places[band, i] + start])
+        found.append(total)
+    if last <= least:
+        # Too short for bands alone: the octaves below them together, and the whole.
+        for whole in {fingerprint[: octave_span(least)[0]], fingerprint}:
+            found.append(np.array([xxhash.xxh64_intdigest(whole)], np.uint64))
+    return np.concatenate(found)
+
+
 def near_matches(queries: DataFrame, prints: DataFrame, *, least: float = 0.8, bands: int = 24, digits: int = 5) -> DataFrame:
     """Rows of ``prints`` like the stated ``queries`` (both doc_id, fingerprint): query_id, doc_id, near.
 
-    Bands of digits, sampled anew for each band from the last two octaves that both kinds
-    of fingerprints have in full, propose candidates between distinct fingerprints;
-    likeness verifies them.  Empty fingerprints match nothing.
+    Bands of digits (:func:`band_keys`), keyed by octave, propose candidates between distinct
+    fingerprints; likeness verifies them.  Empty fingerprints match nothing.
     """
 
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        distinct = df.where(F.length("fingerprint") > 0).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_n")).select("fingerprint")
-        keys = []
-        for band in range(bands):
-            places = np.random.default_rng(1000 + band).choice(2 * SAMPLES, digits, replace=False)
-            keys.append(F.concat(F.lit(f"{band}:"), *[F.substring(F.rpad("fingerprint", 4 * SAMPLES, "-"), int(p) + SAMPLES, 1) for p in places]))
-        return distinct.select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("band"))
+    def distinct(df: DataFrame) -> DataFrame:
+        some = df.where(F.length("fingerprint") > 0).select("fingerprint").distinct()
+        return some.select(F.xxhash64("fingerprint").alias("name"), "fingerprint")
 
-    pairs = banded(queries, "q").join(banded(prints, "d"), "band").select("q", "d").distinct()
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [band_keys(f, bands, digits) for f in batch.column("fingerprint").to_pylist()]
+            if found:
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(owner), pa.array(np.concatenate(found).view(np.int64))], names=["name", "band"])
+
+    asked, known = kept(distinct(queries), "print-queries"), kept(distinct(prints), "print-names")
+    left = asked.mapInArrow(keys, "name bigint, band bigint").withColumnRenamed("name", "qn")
+    right = known.mapInArrow(keys, "name bigint, band bigint").withColumnRenamed("name", "dn")
+    pairs = left.join(right, "band").select("qn", "dn").distinct()
+    pairs = pairs.join(asked.select(F.col("name").alias("qn"), F.col("fingerprint").alias("q")), "qn")
+    pairs = pairs.join(known.select(F.col("name").alias("dn"), F.col("fingerprint").alias("d")), "dn").select("q", "d")
     like = F.udf(likeness, "double", useArrow=True)
     good = kept(pairs.withColumn("near", like("q", "d")).where(F.col("near") >= least), "print-pairs")
-    asked = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
+    wanted = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
     found = prints.select("doc_id", F.col("fingerprint").alias("d"))
-    return asked.join(good, "q").join(found, "d").where(F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", "near")
+    return wanted.join(good, "q").join(found, "d").where(F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", "near")

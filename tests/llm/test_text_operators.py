@@ -223,6 +223,37 @@ def test_near_matches(spark, sf):
     assert sum((i, i - 1_000_000) in found for i in asked) >= 0.7 * len(asked)
 
 
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_near_matches_against_brute_force(spark, sf, least):
+    """Texts of all lengths with another title, a changed middle or end, or one more character in front."""
+    docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").select("doc_id", "text").collect() if r.text]
+    docs += [(10_000 + i, t[: 12 + 3 * i]) for i, (_, t) in enumerate(docs[:60])]
+    changed = []
+    for i, (doc_id, text) in enumerate(docs):
+        n = len(text)
+        edit = ["x" + text, f"Another title {i}: " + text[9:], text[: n // 2] + "zz" + text[n // 2 + 1 :], text[: n - n // 6], text + " more"][i % 5]
+        changed.append((doc_id + 1_000_000, edit))
+    prints = edit_fingerprints.fingerprint_rows(tune(spark).createDataFrame(docs + changed, "doc_id long, text string"))
+    mine = {r.doc_id: r.fingerprint for r in prints.collect()}
+    want = {(i, j) for i, _ in changed for j, _ in docs if edit_fingerprints.likeness(mine[i], mine[j]) >= least and mine[i] and mine[j]}
+    found = edit_fingerprints.near_matches(prints.where("doc_id >= 1000000"), prints.where("doc_id < 1000000"), least=least).collect()
+    got = {(r.query_id, r.doc_id) for r in found}
+    assert len(want) > 50
+    assert got <= want
+    assert len(got) >= 0.9 * len(want)
+    short = {p for p in want if len(mine[p[0]]) < 200}
+    assert len(got & short) >= 0.9 * len(short)
+
+
+def test_bands_of_short_texts():
+    """Short texts do not share all buckets."""
+    texts = [f"number {i * 7919} of {i}" for i in range(40)] + [str(i) for i in range(40)]
+    keys = [set(edit_fingerprints.band_keys(f, 24, 5).tolist()) for f in sorted(set(edit_fingerprints.fingerprints(texts)))]
+    pairs = [bool(a & b) for i, a in enumerate(keys) for b in keys[:i]]
+    assert sum(pairs) < 0.8 * len(pairs)
+    assert len(keys) > 40
+
+
 @pytest.mark.parametrize("chunk", [7, 40, 133])
 def test_spliced_counts(chunk):
     model = token_counts.load(public_tokenizers.path("piece_bpe_32k.model"))
