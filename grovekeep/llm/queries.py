@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import kept as keep_table
 from . import decontaminate, edit_fingerprints, html_text, mixing, near_dups, quality, repeats, reshard, token_counts, toxicity
 from .common import read
 
@@ -46,6 +47,12 @@ def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op5_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search: documents whose fingerprints are alike, each pair of documents in both directions."""
+    prints = keep_table(edit_fingerprints.fingerprint_rows(read(spark, sf_dir, "documents")), "prints")
+    return edit_fingerprints.near_matches(prints, prints)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "total", "coverage")
@@ -82,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_text, op2_mix_sources, op3_toxicity, op4_quality, op5_edit_fingerprints, op6_decontaminate, op7_reshard,
+        op1_html_text, op2_mix_sources, op3_toxicity, op4_quality, op5_edit_fingerprints, op5_near_matches, op6_decontaminate, op7_reshard,
         op8_repeats, op9_near_dups, op10_token_counts,
     )
 }

@@ -245,6 +245,16 @@ def test_near_matches_against_brute_force(spark, sf, least):
     assert len(got & short) >= 0.9 * len(short)
 
 
+def test_search_query(spark, sf):
+    from grovekeep.llm.queries import op5_near_matches
+
+    mine = {r.doc_id: r.fingerprint for r in edit_fingerprints.fingerprint_rows(read(spark, sf, "documents")).collect() if r.fingerprint}
+    want = {(i, j) for i in mine for j in mine if i != j and edit_fingerprints.likeness(mine[i], mine[j]) >= 0.8}
+    got = {(r.query_id, r.doc_id) for r in op5_near_matches(spark, sf).collect()}
+    assert got <= want
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_bands_of_short_texts():
     """Short texts do not share all buckets."""
     texts = [f"number {i * 7919} of {i}" for i in range(40)] + [str(i) for i in range(40)]
