@@ -31,6 +31,7 @@ from .textarrays import BASE, mix
 
 SAMPLES = 64
 CLASSES = 64
+SHORT_DIGITS = 5  # at most, in bands of octaves with fewer than SAMPLES steps
 PERIOD = 4096
 BUFFER = 8_000_000
 
@@ -242,17 +243,18 @@ def band_keys(fingerprint: str, bands: int, digits: int) -> np.ndarray:
     ``digits`` digits have no bands; the shortest fingerprints are hashed exactly besides.
     """
     data = np.frombuffer(fingerprint.encode(), np.uint8).astype(np.uint64)
-    least = max(1, (digits - 1).bit_length())
+    least = max(1, (min(digits, SHORT_DIGITS) - 1).bit_length())
     last = -1
     while sum(octave_span(last + 1)) <= len(data):
         last += 1
     found = []
     for octave in range(max(least, last - 2), last + 2):
         start = octave_span(octave)[0]
-        places = _places(octave, bands, digits)
+        size = digits if octave_span(octave)[1] == SAMPLES else min(digits, SHORT_DIGITS)
+        places = _places(octave, bands, size)
         band = np.flatnonzero(places.max(1) + start < len(data))
         total = mix((band + octave * 4096 + 1).astype(np.uint64) * BASE)
-        for i in range(digits):
+        for i in range(size):
             total = mix(total * BASE + data[places[band, i] + start])
         found.append(total)
     if last <= least:
