@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import text_key, whole_text
 from .textarrays import running, shingle_hashes, slices, span_hashes, text_bytes, word_spans, LOWER
 
 WORDS = 4096
@@ -201,8 +201,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, meta: list[str] = ("n_cha
                     names=["doc_id", "label", "at", "value", "stats", "meta"],
                 )
 
-    got = rows.select("doc_id", "text", "_label", *names).mapInArrow(features, out)
-    # Repeated rows of one id count once, so that the bound holds.
+    # Repeated rows of one id count once, before anything reaches the driver: the one of the least text_key, then of the least metadata.
+    row = F.struct("text", "_label", *names)
+    one = rows.groupBy("doc_id").agg(F.min_by(row, F.struct(text_key(), *names)).alias("_row"))
+    got = one.select("doc_id", "_row.*").mapInArrow(features, out)
     table = got.toArrow().sort_by([("doc_id", "ascending")])
     ids = table.column("doc_id").to_numpy()
     first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))[: s.sample] if len(ids) else np.zeros(0, int)

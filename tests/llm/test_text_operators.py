@@ -173,6 +173,16 @@ def test_classifiers_odd(odd, empty):
     assert toxicity.score_toxicity(lexicon, empty).count() == 0
 
 
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    """Of an id that is repeated many times one row reaches the driver."""
+    docs = tune(spark).createDataFrame([(i if i < 20 else 7, f"text {i if i < 20 else i % 3} of it", 9) for i in range(300)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    seen, arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: seen.append(arrow(self)) or seen[-1])
+    quality.fit_quality(docs, labels)
+    assert [t.num_rows for t in seen] == [20]
+
+
 def test_quality_terms():
     """The linear-time identity against the plain double sum."""
     import numpy as np
