@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's shard of sixteen of near equal bytes, and its slot there."""
     tune(spark)
-    placed = reshard.reshard(docs.withColumn("_old", old_shard()), "_old", SHARDS)
+    placed = reshard.reshard_files(docs, old_shard(), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 

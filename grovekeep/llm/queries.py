@@ -61,7 +61,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    placed = reshard.reshard(docs.withColumn("_old", old_shard()), "_old", SHARDS)
+    placed = reshard.reshard_files(docs, old_shard(), SHARDS)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",

@@ -14,8 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..scratch import kept
+from ..scratch import kept, new_path
 from .common import sums_before, whole_text
 
 
@@ -149,12 +150,29 @@ def affected_shards(placed: DataFrame) -> list[int]:
 def rewrite_affected(spark: SparkSession, docs: DataFrame, placed: DataFrame, folder: str) -> list[int]:
     """Write the rows of the affected shards below ``folder``, one sub-folder ``shard=N`` each; returns their numbers.
 
-    The files of all other shards stay as they are.
+    The files of all other shards stay as they are.  Identical rows of ``docs`` are numbered,
+    and so are their places, so each row is written once, where one of the places is.
     """
     changed = affected_shards(placed)
-    keys = placed.where(F.col("shard").isin(changed)).select(
-        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard"
-    ).dropDuplicates(["_id", "_crc", "_size", "shard"])
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_crc32() == F.col("_crc")) & (row_size() == F.col("_size"))
-    docs.drop("shard").join(keys, match).select(*docs.drop("shard").columns, "shard").write.partitionBy("shard").parquet(folder)
+    alike = ["_id", "_crc", "_size"]
+    keys = placed.select(
+        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard",
+        F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")).alias("_nth"),
+    ).where(F.col("shard").isin(changed))
+    names = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(*names, F.col("doc_id").cast("bigint").alias("_id_here"), text_crc32().alias("_crc_here"), row_size().alias("_size_here"))
+    rows = rows.withColumn("_nth_here", F.row_number().over(
+        Window.partitionBy("_id_here", "_crc_here", "_size_here").orderBy(F.xxhash64(*names))))
+    match = F.col("_nth_here") == F.col("_nth")
+    for name in alike:
+        match &= F.col(f"{name}_here").eqNullSafe(F.col(name))
+    rows.join(keys, match).select(*names, "shard").write.partitionBy("shard").parquet(folder)
     return changed
+
+
+def reshard_files(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
+    """Placements of :func:`reshard`, after the affected shards have been written below a new shared folder."""
+    spark = docs.sparkSession
+    placed = kept(reshard(docs.withColumn("_old", old_shard), "_old", shards), "shard-placements")
+    rewrite_affected(spark, docs, placed, new_path(spark, "resharded"))
+    return placed

@@ -136,6 +136,16 @@ def test_reshard(spark, sf, odd, empty, tmp_path):
     assert reshard.reshard(empty.withColumn("_old", F.lit(0)), "_old", 4).count() == 0
 
 
+def test_identical_rows_are_rewritten_once(spark, tmp_path):
+    """Identical rows that a cut separates are written as often as they are there."""
+    docs = tune(spark).createDataFrame([(1, "the same text")] * 40 + [(None, "x")] * 3, "doc_id long, text string")
+    placed = reshard.reshard(docs.withColumn("_old", F.lit(0)), "_old", 4)
+    assert placed.select("shard").distinct().count() == 4
+    reshard.rewrite_affected(spark, docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.shard, r["count"]) for r in back.groupBy("shard").count().collect()} == {(r.shard, r["count"]) for r in placed.groupBy("shard").count().collect()}
+
+
 # --- repeats ---------------------------------------------------------------------
 
 
