@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import kept as keep_table
-from . import decontaminate, edit_fingerprints, html_text, mixing, near_dups, quality, repeats, reshard, token_counts, toxicity
+from . import (
+    decontaminate, edit_fingerprints, html_text, merkle, mixing, near_dups, prefix_trie, quality, repeats, reshard, simhash, token_counts,
+    toxicity,
+)
 from .common import read
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -87,10 +90,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.vocabulary(VOCABULARY))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"), shingle=3)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every third document, by its id's checksum, the text has been tampered with: its A-Z are in lower case."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(fold(3) == 0, merkle.ascii_lower(F.col("text")))
+    found = merkle.manifest(docs, tampered=tampered)
+    folded = found.withColumns({"proof_sha256": merkle.proof_digest(F.col("path")), "folded_root": merkle.folded(F.col("changed"), F.col("path"))})
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_text, op2_mix_sources, op3_toxicity, op4_quality, op5_edit_fingerprints, op5_near_matches, op6_decontaminate, op7_reshard,
-        op8_repeats, op9_near_dups, op10_token_counts,
+        op8_repeats, op9_near_dups, op10_token_counts, op11_simhash, op12_merkle_manifest, op13_prefix_trie,
     )
 }

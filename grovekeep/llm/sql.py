@@ -63,3 +63,90 @@ FROM sized s JOIN least l ON s.doc_id = l.node
 """
 
 ORACLE: dict[str, str] = {"op2_mix_sources": MIX, "op9_near_dups": NEAR}
+
+
+def _crc32(value: str) -> str:
+    """Unsigned CRC-32 of a short string, bit by bit."""
+    bits = f"list_transform(range(8 * strlen({value})), lambda i: (ascii(substr({value}, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1)"
+    step = "lambda crc, bit: CASE WHEN (crc + bit) % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
+    return f"xor(4294967295, list_reduce(list_transform({bits}, lambda b: b::BIGINT), {step}, 4294967295::BIGINT))"
+
+
+# Levels of a tree that the SQL spells out; a level above the root leaves it as it is.
+_LANG_LEVELS, _TOP_LEVELS = 8, 3
+
+
+def _merkle() -> str:
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""leaves AS (
+  SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS changed FROM documents
+), t0 AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), n0 AS (
+  SELECT lang, pos, leaf AS digest FROM t0
+)"""]
+
+    def level(name: str, k: int, by: str) -> None:
+        own = f"PARTITION BY {by}pos // 8 ORDER BY pos"
+        parts.append(f"""{name}s{k} AS (
+  SELECT *, count(*) OVER ({('PARTITION BY ' + by.rstrip(', ')) if by else ''}) > 1 AS hashed,
+    coalesce(string_agg(digest, '') OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER ({own} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}{k}
+), {name}{k + 1} AS (
+  SELECT {by}pos // 8 AS pos, CASE WHEN any_value(hashed) THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM {name}s{k} GROUP BY {by}pos // 8
+)""")
+
+    for k in range(_LANG_LEVELS):
+        level("n", k, "lang, ")
+    parts.append(f"m0 AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, digest FROM n{_LANG_LEVELS})")
+    for k in range(_TOP_LEVELS):
+        level("m", k, "")
+    parts.append(f"""f0 AS (
+  SELECT t.*, s.digest AS subroot, r.digest AS root, s.pos AS top, '' AS proof, t.changed AS fold
+  FROM t0 t JOIN m0 s ON t.lang IS NOT DISTINCT FROM s.lang CROSS JOIN m{_TOP_LEVELS} r
+)""")
+    steps = [(f"ns{k}", f"s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos // {8**k}") for k in range(_LANG_LEVELS)]
+    steps += [(f"ms{k}", f"s.pos = f.top // {8**k}") for k in range(_TOP_LEVELS)]
+    for i, (table, match) in enumerate(steps):
+        parts.append(f"""f{i + 1} AS (
+  SELECT f.* REPLACE (CASE WHEN s.hashed THEN f.proof || s.before || s.after ELSE f.proof END AS proof,
+                      CASE WHEN s.hashed THEN sha256(s.before || f.fold || s.after) ELSE f.fold END AS fold)
+  FROM f{i} f JOIN {table} s ON {match}
+)""")
+    return "WITH " + ", ".join(parts) + (
+        f" SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM f{len(steps)}")
+
+
+# Sequences themselves are the keys; a node lies below all shorter starts of its smallest member.
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), sized AS (
+  SELECT *, ({_crc32('conv_id::VARCHAR')} % 9)::INT AS h FROM turns
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t, [])[1:c.h], c.t[c.h + 1:]) AS t FROM sized c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5
+), starts AS (
+  SELECT conv_id, d, t[1:d] AS node, len(t) = d AS ends FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(strlen(any_value(node)[-1].text), 0) AS saved
+  FROM starts GROUP BY node
+), kids AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT m.node[1:a.d] AS node, sum(m.saved)::BIGINT AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes m LEFT JOIN kids k ON k.node = m.node, (SELECT unnest(range(1000)) AS d) a WHERE a.d <= m.depth GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves,
+       b.saved AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN kids k ON k.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
+
+ORACLE |= {"op12_merkle_manifest": _merkle(), "op13_prefix_trie": TRIE}
