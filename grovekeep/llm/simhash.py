@@ -42,8 +42,9 @@ SINGLE = [1 << i for i in range(64)]
 DOUBLE = [(1 << i) | (1 << j) for half in HALVES for i in half for j in half if i < j]
 FLIPS = np.array([0, *SINGLE, *DOUBLE], np.uint64)
 FLIPPED = np.bitwise_count(FLIPS).astype(np.uint8)
-# Variants that are sorted at once by one task, and shingles that are hashed at once.
+# Variants that are sorted at once by one task, fingerprints whose variants one task emits, and shingles hashed at once.
 SLICE = 1 << 20
+EMIT = 1 << 15
 CHUNK = 1 << 18
 # Longer spans are hashed one by one.
 LONG_SPAN = 2048
@@ -241,8 +242,11 @@ def near_links(nodes: DataFrame) -> DataFrame:
     Not all of them, but as many as connect what all of them would connect.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_slices = max(2 * parts, math.ceil(nodes.count() * (1 + 2 * len(SINGLE) + len(DOUBLE)) / 2 / SLICE))
-    emitted = nodes.select("fingerprint").mapInArrow(_emitted(n_slices), "slice bigint, variants binary, which binary")
+    count = nodes.count()
+    n_slices = max(8 * parts, math.ceil(count * (1 + 2 * len(SINGLE) + len(DOUBLE)) / 2 / SLICE))
+    # A fingerprint makes some 560 variants: the tasks that emit are dealt by that, not by the few bytes they read.
+    dealt = nodes.select("fingerprint").repartition(max(parts, math.ceil(count / EMIT)), "fingerprint")
+    emitted = dealt.mapInArrow(_emitted(n_slices), "slice bigint, variants binary, which binary")
     met = emitted.repartition("slice").sortWithinPartitions("slice").mapInArrow(_linked, "a bigint, b bigint")
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
