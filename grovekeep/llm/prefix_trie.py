@@ -1,16 +1,18 @@
 """Prefix trie of conversations by truncation peeling.
 
-A node is a sequence of first turns.  Peeling starts with the conversations of the greatest
-length.  At each depth the conversations that end there join the nodes that have survived from
-below; equal sequences are merged, which discovers the nodes of the depth and adds up what their
-subtrees hold at the same time; then every node loses its last turn and goes on as one child of the
-shorter sequence.  Each node is made once, from its own children, and nothing is looked up from the top.
+A node is a sequence of first turns.  Peeling starts with the conversations that have the most
+stops on their way: sequences where a conversation ends or others branch off.  At each level
+the conversations that end there join the nodes that have survived from below; equal sequences are merged,
+which discovers the nodes of the level and adds up what their subtrees hold at the same time; then every
+node loses its last turns down to the stop before and goes on as one child of that sequence.  Turns
+between two stops make nodes with one child each, whose figures follow from the node
+below; they are stripped at once, so a long conversation that shares nothing costs no rounds of its own.
+There are as many rounds as one path has stops.
 
 Sequences are compared by keys: the running xor of two 64-bit hashes of each turn with its place.
-Conversations of the same sequence are one row from the start.  A row carries the keys
-of its next ``SPAN`` shorter sequences only, and gets the next ones when they are used up, so a very
-long conversation needs no long row.  Turns are placed and keys summed up over range partitions, so
-a conversation may have any number of turns.
+Conversations of the same sequence are one row from the start.  A row carries ``SPAN`` of the
+stops before it only, and gets the next ones when they are used up.  Turns are placed and summed up over
+range partitions, so a conversation may have any number of turns.
 """
 
 from __future__ import annotations
@@ -148,44 +150,81 @@ def prefix_trie(turns: DataFrame, **rebuild) -> DataFrame:
     finals = convs.join(ends, F.col("conv") == F.col("_conv"), "left").select("conv", *[F.coalesce(f"_end.{c}", zero).alias(c) for c in ("depth", "k1", "k2")])
     groups = kept(ending_groups(finals), "trie-groups")
 
-    # What the steps up need, SPAN of them a row, for one conversation of each group.
+    # One conversation of each group stands for it.  Where as many sequences go on to one child as have come, nothing stops.
     chosen = groups.select(F.col("conv_id").alias("_rep"))
-    steps = keyed.join(chosen, F.col("conv") == F.col("_rep")).groupBy("conv", F.floor((F.col("depth") - 1) / SPAN).alias("_span"))
-    steps = steps.agg(F.sort_array(F.collect_list(F.struct("depth", "p1", "p2", "bytes"))).alias("path")).withColumnRenamed("conv", "_rep")
-    steps = kept(steps, "trie-steps")
-
-    def stepped(rows: DataFrame, depth: int) -> DataFrame:
-        """``rows`` of a depth with the steps up from there."""
-        own = steps.where(F.col("_span") == (depth - 1) // SPAN)
+    turned = kept(keyed.join(chosen, F.col("conv") == F.col("_rep")).drop("_rep"), "trie-chosen")
+    counts = turned.groupBy("depth", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    counts = kept(counts, "trie-counts")
+    single = counts.select((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"), "n")
+    stops = counts.join(single, ["depth", "k1", "k2", "n"], "left_anti").select(
+        F.col("depth").alias("_depth"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.lit(1).cast("bigint").alias("_stop"))
+    on_stop = (F.col("depth") == F.col("_depth")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    marked = turned.join(stops, on_stop, "left").select("conv", "depth", "k1", "k2", "bytes", F.coalesce("_stop", zero).alias("stop"))
+    summed = kept(sums_before(marked, ["conv", "depth"], ["stop", "bytes"], "trie-marked"), "trie-summed")
+    begun = summed.groupBy("conv").agg(F.min("before_stop").alias("_stops"), F.min("before_bytes").alias("_bytes")).withColumnRenamed("conv", "_conv")
+    # ``level``: the first stop at or after the turn, counted from the start; ``before``: bytes of the turns before.
+    levels = kept(summed.join(begun, F.col("conv") == F.col("_conv")).select(
+        "conv", "depth", "k1", "k2", "bytes", "stop", (F.col("before_stop") - F.col("_stops") + 1).alias("level"),
+        (F.col("before_bytes") - F.col("_bytes")).alias("before")), "trie-levels")
+    stopped = levels.where(F.col("stop") == 1).withColumnRenamed("conv", "_rep")
+    paths = stopped.groupBy("_rep", F.floor((F.col("level") - 1) / SPAN).alias("_span"))
+    paths = kept(paths.agg(F.sort_array(F.collect_list(F.struct("level", "depth", "k1", "k2", "before", "bytes"))).alias("path")), "trie-paths")
+    ends_at = stopped.groupBy("_rep").agg(F.max("level").alias("_level"))
+    ending = groups.join(ends_at, F.col("conv_id") == F.col("_rep"), "left").select(
+        F.coalesce("_level", zero).alias("level"), "depth", "k1", "k2", "conv_id", "n_convs", "ends_sha256")
+    ending = kept(ending, "trie-ending")
+
+    def with_path(rows: DataFrame, level: int) -> DataFrame:
+        """``rows`` of a level with their stops from there on, the last one being their own."""
+        own = paths.where(F.col("_span") == (level - 1) // SPAN)
         return rows.join(own, F.col("conv_id") == F.col("_rep")).drop("_rep", "_span")
 
     folder, survivors = new_path(spark, "trie-nodes"), None
-    deepest = groups.agg(F.max("depth").alias("depth")).first()["depth"]
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        rows = groups.where(F.col("depth") == depth).select("k1", "k2", "conv_id", "n_convs", zero.alias("child"), zero.alias("leaves"), zero.alias("saved"), "ends_sha256")
-        rows = stepped(rows, depth) if depth else rows.withColumn("path", F.lit(None).cast(steps.schema["path"].dataType))
+    highest = ending.agg(F.max("level").alias("level")).first()["level"]
+    if highest is None:
+        return spark.createDataFrame([], NODE)
+    for level in range(highest, -1, -1):
+        rows = ending.where(F.col("level") == level).select("depth", "k1", "k2", "conv_id", "n_convs", zero.alias("child"), zero.alias("leaves"), zero.alias("saved"), "ends_sha256")
+        rows = with_path(rows, level) if level else rows.withColumn("path", F.lit(None).cast(paths.schema["path"].dataType))
         if survivors is not None:
-            if depth and depth % SPAN == 0:
-                survivors = stepped(survivors.drop("path"), depth)
             rows = rows.unionByName(survivors)
-        merged = rows.groupBy("k1", "k2").agg(
+        merged = rows.groupBy("depth", "k1", "k2").agg(
             F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"),
             F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.max("ends_sha256").alias("ends_sha256"), F.first("path").alias("path"))
-        step = F.element_at("path", -1) if depth else F.lit(None).cast(steps.schema["path"].dataType.elementType)
+        if level > 1 and (level - 1) % SPAN == 0:
+            # The stops before are in the next row of them.
+            earlier = with_path(merged.select("depth", "k1", "k2", "conv_id"), level - 1).select(
+                F.col("depth").alias("_d"), F.col("k1").alias("_a"), F.col("k2").alias("_b"), F.col("path").alias("_path"))
+            merged = merged.join(earlier, (F.col("depth") == F.col("_d")) & (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")))
+            merged = merged.withColumn("path", F.concat("_path", F.slice("path", -1, 1))).drop("_d", "_a", "_b", "_path")
+        own, up = F.try_element_at("path", F.lit(-1)), F.try_element_at("path", F.lit(-2))
+        known = lambda c: F.coalesce(c, zero)
         nodes = merged.select(
-            "k1", "k2", step["p1"].alias("p1"), step["p2"].alias("p2"), "conv_id", "n_convs", "n_children",
-            F.greatest("leaves", F.lit(1)).alias("n_leaves"),
-            (F.col("saved") + (F.col("n_convs") - 1) * F.coalesce(step["bytes"], zero)).alias("saved_tokens"),
-            "ends_sha256", F.slice("path", F.lit(1), F.size("path") - 1).alias("path") if depth else F.col("path"))
-        nodes.write.parquet(f"{folder}/depth={depth}")
-        # The last turn goes; what is left is a child of the shorter sequence.
-        survivors = spark.read.schema(nodes.schema).parquet(f"{folder}/depth={depth}").select(
-            F.col("p1").alias("k1"), F.col("p2").alias("k2"), "conv_id", "n_convs", F.lit(1).cast("bigint").alias("child"),
-            F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"), F.lit(None).cast("string").alias("ends_sha256"), "path")
-    if survivors is None:
-        return spark.createDataFrame([], NODE)
-    nodes = spark.read.schema(f"k1 bigint, k2 bigint, p1 bigint, p2 bigint, {KEPT}, depth bigint").parquet(folder)
-    above = nodes.select((F.col("depth") + 1).alias("_depth"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("conv_id").alias("parent_conv_id"))
-    found = nodes.join(above, (F.col("depth") == F.col("_depth")) & (F.col("p1") == F.col("_k1")) & (F.col("p2") == F.col("_k2")), "left")
-    ends_here = F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")
-    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ends_here)
+            F.lit(level).cast("bigint").alias("level"), "depth", "k1", "k2", "conv_id", "n_convs", "n_children", F.greatest("leaves", F.lit(1)).alias("n_leaves"),
+            (F.col("saved") + (F.col("n_convs") - 1) * known(own["bytes"])).alias("saved_tokens"), "ends_sha256",
+            known(own["before"]).alias("before"), known(up["depth"]).alias("up_depth"), known(up["k1"]).alias("up_k1"), known(up["k2"]).alias("up_k2"),
+            known(up["before"] + up["bytes"]).alias("up_bytes"), F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("path"))
+        nodes.write.parquet(f"{folder}/of={level}")
+        # The last turns go; what is left is a child of the sequence up to the stop before.
+        between = (F.col("n_convs") - 1) * (F.col("before") - F.col("up_bytes"))
+        survivors = spark.read.schema(nodes.schema).parquet(f"{folder}/of={level}").select(
+            F.col("up_depth").alias("depth"), F.col("up_k1").alias("k1"), F.col("up_k2").alias("k2"), "conv_id", "n_convs", F.lit(1).cast("bigint").alias("child"),
+            F.col("n_leaves").alias("leaves"), (F.col("saved_tokens") + between).alias("saved"), F.lit(None).cast("string").alias("ends_sha256"), "path")
+    nodes = spark.read.schema(nodes.drop("path").schema).parquet(*[f"{folder}/of={level}" for level in range(highest + 1)])
+    above = nodes.select(F.col("depth").alias("_depth"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("conv_id").alias("up_conv_id"))
+    above = nodes.join(above, (F.col("up_depth") == F.col("_depth")) & (F.col("up_k1") == F.col("_k1")) & (F.col("up_k2") == F.col("_k2")))
+    # Every turn of a stop's smallest member since the stop before is a node of the same members.
+    below = above.where(F.col("level") > 0).select(
+        F.col("conv_id").alias("_of"), F.col("level").alias("_level"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+        F.col("before").alias("_before"), "up_depth", "up_conv_id")
+    found = levels.join(below, (F.col("conv") == F.col("_of")) & (F.col("level") == F.col("_level")))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    here = F.col("stop") == 1
+    found = found.select(
+        F.col("conv").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("up_depth") + 1, F.col("up_conv_id")).otherwise(F.col("conv")).alias("parent_conv_id"),
+        "n_convs", F.when(here, F.col("n_children")).otherwise(1).alias("n_children"), "n_leaves",
+        (F.col("saved_tokens") + (F.col("n_convs") - 1) * (F.col("_before") - F.col("before"))).alias("saved_tokens"),
+        F.when(here, F.coalesce("ends_sha256", none)).otherwise(none).alias("ends_sha256"))
+    root = nodes.where(F.col("level") == 0).select(
+        "conv_id", "depth", F.lit(None).cast("bigint").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+    return root.unionByName(found)
