@@ -243,7 +243,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = nodes.count()
-    n_slices = max(8 * parts, math.ceil(count * (1 + 2 * len(SINGLE) + len(DOUBLE)) / 2 / SLICE))
+    n_slices = max(4 * parts, math.ceil(count * (1 + 2 * len(SINGLE) + len(DOUBLE)) / 2 / SLICE))
     # A fingerprint makes some 560 variants: the tasks that emit are dealt by that, not by the few bytes they read.
     dealt = nodes.select("fingerprint").repartition(max(parts, math.ceil(count / EMIT)), "fingerprint")
     emitted = dealt.mapInArrow(_emitted(n_slices), "slice bigint, variants binary, which binary")
