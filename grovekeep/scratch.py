@@ -55,6 +55,30 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return keep(df, label)[0]
 
 
+class Work:
+    """Written tables of one job that nothing needs once its result has been written.
+
+    Leaving the ``with`` block removes them; tables that a lazy result still reads
+    belong outside, to :func:`kept`.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folders: list[str] = []
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        folder = new_path(self._spark, label)
+        self._folders.append(folder)
+        return _store(df, folder, {})[0]
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for folder in self._folders:
+            _remove(self._spark, folder)
+
+
 class Rounds:
     """Successive versions of one table of an iterative job.
 
