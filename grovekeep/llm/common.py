@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +60,19 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
-def sums_before(df: DataFrame, order: list[str], values: list[str], label: str) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a line after them as often as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def sums_before(
+    df: DataFrame, order: list[str], values: list[str], label: str, keep: Callable[[DataFrame, str], DataFrame] = kept
+) -> DataFrame:
     """``df`` with ``before_<value>``: the sum of a value over all rows that sort earlier.
 
     The rows are range-partitioned by ``order`` and written; each partition then
@@ -68,7 +81,7 @@ def sums_before(df: DataFrame, order: list[str], values: list[str], label: str)
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    cut = kept(ranged, label)
+    cut = keep(ranged, label)
     earlier_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy("_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     offsets = offsets.select(

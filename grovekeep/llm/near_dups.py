@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Rounds, kept
-from .common import text_key, whole_text
+from ..scratch import Rounds, Work, kept
+from .common import text_key, unused, whole_text
 from .textarrays import mix, shingle_hashes, slices, text_bytes, word_hashes
 
 MINIMA, ROWS, BITS = 128, 4, 4
@@ -293,46 +293,47 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Data
     nodes = kept(named.select(
         F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "first_id",
         F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "bands", "bits"), "near-nodes")
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    members = kept(placed.join(shared.select("bucket"), "bucket").withColumn("root", F.col("node")), "near-members")
-
-    # Whole texts of the nodes that have any candidate, once.
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_key", "bits"), "node")
-    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), whole_text().cast("string").alias("text"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    texts = texts.select("node", "bits", "text")
-    # Repeated rows would repeat their node here.
-    alone = sets.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).isEmpty()
-    texts = kept(texts if alone else texts.dropDuplicates(["node"]), "near-texts")
-
-    # Every text against one pivot of each of its buckets, which connects copies of
-    # one original; then again with other pivots where components are still apart.
-    bits, links, roots = texts.select("node", "bits"), None, None
-    for turn in range(STARS):
-        pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("_p"))
-        pivots = pivots.select("bucket", "_p.pivot", "_p.of")
-        pairs = members.join(pivots, "bucket").where(F.col("root") != F.col("of"))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        judged = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("_x")), "a").join(
-            bits.select(F.col("node").alias("b"), F.col("bits").alias("_y")), "b")
-        judged = judged.where(estimated(F.col("_x"), F.col("_y")) >= percent / 100 - MARGIN).select("a", "b")
-        found = kept(confirmed(judged, texts, shingle, percent), "near-links")
-        links = found if links is None else links.union(found)
-        roots = components(links, "near")
-        members = kept(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
-        mixed = members.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-        members = kept(members.join(mixed.select("bucket"), "bucket"), "near-open")
-
-    # Whatever is left in buckets of several components, block by block.
-    wanted = members.select("node").distinct()
-    detail = texts.select("node", "text").join(wanted, "node").mapInArrow(_long_signatures(shingle), "node bigint, n bigint, sketch binary, members binary")
-    detail = kept(detail.join(nodes.select("node", "bands"), "node"), "near-detail")
-    pairs = kept(candidate_pairs(members, detail, percent), "near-pairs")
-    more = kept(confirmed(pairs, texts, shingle, percent), "near-links")
-    if not more.isEmpty():
-        roots = components(links.union(more), "near")
+    with Work(docs.sparkSession) as work:
+        placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        members = work.kept(placed.join(shared.select("bucket"), "bucket").withColumn("root", F.col("node")), "near-members")
+
+        # Whole texts of the nodes that have any candidate, once.
+        wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_key", "bits"), "node")
+        wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), whole_text().cast("string").alias("text"))
+        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        texts = texts.select("node", "bits", "text")
+        # Repeated rows would repeat their node here.
+        alone = sets.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).isEmpty()
+        texts = work.kept(texts if alone else texts.dropDuplicates(["node"]), "near-texts")
+
+        # Every text against one pivot of each of its buckets, which connects copies of
+        # one original; then again with other pivots where components are still apart.
+        bits, links, roots = texts.select("node", "bits"), None, None
+        for turn in range(STARS):
+            pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("_p"))
+            pivots = pivots.select("bucket", "_p.pivot", "_p.of")
+            pairs = members.join(pivots, "bucket").where(F.col("root") != F.col("of"))
+            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            judged = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("_x")), "a").join(
+                bits.select(F.col("node").alias("b"), F.col("bits").alias("_y")), "b")
+            judged = judged.where(estimated(F.col("_x"), F.col("_y")) >= percent / 100 - MARGIN).select("a", "b")
+            found = work.kept(confirmed(judged, texts, shingle, percent), "near-links")
+            links = found if links is None else links.union(found)
+            roots = components(links, "near")
+            members = work.kept(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+            mixed = members.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
+            members = work.kept(members.join(mixed.select("bucket"), "bucket"), "near-open")
+
+        # Whatever is left in buckets of several components, block by block.
+        wanted = members.select("node").distinct()
+        detail = texts.select("node", "text").join(wanted, "node").mapInArrow(_long_signatures(shingle), "node bigint, n bigint, sketch binary, members binary")
+        detail = work.kept(detail.join(nodes.select("node", "bands"), "node"), "near-detail")
+        pairs = work.kept(candidate_pairs(members, detail, percent), "near-pairs")
+        more = work.kept(confirmed(pairs, texts, shingle, percent), "near-links")
+        if not more.isEmpty():
+            roots = components(links.union(more), "near")
 
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -343,10 +344,11 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Data
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that carry their component's id, one per component and text; all rows with an empty set but repeats stay."""
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_times"))
-    chosen = chosen.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    rows = docs.withColumns({"_id_here": F.col("doc_id").cast("bigint"), "_key_here": text_key()})
-    joined = rows.join(chosen, F.col("_id_here").eqNullSafe(F.col("_id")) & (F.col("_key_here") == F.col("_key")))
-    once = joined.where(F.col("_times") == 1)
-    more = joined.where(F.col("_times") > 1).dropDuplicates(["_id_here", "_key_here"])
-    return once.unionByName(more).select(*docs.columns)
+    times, of, key, here, key_here = unused(docs, "times", "id", "key", "id_here", "key_here")
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(of), F.col("text_key").alias(key))
+    chosen = chosen.agg(F.count(F.lit(1)).alias(times))
+    rows = docs.withColumns({here: F.col("doc_id").cast("bigint"), key_here: text_key()})
+    joined = rows.join(chosen, F.col(here).eqNullSafe(F.col(of)) & (F.col(key_here) == F.col(key)))
+    once = joined.where(F.col(times) == 1)
+    more = joined.where(F.col(times) > 1).dropDuplicates([here, key_here])
+    return once.unionByName(more).select(*[f"`{c}`" for c in docs.columns])

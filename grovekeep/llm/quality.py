@@ -128,6 +128,33 @@ def _inputs(texts: pa.Array, meta: list[np.ndarray], edges: np.ndarray) -> np.nd
     return np.concatenate([bag, _one_hot(stats, edges), _meta(meta, len(texts))], axis=1)
 
 
+@dataclass
+class Sample:
+    """The rows of the fit: sparse words, bins of the other features; made dense a few rows at a time."""
+
+    bounds: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    rest: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.rest), WORDS + self.rest.shape[1]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.shape[1]), np.float32)
+        lengths = self.bounds[rows + 1] - self.bounds[rows]
+        of = np.repeat(np.arange(len(rows)), lengths)
+        places = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.bounds[rows], lengths)
+        out[of, self.at[places]] = self.value[places]
+        out[:, WORDS:] = self.rest[rows]
+        return out
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -137,7 +164,7 @@ def _raw(x: np.ndarray, model: Model) -> np.ndarray:
     return model.bias + x @ model.weights + 0.5 * ((crossed**2).sum(1) - (x**2) @ (model.factors**2).sum(1))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, edges: np.ndarray, meta: list[str], s: Settings) -> Model:
+def _fit(x: Sample, y: np.ndarray, edges: np.ndarray, meta: list[str], s: Settings) -> Model:
     """Adam on the logistic loss, rows in a fixed random order."""
     random = np.random.default_rng(s.seed)
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
@@ -212,13 +239,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, meta: list[str] = ("n_cha
         size = WORDS + len(STATS) * BINS + len(meta) * META
         return Model(np.zeros((len(STATS), BINS - 1)), 0.0, np.zeros(size, np.float32), np.zeros((size, s.rank), np.float32), list(meta))
     table = table.take(first)
-    stats = np.array(table.column("stats").to_pylist(), float)
+    stats = _flat(table.column("stats")).reshape(len(first), -1)
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    bag = np.zeros((len(first), WORDS), np.float32)
-    for i, (a, v) in enumerate(zip(table.column("at").to_pylist(), table.column("value").to_pylist(), strict=True)):
-        bag[i, a] = v
-    extra = np.array(table.column("meta").to_pylist(), float).reshape(len(first), -1)
-    x = np.concatenate([bag, _one_hot(stats, edges), _meta(list(extra.T), len(first))], axis=1)
+    extra = _flat(table.column("meta")).reshape(len(first), -1)
+    rest = np.concatenate([_one_hot(stats, edges), _meta(list(extra.T), len(first))], axis=1)
+    lengths = table.column("at").combine_chunks().value_lengths().to_numpy()
+    bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    x = Sample(bounds, _flat(table.column("at")), _flat(table.column("value")), rest)
     return _fit(x, table.column("label").to_numpy().astype(np.float32), edges, list(meta), s)
 
 
