@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import kept
-from .common import text_key, whole_text
+from .common import text_key, unused, whole_text
 from .textarrays import mix, slices
 
 # Units of measure, in lower case.
@@ -266,7 +266,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumns({"_id_here": F.col("doc_id").cast("bigint"), "_key_here": text_key()})
-    match = F.col("_id_here").eqNullSafe(F.col("_id")) & (F.col("_key_here") == F.col("_key"))
-    return rows.join(bad, match, "left_anti").select(*docs.columns)
+    of, key, here, key_here = unused(docs, "id", "key", "id_here", "key_here")
+    bad = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    rows = docs.withColumns({here: F.col("doc_id").cast("bigint"), key_here: text_key()})
+    match = F.col(here).eqNullSafe(F.col(of)) & (F.col(key_here) == F.col(key))
+    return rows.join(bad, match, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import kept
-from .common import WORD, sums_before, text_key
+from .common import WORD, sums_before, text_key, unused
 
 
 def n_words(name: str = "text") -> Column:
@@ -100,26 +100,30 @@ def take_mixture(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     ``n_chars``, where ``docs`` has it, is that of the cut text.  Rows that give no word are left out.
     """
-    # Repeated rows are matched by their place among the rows that are alike.
-    plan = mixed.where(F.col("taken") > 0).groupBy("doc_id", "text_key", "size").agg(F.sort_array(F.collect_list("taken")).alias("_takes"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), F.col("size").alias("_size"), "_takes")
-    keyed = docs.withColumns({"_id_here": F.col("doc_id").cast("bigint"), "_key_here": text_key()})
-    once = plan.where(F.size("_takes") == 1)
-    more = plan.where(F.size("_takes") > 1)
-    match = F.col("_id_here").eqNullSafe(F.col("_id")) & (F.col("_key_here") == F.col("_text_key"))
-    single = keyed.join(once, match).withColumn("_taken", F.col("_takes")[0])
-    place = F.row_number().over(Window.partitionBy("_id_here", "_key_here").orderBy("_key_here"))
-    several = keyed.join(more, match).withColumn("_place", place)
-    several = several.withColumn("_taken", F.coalesce(F.get("_takes", F.col("_place") - 1), F.lit(0))).drop("_place")
+    # Repeated rows are matched by their place among the rows that are alike: of those, the first ``_n``
+    # of the first pair take its words, and so on; only so many pairs are there as ways to be cut.
+    size, takes, taken, n, of, key, here, key_here, place, words = unused(docs, "size", "takes", "taken", "n", "id", "key", "id_here", "key_here", "place", "words")
+    counted = mixed.where(F.col("taken") > 0).groupBy("doc_id", "text_key", "size", "taken").agg(F.count(F.lit(1)).alias("_n"))
+    plan = counted.groupBy("doc_id", "text_key", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "_n"))).alias(takes), F.sum("_n").alias(n))
+    plan = plan.withColumnsRenamed({"doc_id": of, "text_key": key, "size": size} if size != "size" else {"doc_id": of, "text_key": key})
+    keyed = docs.withColumns({here: F.col("doc_id").cast("bigint"), key_here: text_key()})
+    match = F.col(here).eqNullSafe(F.col(of)) & (F.col(key_here) == F.col(key))
+    single = keyed.join(plan.where(F.col(n) == 1), match).withColumn(taken, F.col(takes)[0]["taken"])
+    several = keyed.join(plan.where(F.col(n) > 1), match).withColumn(place, F.row_number().over(Window.partitionBy(here, key_here).orderBy(key_here)))
+    # Counts are used up pair by pair; past the last one a row gives nothing.
+    start = F.struct(F.col(place).cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("found"))
+    step = lambda a, p: F.struct(
+        (a["left"] - p["_n"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= p["_n"]), p["taken"]).otherwise(a["found"]).alias("found"))
+    several = several.withColumn(taken, F.aggregate(takes, start, step)["found"]).drop(place)
     rows = single.unionByName(several)
-    passes = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    words = F.concat(F.array_repeat(F.col("_size").cast("int"), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_words", F.explode(words))
-    cut = F.col("_words") < F.col("_size")
-    text = F.when(cut, first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
+    passes = F.floor(F.col(taken) / F.col(size)).cast("int")
+    rest = (F.col(taken) % F.col(size)).cast("int")
+    shares = F.concat(F.array_repeat(F.col(size).cast("int"), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn(words, F.explode(shares))
+    cut = F.col(words) < F.col(size)
+    text = F.when(cut, first_words(F.col("text"), F.col(words))).otherwise(F.col("text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out["n_chars"] = F.when(cut, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    return rows.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])

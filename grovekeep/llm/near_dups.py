@@ -185,8 +185,8 @@ def _compared(percent: int):
             a, b = i[a], right[b]
             if right is left:
                 a, b = a[a < b], b[a < b]
-            for start in range(0, len(a), 1 << 16):
-                x, y = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
+            for start in range(0, len(a), 1 << 14):
+                x, y = a[start : start + (1 << 14)], b[start : start + (1 << 14)]
                 unequal = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
                 good = 1 - 2 * unequal / LONG_MINIMA >= least
                 x, y = x[good], y[good]

@@ -79,8 +79,9 @@ def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, offsets))
     owner = np.repeat(np.arange(n), counts)
     bag = np.bincount(owner * WORDS + (words % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS)
-    bag = np.sqrt(bag.reshape(n, WORDS).astype(np.float32))
-    bag /= np.maximum(np.sqrt((bag * bag).sum(axis=1, keepdims=True)), 1e-9)
+    bag = bag.reshape(n, WORDS).astype(np.float32)
+    np.sqrt(bag, out=bag)
+    bag /= np.maximum(np.sqrt(np.einsum("ij,ij->i", bag, bag)), 1e-9)[:, None]
 
     def distinct(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Distinct values as a part of all, per text."""
@@ -217,7 +218,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, meta: list[str] = ("n_cha
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            # Few rows at a time: their words are dense for a moment.
+            for batch in (part.slice(i, 256) for part in slices(whole, "text") for i in range(0, part.num_rows, 256)):
                 bag, stats = describe(batch.column("text"))
                 at = [np.flatnonzero(r).astype(np.int32) for r in bag]
                 extra = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1) if names else np.zeros((len(bag), 0))

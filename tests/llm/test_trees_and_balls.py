@@ -328,3 +328,42 @@ def test_matches_sql(spark, sf, name):
     kinds = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
     assert dict(ours.dtypes) == {c[0]: kinds[str(c[1])] for c in want.description}
     assert collections.Counter(map(tuple, ours.select(*names).collect())) == collections.Counter(want.fetchall())
+
+
+# --- pipeline stages -------------------------------------------------------------
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Columns named like the operators' own, repeated rows, nulls and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    clash = ["_times", "times", "_id", "id", "_id_here", "_crc", "_taken", "taken", "_words", "size", "row_name", "old", "shard_", "_n"]
+    docs = tune(spark).createDataFrame(ODD + [(7, "some more words of a text that is good enough to stay here", "en", "a", 57)] * 3, DOCS)
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(clash)})
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, sf)
+            rows = got.collect()
+            if name != "shard":
+                assert got.columns == table.columns
+                assert all(tuple(r[c] for c in clash) == tuple(range(len(clash))) for r in rows)
+            else:
+                assert len(rows) == table.count()
+            if table is not docs:
+                assert rows == []
+
+
+def test_copies_are_written_once_each(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from grovekeep.llm import reshard
+
+    monkeypatch.setattr(reshard, "COPIES", 4)
+    rows = [(1, "copied text")] * 50 + [(None, "no id")] * 3 + [(i, f"text {i}") for i in range(2, 40)]
+    docs = tune(spark).createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(1))
+    placed = reshard.reshard(docs.withColumn("_old", F.lit(0)), "_old", 5)
+    changed = reshard.rewrite_affected(spark, docs, placed, str(tmp_path / "out"))
+    wrote = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = placed.where(F.col("shard").isin(changed)).collect()
+    sizes = lambda t: len(t.encode()) + 1
+    assert Counter((r.doc_id, sizes(r.text), r.shard) for r in wrote) == Counter((r.doc_id, r.size, r.shard) for r in want)
