@@ -868,33 +868,47 @@ def daily_review_counts(spark, d):
 
 @query
 def recall_state_stream(spark, d):
-    states = jobs.fold_stream(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY_SECONDS)
-    return _state_columns(states, "owner_id", "node_id")
+    return _state_columns(jobs.fold_stream(X.review_arrivals(spark, d), X.STREAM_DELAY_SECONDS)[0], "owner_id", "node_id")
+
+
+@query
+def recall_state_stream_late(spark, d):
+    late = jobs.fold_stream(X.review_arrivals(spark, d), X.STREAM_DELAY_SECONDS)[1]
+    return late.select("owner_id", "node_id", "event_id", text("reviewed_at"))
 
 
 @query
 def recall_state_stream_keyed(spark, d):
-    changes = jobs.recall_state_changes(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
-    return _state_columns(jobs.finished_states(jobs.run_to_table(changes), X.reviews(spark, d)), "owner_id", "node_id")
+    changes = jobs.run_keyed(jobs.recall_state_changes(X.review_arrivals(spark, d), X.STREAM_DELAY))
+    return _state_columns(jobs.current_states(changes), "owner_id", "node_id")
+
+
+@query
+def recall_state_stream_keyed_late(spark, d):
+    changes = jobs.run_keyed(jobs.recall_state_changes(X.review_arrivals(spark, d), X.STREAM_DELAY))
+    return jobs.late_reviews(changes).select("owner_id", "node_id", "event_id", text("reviewed_at"))
 
 
 @query
 def daily_review_counts_stream(spark, d):
-    counts = jobs.daily_review_counts(X.reviews_of(X.read_stream(spark, d, "events")), X.STREAM_DELAY)
-    return jobs.finished_counts(jobs.run_to_table(counts), X.reviews(spark, d))
+    return jobs.count_stream(X.review_arrivals(spark, d), X.STREAM_DELAY_SECONDS)[0].select("owner_id", "day", "reviews")
+
+
+@query
+def daily_review_counts_late(spark, d):
+    return jobs.count_stream(X.review_arrivals(spark, d), X.STREAM_DELAY_SECONDS)[1].select("owner_id", "event_id", "day")
 
 
 @query
 def stream_insert_ignore(spark, d):
-    rows = X.records_of(X.read_stream(spark, d, "lineitem")).select("order_key", "line", "answered_at")
-    return jobs.run_into(rows, lambda path: jobs.insert_new_rows(path, ["order_key", "line"], ["answered_at"])).select("order_key", "line")
+    rows = X.record_arrivals(spark, d).select("order_key", "line", "answered_at")
+    return jobs.insert_stream(rows, ["order_key", "line"], ["answered_at"])[0].select("order_key", "line")
 
 
 @query
 def stream_insert_into_table(spark, d):
-    rows = X.records_of(X.read_stream(spark, d, "lineitem")).select("order_key", "line", "question_id", "price")
-    order = ["question_id", "price"]
-    return jobs.run_into(rows, lambda path: jobs.insert_new_rows(path, ["order_key", "line"], order)).select(*rows.columns)
+    rows = X.record_arrivals(spark, d).select("order_key", "line", "question_id", "price")
+    return jobs.insert_stream(rows, ["order_key", "line"], ["question_id", "price"])[0].select(*rows.columns)
 
 
 @query

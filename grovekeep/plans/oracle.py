@@ -391,13 +391,17 @@ sql("recall_state_history", _state("fold", "owner_id", "node_id", "event_id"))
 sql("daily_review_counts", "SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews GROUP BY ALL")
 sql("recall_state_fold_blocks", _state("final", "owner_id", "node_id"))
 sql("recall_state_history_blocks", _state("fold", "owner_id", "node_id", "event_id"))
-sql("recall_state_stream", _state("final", "owner_id", "node_id"))
-sql("recall_state_stream_keyed", _state("final", "owner_id", "node_id"))
-sql("daily_review_counts_stream", "SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM reviews GROUP BY ALL")
+_LATE_DAY = "coalesce(epoch_us(date_trunc('day', reviewed_at)) + 86400000000 <= mark, FALSE)"
+for _name in ("recall_state_stream", "recall_state_stream_keyed"):
+    sql(_name, _state("timely_final", "owner_id", "node_id"))
+    sql(f"{_name}_late", f"SELECT owner_id, node_id, event_id, {time('reviewed_at')} AS reviewed_at FROM late_reviews")
+sql("daily_review_counts_stream", f"""
+    SELECT owner_id, strftime(reviewed_at, '%Y-%m-%d') AS day, count(*) AS reviews FROM marked_reviews WHERE NOT {_LATE_DAY} GROUP BY ALL""")
+sql("daily_review_counts_late", f"SELECT owner_id, event_id, strftime(reviewed_at, '%Y-%m-%d') AS day FROM marked_reviews WHERE {_LATE_DAY}")
 sql("stream_insert_ignore", "SELECT DISTINCT order_key, line FROM records")
 sql("stream_insert_into_table", """
-    SELECT order_key, line, question_id, price FROM records
-    QUALIFY row_number() OVER (PARTITION BY order_key, line ORDER BY question_id, price) = 1""")
+    SELECT order_key, line, question_id, price FROM record_arrivals
+    QUALIFY row_number() OVER (PARTITION BY order_key, line ORDER BY part, question_id, price) = 1""")
 sql("stream_wrong_attempts", f"""
     SELECT q.owner_id, r.question_id, count(*) AS n, {time("max(r.answered_at)")} AS last_wrong_at
     FROM records r JOIN questions q ON q.id = r.question_id WHERE NOT r.is_correct GROUP BY ALL""")

@@ -297,6 +297,21 @@ def _last(fold: str) -> str:
     return f"SELECT * FROM {fold} QUALIFY row_number() OVER (PARTITION BY owner_id, node_id ORDER BY rn DESC) = 1"
 
 
+# The stream's arrivals: a review is late if the mark, an hour behind the newest one of earlier arrivals, has passed it.
+TABLES["review_arrivals"] = """
+    SELECT r.*, CASE WHEN event_id % 40 = 11 THEN 3 ELSE least(3, (epoch_us(reviewed_at) - low) * 4 // (high - low + 1)) END AS part
+    FROM reviews r, (SELECT min(epoch_us(reviewed_at)) AS low, max(epoch_us(reviewed_at)) AS high FROM reviews)"""
+TABLES["record_arrivals"] = """
+    SELECT r.*, least(3, (epoch_us(answered_at::TIMESTAMP) - low) * 4 // (high - low + 1)) AS part
+    FROM records r, (SELECT min(epoch_us(answered_at::TIMESTAMP)) AS low, max(epoch_us(answered_at::TIMESTAMP)) AS high FROM records)"""
+TABLES["marked_reviews"] = """
+    SELECT a.*, m.mark FROM review_arrivals a JOIN (
+      SELECT part, max(max(epoch_us(reviewed_at))) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS mark
+      FROM review_arrivals GROUP BY part) m ON m.part = a.part"""
+TABLES["late_reviews"] = "SELECT * FROM marked_reviews WHERE coalesce(epoch_us(reviewed_at) < mark, FALSE)"
+TABLES["timely_log"] = f"SELECT *, {_RANKED} FROM marked_reviews WHERE NOT coalesce(epoch_us(reviewed_at) < mark, FALSE)"
+TABLES["timely_fold"] = _fold("timely_log", "timely_fold")
+TABLES["timely_final"] = _last("timely_fold")
 TABLES["final"] = _last("fold")
 TABLES["mixed_final"] = _last("mixed_fold")
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+from ..streaming.jobs import closing_row
+
 AS_OF = "2024-01-31 00:00:00"
 STRIDE = 20
 STREAM_DELAY = "1 hour"
@@ -27,6 +30,41 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARRIVALS = 4
+FILES = 2
+
+
+def arrivals(rows: DataFrame, event_time: str, late: Column, again: Column, closing: DataFrame | None = None) -> DataFrame:
+    """``rows`` as a stream of ``ARRIVALS`` triggers, in the order of ``event_time``.
+
+    Rows that are ``late`` come with the last arrival whatever their time, and rows to be sent ``again`` come
+    with it once more; ``closing`` comes after it.
+    """
+    spark = rows.sparkSession
+    at = F.unix_micros(F.col(event_time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.when(late, ARRIVALS - 1).otherwise(F.least(F.lit(ARRIVALS - 1), F.floor((at - low) * ARRIVALS / (high - low + 1))))
+    folder = new_path(spark, "arrivals")
+    for i in range(ARRIVALS):
+        now = rows.where(part == i)
+        now = now.unionByName(rows.where(again)) if i == ARRIVALS - 1 else now
+        now.repartition(FILES).write.mode("append").parquet(folder)
+    if closing is not None:
+        closing.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+def review_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reviews as a stream that ends; every fortieth comes with the last arrival."""
+    rows = reviews(spark, sf_dir)
+    return arrivals(rows, "reviewed_at", F.pmod("event_id", F.lit(40)) == 11, F.lit(False), closing_row(spark, rows.schema, "reviewed_at"))
+
+
+def record_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as a stream; those of every tenth order are sent twice."""
+    return arrivals(records_of(read(spark, sf_dir, "lineitem")), "answered_at", F.lit(False), F.pmod("order_key", F.lit(10)) == 3)
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of files."""
     schema = read(spark, sf_dir, name).schema

@@ -1,97 +1,189 @@
-"""Structured Streaming over review and attempt streams."""
+"""Structured Streaming over review and attempt streams.
+
+A stream that ends is closed by a row: one whose time is ``CLOSING`` or later (:func:`closing_row`) moves
+the watermark past everything, so what still waits is worked off by the state itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import fixed_values as V
-from ..operators.keyed import last_rows
-from ..operators import recall as batch_recall
-from ..operators.keyed import rank_rows
-from ..operators.recall import KEY, recall_state_fold, valid_rating, with_next_review
-from ..operators.scans import insert_ignore as new_rows
+from ..operators.keyed import first_rows, last_rows
+from ..operators.recall import KEY, recall_state_fold, with_next_review
 from ..scratch import new_path
 
-_STATE = (
-    "stability double, gap double, count long, state string, last_us long, "
-    "times array<long>, ids array<long>, ratings array<int>"
-)
+CLOSING = "9000-01-01 00:00:00"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def closing_row(spark: SparkSession, schema, event_time: str) -> DataFrame:
+    """One row, null but for its time, that ends a stream."""
+    return spark.range(1).select(*[(F.lit(CLOSING) if f.name == event_time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
 
+def _closes(event_time: str) -> Column:
+    return F.coalesce(F.col(event_time) >= F.lit(CLOSING).cast("timestamp"), F.lit(False))
 
-def _key_folder(keys: list[str], rate: float, low: float, start: float, first: dict, factor: dict, lapse: float) -> Callable:
-    """The per-key function of :func:`recall_state_changes`.
 
-    It is built from plain values, so workers need no copy of this package.
+def _review_folder(keys: list[str], rate: float, low: float, start: float, first: dict, factor: dict, lapse: float) -> StatefulProcessor:
+    """The processor of :func:`recall_state_changes`.
+
+    It is made here from plain values, so workers need no copy of this package.
     """
-    columns = [*keys, "stability", "difficulty", "review_count", "review_state", "last_review_at", "gap"]
-
-    def advance(stability: float, gap: float, count: int, state: str, rating: int) -> tuple:
-        """One review on plain numbers; the same rules as ``functions.recall``."""
-        gap = min(1.0 - low, (1.0 - rate * (3 - rating)) * gap)
-        if count == 0 or stability <= 0:
-            stability = first[rating]
-        else:
-            stability *= factor[rating]
-            stability = max(lapse, stability) if rating == 1 else stability
-        if state == "new" or (state == "relearning" and rating >= 3):
-            state = "review"
-        elif rating == 1:
-            state = "relearning"
-        return stability, gap, count + 1, state
-
-    def fold_key(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        """Hold events until the watermark has passed them, then apply them in order."""
-        if group.exists:
-            *now, last_us, times, ids, ratings = group.get
-            waiting = list(zip(times, ids, ratings))
-        else:
-            now, last_us, waiting = [0.0, 1.0 - start, 0, "new"], -1, []
-        if not group.hasTimedOut:
-            for chunk in chunks:
-                waiting.extend(zip(chunk["at_us"].tolist(), chunk["event_id"].tolist(), chunk["rating"].tolist()))
-        mark = group.getCurrentWatermarkMs()
-        waiting.sort()
-        ready = [w for w in waiting if -(-w[0] // 1000) < mark]
-        waiting = waiting[len(ready):]
-        for at_us, _, rating in ready:
-            now = advance(*now, rating)
-            last_us = at_us // 1_000_000 * 1_000_000
-        group.update((*now, last_us, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
-        if waiting:
-            group.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), mark + 1))
-        if ready:
+
+    class ReviewFolder(StatefulProcessor):
+        """Holds a key's reviews until the watermark has passed them, then applies them in order."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.now = handle.getValueState("now", "stability double, gap double, count bigint, state string, last_us bigint")
+            self.waiting = handle.getListState("waiting", "at_us bigint, event_id bigint, rating int")
+
+        def advance(self, stability: float, gap: float, count: int, state: str, rating: int) -> tuple:
+            """One review on plain numbers; the same rules as ``functions.recall``."""
+            gap = min(1.0 - low, (1.0 - rate * (3 - rating)) * gap)
+            if count == 0 or stability <= 0:
+                stability = first[rating]
+            else:
+                stability *= factor[rating]
+                stability = max(lapse, stability) if rating == 1 else stability
+            if state == "new" or (state == "relearning" and rating >= 3):
+                state = "review"
+            elif rating == 1:
+                state = "relearning"
+            return stability, gap, count + 1, state
+
+        def frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+            columns = ["kind", *keys, "event_id", "stability", "difficulty", "review_count", "review_state", "last_review_at", "gap"]
+            return pd.DataFrame([[kind, *key, *rest] for kind, *rest in rows], columns=columns).astype({"event_id": "Int64", "review_count": "Int64"})
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            passed, fresh, late = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+            for chunk in rows:
+                for at, event, rating in zip(chunk["at_us"].tolist(), chunk["event_id"].tolist(), chunk["rating"].tolist(), strict=True):
+                    if at < passed:
+                        late.append(("late", event, None, None, None, None, pd.Timestamp(at, unit="us"), None))
+                    else:
+                        fresh.append((at, event, rating))
+            if fresh:
+                self.waiting.appendList(fresh)
+                # A timer goes off in the first batch whose watermark has reached it.
+                self.handle.registerTimer(min(f[0] for f in fresh) // 1000 + 1)
+            if late:
+                yield self.frame(key, late)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted(tuple(w) for w in self.waiting.get())
+            due = [w for w in waiting if w[0] < passed]
+            if not due:
+                return
+            *now, last_us = self.now.get() if self.now.exists() else (0.0, 1.0 - start, 0, "new", None)
+            for at, _, rating in due:
+                now, last_us = self.advance(*now, rating), at // 1_000_000 * 1_000_000
+            self.now.update((*now, last_us))
+            left = waiting[len(due):]
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(left[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
             stability, gap, count, state = now
-            yield pd.DataFrame([[*key, stability, 1.0 - gap, count, state, pd.Timestamp(last_us, unit="us"), gap]], columns=columns)
+            yield self.frame(key, [("state", None, stability, 1.0 - gap, count, state, pd.Timestamp(last_us, unit="us"), gap)])
 
-    return fold_key
+        def close(self) -> None:
+            pass
 
+    return ReviewFolder()
 
-def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
-    """Changes of recall state of a review stream, one row per key and advance.
 
-    Reviews are applied in (time, id) order once the watermark, ``delay`` behind
-    the newest event, has passed them; reviews older than that are dropped.
-    Only the wait buffer and the current state are stored per key.  This is the
-    low-latency form; :func:`fold_batches` suits large batches.
+def recall_state_changes(reviews: DataFrame, delay: str) -> DataFrame:
+    """Changes of recall state of a review stream, and the reviews that came too late, told apart by ``kind``.
+
+    Reviews are applied in (time, id) order once the watermark, ``delay`` behind the newest event, has
+    passed them: a row of kind ``state`` per key and advance.  A review that comes after the watermark has passed
+    its time is not applied; it comes out as a row of kind ``late``.  Event-time timers wake a key when
+    its next review is due, and a closing row wakes all of them.  State per key is its current
+    state and the reviews that wait, in the session's state store: :func:`run_keyed` uses RocksDB.
+    Rows without a valid rating or a time change nothing.  This is the low-latency form; :func:`fold_batches`
+    suits large batches.
     """
-    keys = [f.dataType.simpleString() for f in (reviews.schema[k] for k in KEY)]
+    kinds = [reviews.schema[k].dataType.simpleString() for k in KEY]
     out = (
-        f"owner_id {keys[0]}, node_id {keys[1]}, stability double, difficulty double, review_count long, "
-        "review_state string, last_review_at timestamp, gap double"
+        f"kind string, owner_id {kinds[0]}, node_id {kinds[1]}, event_id bigint, stability double, difficulty double, "
+        "review_count bigint, review_state string, last_review_at timestamp, gap double"
     )
-    # Rows without a valid rating or a time change nothing and would stop the fold.
-    reviews = valid_rating(reviews)[0].where(F.col("reviewed_at").isNotNull())
-    marked = reviews.withWatermark("reviewed_at", delay).withColumn("at_us", F.unix_micros("reviewed_at"))
-    fold_key = _key_folder(
+    marked = reviews.where(F.col("reviewed_at").isNotNull()).withWatermark("reviewed_at", delay)
+    # Closing rows go once the watermark has seen them: a test that does not name the time would be pushed below it.
+    # The time itself goes too, or late rows would be dropped unseen.
+    valid = F.coalesce(F.col("rating").isin(1, 2, 3, 4), F.lit(False))
+    sound = marked.where(F.when(F.col("reviewed_at") < F.lit(CLOSING).cast("timestamp"), valid).otherwise(F.lit(False)))
+    plain = sound.select(*KEY, F.col("event_id").cast("bigint").alias("event_id"), F.col("rating").cast("int").alias("rating"), F.unix_micros("reviewed_at").alias("at_us"))
+    folder = _review_folder(
         KEY, V.DIFFICULTY_RATE, V.DIFFICULTY_FLOOR, V.START_DIFFICULTY,
         V.FIRST_STABILITY, V.STABILITY_FACTOR, V.LAPSE_STABILITY_FLOOR,
     )
-    return marked.groupBy(*KEY).applyInPandasWithState(fold_key, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return plain.groupBy(*KEY).transformWithStateInPandas(folder, out, "append", "eventtime")
+
+
+def run_keyed(stream: DataFrame) -> DataFrame:
+    """:func:`run_to_table` with the state of the query in RocksDB."""
+    conf = stream.sparkSession.conf
+    before = {key: conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        conf.set(key, value)
+    try:
+        return run_to_table(stream)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def current_states(changes: DataFrame) -> DataFrame:
+    """The last state of every key of a table of :func:`recall_state_changes`."""
+    states = changes.where(F.col("kind") == "state").drop("kind", "event_id")
+    return with_next_review(last_rows(states, KEY, ["review_count"])).drop("gap")
+
+
+def late_reviews(changes: DataFrame) -> DataFrame:
+    """owner_id, node_id, event_id and reviewed_at (as it came) of the reviews that came too late."""
+    return changes.where(F.col("kind") == "late").select(*KEY, "event_id", F.col("last_review_at").alias("reviewed_at"))
+
+
+class BatchTables:
+    """Tables of a batch writer: one folder per table and batch, rewritten when the batch is replayed."""
+
+    def __init__(self, path: str, batch: DataFrame, batch_id: int) -> None:
+        self.path, self.spark, self.batch_id = path, batch.sparkSession, batch_id
+
+    def store(self, df: DataFrame, name: str, *partitions: str) -> DataFrame:
+        at = f"{self.path}/{name}/batch={self.batch_id}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def before(self, name: str, schema) -> DataFrame:
+        """What the batch before has stored."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={self.batch_id - 1}")
+
+    def passed(self) -> int | None:
+        """The mark after the batch before, in microseconds."""
+        return self.before("mark", "mark bigint").first()["mark"] if self.batch_id > 0 else None
+
+    def mark(self, batch: DataFrame, event_time: str, delay_seconds: int) -> int | None:
+        """The mark after this batch: the newest time less the delay, never before the last one; a closing row moves it past all."""
+        at, last = F.unix_micros(event_time), self.passed()
+        newest = F.when(F.max(_closes(event_time)), F.max(at)).otherwise(F.max(at) - delay_seconds * 1_000_000)
+        return self.store(batch.agg(F.greatest(newest, F.lit(last).cast("bigint")).alias("mark")), "mark").first()["mark"]
 
 
 def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
@@ -101,95 +193,95 @@ def fold_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], No
     ``state`` the state of every key; ``pending`` reviews newer than the mark,
     which trails the newest review by ``delay_seconds``; ``mark`` that time;
     ``late`` reviews that came after the mark had passed them; ``rejected`` reviews
-    without a valid rating or a time.  A batch reads what the batch before it left and
-    rewrites its own folders when replayed.
+    without a valid rating or a time.  A closing row moves the mark past all reviews.
+    A batch reads what the batch before it left and rewrites its own folders when replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
-        def store(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}/batch={batch_id}")
-
-        def before(name: str, schema) -> DataFrame:
-            return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch_id - 1}")
-
+        tables = BatchTables(path, batch, batch_id)
         every = batch.select(*KEY, "event_id", "rating", "reviewed_at")
         sound = F.coalesce(F.col("rating").isin(1, 2, 3, 4), F.lit(False)) & F.col("reviewed_at").isNotNull()
-        store(every.where(~sound), "rejected")
-        fresh = every.where(sound)
-        at = F.unix_micros("reviewed_at")
-        initial, passed = None, None
+        tables.store(every.where(~sound & ~_closes("reviewed_at")), "rejected")
+        fresh = every.where(sound & ~_closes("reviewed_at"))
+        at, initial, passed = F.unix_micros("reviewed_at"), None, tables.passed()
         if batch_id > 0:
-            passed = before("mark", "mark bigint").first()["mark"]
-            initial = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
+            initial = batch.sparkSession.read.parquet(f"{path}/state/batch={batch_id - 1}")
         late = F.lit(False) if passed is None else at < passed
-        store(fresh.where(late), "late")
+        tables.store(fresh.where(late), "late")
         waiting = fresh.where(~late)
         if batch_id > 0:
-            waiting = waiting.unionByName(before("pending", fresh.schema))
-        waiting = store(waiting, "waiting")
-        newest = F.max(at) - delay_seconds * 1_000_000
-        mark = store(waiting.agg(F.greatest(newest, F.lit(passed).cast("bigint")).alias("mark")), "mark").first()["mark"]
+            waiting = waiting.unionByName(tables.before("pending", fresh.schema))
+        waiting = tables.store(waiting, "waiting")
+        mark = tables.mark(every.where(sound | _closes("reviewed_at")), "reviewed_at", delay_seconds)
         due = F.lit(False) if mark is None else at < mark
-        store(waiting.where(~due), "pending")
+        tables.store(waiting.where(~due), "pending")
         states = recall_state_fold(waiting.where(due), initial, with_gap=True)
         if initial is not None:
             states = initial.join(states.select(*KEY), KEY, "left_anti").unionByName(states)
-        store(states, "state")
+        tables.store(states, "state")
 
     return write
 
 
-def fold_stream(reviews: DataFrame, delay_seconds: int) -> DataFrame:
-    """Process all available reviews through :func:`fold_batches`; the states after the last one.
-
-    The input has an end, so what still waits for the mark is folded too.
-    """
-    spark = reviews.sparkSession
-    path = new_path(spark, "stream")
+def run_batches(stream: DataFrame, writer: Callable[[str], Callable[[DataFrame, int], None]]) -> str:
+    """Process all available input through a batch writer; the folder of its tables."""
+    path = new_path(stream.sparkSession, "stream")
     running = (
-        reviews.writeStream.foreachBatch(fold_batches(path, delay_seconds)).trigger(availableNow=True)
+        stream.writeStream.foreachBatch(writer(f"{path}/tables")).trigger(availableNow=True)
         .option("checkpointLocation", f"{path}/checkpoint").start()
     )
     running.awaitTermination()
+    return f"{path}/tables"
+
+
+def fold_stream(reviews: DataFrame, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Process all available reviews through :func:`fold_batches`: the states after the last one, and the late reviews.
+
+    Reviews that the mark has not passed still wait, unless a closing row has ended the stream.
+    """
+    path = run_batches(reviews, lambda at: fold_batches(at, delay_seconds))
+    spark = reviews.sparkSession
     states = spark.read.parquet(f"{path}/state")
     last = states.agg(F.max("batch")).first()[0]
-    if last is None:
-        return states.drop("batch", "gap")
-    states = states.where(F.col("batch") == last).drop("batch")
-    pending = spark.read.parquet(f"{path}/pending/batch={last}")
-    flushed = recall_state_fold(pending, states, with_gap=True)
-    return states.join(flushed.select(*KEY), KEY, "left_anti").unionByName(flushed).drop("gap")
+    states = states.where(F.col("batch") == last)
+    return states.drop("batch", "gap"), spark.read.parquet(f"{path}/late").drop("batch")
 
 
-def finished_states(changes: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Current state per key once the input has ended: the last change, and the reviews that still waited.
+def count_batches(path: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Batch writer that counts reviews per owner and UTC day, each day given out once.
 
-    ``reviews`` is the whole input; of each key's reviews in order the first
-    ``review_count`` have been applied.
+    A batch stores its own counts in ``partial``, in a folder per day.  The mark trails the
+    newest review; days that it passes are added up from their folders alone and go to ``closed``.
+    Reviews of a day closed before, and those without a time, go to ``late``.  A closing row closes all days.
     """
-    now = last_rows(changes, KEY, ["review_count"])
-    sound = valid_rating(reviews)[0].where(F.col("reviewed_at").isNotNull())
-    ranked = rank_rows(sound, KEY, [F.col("reviewed_at"), F.col("event_id")], "_rank")
-    counts = now.select(*KEY, F.col("review_count").alias("_applied"))
-    waiting = ranked.join(counts, KEY, "left").where(F.col("_rank") > F.coalesce("_applied", F.lit(0))).drop("_rank", "_applied")
-    flushed = recall_state_fold(waiting, now, with_gap=True)
-    kept = with_next_review(now).join(flushed.select(*KEY), KEY, "left_anti")
-    return kept.unionByName(flushed).drop("gap")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables = BatchTables(path, batch, batch_id)
+        every = batch.where(~_closes("reviewed_at")).select("owner_id", "event_id", "reviewed_at", F.date_format("reviewed_at", "yyyy-MM-dd").alias("day"))
+        passed = tables.passed()
+        day_end = F.unix_micros(F.date_trunc("day", "reviewed_at")) + 86_400_000_000
+        late = F.col("reviewed_at").isNull() if passed is None else F.coalesce(day_end <= passed, F.lit(True))
+        tables.store(every.where(late), "late")
+        counts = every.where(~late).groupBy("owner_id", "day").agg(F.count(F.lit(1)).alias("reviews"))
+        tables.store(counts, "partial", "day")
+        mark = tables.mark(batch.select("reviewed_at"), "reviewed_at", delay_seconds)
+        so_far = batch.sparkSession.read.schema("owner_id " + batch.schema["owner_id"].dataType.simpleString() + ", reviews bigint, batch int, day string").parquet(f"{path}/partial")
+        # The day is a folder: only those that close now are read.
+        first, last = (None if m is None else F.date_format(F.timestamp_micros(F.lit(m)), "yyyy-MM-dd") for m in (passed, mark))
+        closing = F.lit(False) if mark is None else F.col("day") < last
+        if passed is not None:
+            closing &= F.col("day") >= first
+        closed = so_far.where((F.col("batch") <= batch_id) & closing).groupBy("owner_id", "day").agg(F.sum("reviews").alias("reviews"))
+        tables.store(closed, "closed")
 
-def finished_counts(counts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Closed days of :func:`daily_review_counts` and, the input having ended, the days still open."""
-    closed = counts.select("owner_id", "day").distinct()
-    every = batch_recall.daily_review_counts(reviews.where(F.col("reviewed_at").isNotNull()))
-    return counts.unionByName(every.join(closed, ["owner_id", "day"], "left_anti").select(*counts.columns))
+    return write
 
 
-def latest_states(changes: DataFrame) -> DataFrame:
-    """Current state per key of a table of state changes."""
-    return with_next_review(last_rows(changes, KEY, ["review_count"]))
+def count_stream(reviews: DataFrame, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of the closed days, and the late reviews, of all available input; see :func:`count_batches`."""
+    path = run_batches(reviews, lambda at: count_batches(at, delay_seconds))
+    spark = reviews.sparkSession
+    return spark.read.parquet(f"{path}/closed").drop("batch"), spark.read.parquet(f"{path}/late").drop("batch")
 
 
 def daily_review_counts(reviews: DataFrame, delay: str) -> DataFrame:
@@ -208,24 +300,59 @@ def insert_ignore(rows: DataFrame, keys: list[str], event_time: str, delay: str)
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def insert_new_rows(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that adds rows whose key the table at ``path`` lacks.
+BUCKETS = 64
+# A filter has this many bits per bucket and batch; one key sets one.
+FILTER_BITS = 32768
+
+
+def _key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys)
+
 
-    Exact for keys of any age.  A batch owns one partition folder and rewrites
-    it when replayed, so a restart neither loses nor doubles rows.
+def _bit(h: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(FILTER_BITS))
+
+
+def insert_new_rows(path: str, keys: list[str], order: list[str], *, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch writer that adds rows whose key the table at ``path`` lacks, the first of each key.
+
+    Exact for keys of any age.  ``rows`` holds what each batch has added, in a folder per
+    batch and bucket of the key's hash; ``filters`` a bitmap of the hashes in each such folder.  A batch looks its
+    keys up in the bitmaps and opens the folders that may hold one of them, and no other.  A batch owns
+    its folders and rewrites them when replayed, so a restart neither loses nor doubles rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = spark.createDataFrame([], batch.schema)
+        spark, tables = batch.sparkSession, BatchTables(path, batch, batch_id)
+        hashed = first_rows(batch, keys, order).withColumn("_hash", _key_hash(keys))
+        hashed = tables.store(hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int")), "incoming")
+        fresh = hashed
         if batch_id > 0:
-            target = spark.read.parquet(path).where(F.col("batch") < batch_id)
-        fresh = new_rows(target, batch, keys, order)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            filters = spark.read.schema("bucket int, bits binary, batch int").parquet(f"{path}/filters").where(F.col("batch") < batch_id)
+            asked = hashed.select(F.col("_bucket").alias("bucket"), _bit(F.col("_hash")).alias("bit")).distinct()
+            byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            met = asked.join(filters, "bucket").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+            # One row per folder that may hold a key: at most buckets times batches.
+            folders = [f"{path}/rows/batch={r.batch}/_bucket={r.bucket}" for r in met.select("batch", "bucket").distinct().collect()]
+            opened = spark.createDataFrame([(f,) for f in sorted(folders)], "folder string")
+            tables.store(opened, "opened")
+            if folders:
+                stored = spark.read.schema(batch.select(*keys).schema).parquet(*folders)
+                fresh = hashed.join(stored, keys, "left_anti")
+        fresh = tables.store(fresh.drop("_hash").repartition("_bucket"), "rows", "_bucket")
+        bits = fresh.groupBy(F.col("_bucket").alias("bucket")).agg(F.bitmap_construct_agg(_bit(_key_hash(keys))).alias("bits"))
+        tables.store(bits, "filters")
 
     return write
 
 
+def insert_stream(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The table that :func:`insert_new_rows` makes of all available input, and the folders that its batches opened."""
+    path = run_batches(rows, lambda at: insert_new_rows(at, keys, order))
+    spark = rows.sparkSession
+    return spark.read.parquet(f"{path}/rows").drop("batch", "_bucket"), spark.read.schema("folder string, batch int").parquet(f"{path}/opened")
+
+
 def wrong_attempts(attempts: DataFrame, questions: DataFrame) -> DataFrame:
     """Wrong attempts of a stream, with the question's owner and text."""
     asked = questions.select(F.col("id").alias("question_id"), "owner_id", "node_id", "question", "question_type", "difficulty")
@@ -243,15 +370,3 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     )
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
-
-
-def run_into(stream: DataFrame, writer: Callable[[str], Callable[[DataFrame, int], None]]) -> DataFrame:
-    """Process all available input through a batch writer and return its table."""
-    spark = stream.sparkSession
-    path = new_path(spark, "stream")
-    running = (
-        stream.writeStream.foreachBatch(writer(f"{path}/table")).trigger(availableNow=True)
-        .option("checkpointLocation", f"{path}/checkpoint").start()
-    )
-    running.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
