@@ -283,6 +283,17 @@ def keyword_match(spark, d):
     return tagging.keyword_match(X.taggable(spark, d), X.TAG_RULES)
 
 
+@query
+def keyword_match_table(spark, d):
+    """As many rules as documents, over whole texts."""
+    return tagging.keyword_hits(X.nodes(spark, d), X.keyword_rules(spark, d))
+
+
+@query
+def tag_nodes_by_table(spark, d):
+    return tagging.tag_by_table(X.nodes(spark, d), X.keyword_rules(spark, d))
+
+
 def _moves(spark, d) -> DataFrame:
     """Moves of the nodes labelled as good, to places near and far, some of them impossible."""
     n = F.col("id")

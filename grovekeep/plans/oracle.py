@@ -113,6 +113,22 @@ sql("keyword_match", " UNION ALL ".join(
     f"SELECT owner_id, id, {quote(domain)} AS domain, {prio}::BIGINT AS prio FROM taggable WHERE "
     + " OR ".join(f"contains(body, {quote(w)})" for w in words)
     for prio, (domain, words) in enumerate(X.TAG_RULES.items(), start=1)))
+_RULES = """
+    WITH rules AS (
+      SELECT doc_id AS prio, 'd' || (doc_id % 50) AS domain, lower(substr(text, 11, 9)) AS keyword FROM documents
+    ), bodies AS (
+      SELECT owner_id, id, lower(coalesce(name, '') || ' ' || coalesce(content, '')) AS body FROM nodes
+    ), hits AS (
+      SELECT DISTINCT b.owner_id, b.id, r.domain FROM bodies b JOIN rules r ON contains(b.body, r.keyword)
+    ), prios AS (
+      SELECT domain, min(prio) AS prio FROM rules WHERE keyword IS NOT NULL GROUP BY domain
+    )"""
+sql("keyword_match_table", f"SELECT * FROM ({_RULES} SELECT owner_id, id, h.domain, prio FROM hits h JOIN prios p ON p.domain = h.domain)")
+sql("tag_nodes_by_table", f"""
+    SELECT * FROM ({_RULES}
+      SELECT b.owner_id, b.id, coalesce(min_by(h.domain, (p.prio, h.domain)), {quote(V.OTHER_TAG)}) AS tag
+      FROM bodies b LEFT JOIN (hits h JOIN prios p ON p.domain = h.domain) ON h.owner_id = b.owner_id AND h.id = b.id
+      GROUP BY b.owner_id, b.id)""")
 sql("move_conflicts", "SELECT owner_id, id, new_parent_id, reason FROM judged_moves")
 
 # --- hierarchy ----------------------------------------------------------------------------

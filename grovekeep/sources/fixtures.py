@@ -245,6 +245,13 @@ def taggable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per document: a few characters from its text, in one of fifty domains."""
+    d = read(spark, sf_dir, "documents")
+    domain = F.concat(F.lit("d"), F.pmod("doc_id", F.lit(50)))
+    return d.select(F.col("doc_id").alias("prio"), domain.alias("domain"), F.substring("text", 11, 9).alias("keyword"))
+
+
 def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with wordy names, for parent matching: every fourth has a parent."""
     p = read(spark, sf_dir, "part")

@@ -17,9 +17,44 @@ def test_default_rules_take_the_first_domain(spark):
     assert found == [(1, 1), (1, 2), (2, 2), (4, 4), (4, 5)]
 
 
-def test_rules_from_table(spark):
-    table = spark.createDataFrame([(2, "b", "y"), (1, "a", "x"), (1, "a", "z")], "prio int, domain string, keyword string")
-    assert list(tagging.rules_from_table(table).items()) == [("a", ["x", "z"]), ("b", ["y"])]
+def _brute_hits(nodes, rules):
+    prio = {}
+    for p, d, w in rules:
+        if d is not None and w is not None:
+            prio[d] = min(prio.get(d, p), p)
+    out = set()
+    for o, i, name, content in nodes:
+        text = f"{name or ''} {content or ''}".lower()
+        out |= {(o, i, d, prio[d]) for _, d, w in rules if d is not None and w is not None and w.lower() in text}
+    return out
+
+
+def test_keyword_index_finds_what_brute_force_finds(spark):
+    rng = random.Random(7)
+    letters = "abcd é日本\U0001d11e"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    nodes = [(f"o{i % 3}", i, word(rng.randrange(0, 12)), word(rng.randrange(0, 60))) for i in range(120)]
+    nodes += [("o0", 500, None, None), (None, 501, "ABC d", "xyz"), ("o0", 0, nodes[0][2], nodes[0][3])]
+    rules = [(i, f"d{i % 40}", word(rng.choice([1, 2, 3, 3, 4, 5, 6]))) for i in range(200)] + [(7, "none", None), (8, None, "a"), (3, "upper", "BC D")]
+    table = spark.createDataFrame(nodes, "owner_id string, id long, name string, content string")
+    of = lambda r: spark.createDataFrame(r, "prio int, domain string, keyword string")
+    got = tagging.keyword_hits(table, of(rules)).collect()
+    assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == _brute_hits(nodes, rules)
+    empty = rules[:5] + [(99, "all", "")]
+    assert set(map(tuple, tagging.keyword_hits(table, of(empty)).collect())) == _brute_hits(nodes, empty)
+    assert tagging.keyword_hits(table, of([])).count() == 0
+    best = {}
+    for o, i, d, p in _brute_hits(nodes, rules):
+        best[o, i] = min(best.get((o, i), (p, d)), (p, d))
+    tags = {(r.owner_id, r.id): r.tag for r in tagging.tag_by_table(table, of(rules), "rest").collect()}
+    assert tags == {(o, i): best.get((o, i), (0, "rest"))[1] for o, i, *_ in nodes}
+
+
+def test_a_hundred_thousand_rules(spark):
+    rules = spark.range(100_000).select(F.col("id").cast("int").alias("prio"), F.concat(F.lit("d"), F.col("id")).alias("domain"), F.concat(F.lit("word"), F.col("id"), F.lit(" ")).alias("keyword"))
+    nodes = spark.range(200).select(F.lit("o").alias("owner_id"), "id", F.concat(F.lit("word"), F.col("id") * 500).alias("name"), F.lit("word99999 end").alias("content"))
+    got = {(r.id, r.domain) for r in tagging.keyword_hits(nodes, rules).collect()}
+    assert got == {(i, d) for i in range(200) for d in (f"d{i * 500}", "d99999")}
 
 
 def test_style_needs_more_than_the_threshold(spark):
