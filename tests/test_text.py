@@ -165,3 +165,14 @@ def test_names_are_stripped_of_any_white_space(spark):
     df = spark.createDataFrame([(1, "　 a b\t\n"), (2, "\t "), (3, None)], "id int, name string")
     ok, rejects = scans.clean_names(df)
     assert [tuple(r) for r in ok.collect()] == [(1, "a b")] and {r.id for r in rejects.collect()} == {2, 3}
+
+
+def test_contained_finds_what_brute_force_finds(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abc é日") for _ in range(n))
+    needles = {(rng.choice("xy"), word(rng.randrange(1, 7))) for _ in range(80)}
+    texts = [(rng.choice("xyz"), word(rng.randrange(0, 25)), i) for i in range(150)]
+    got = tagging.contained(spark.createDataFrame(sorted(needles), "o string, needle string"), spark.createDataFrame(texts, "o string, text string, n int"), "o").collect()
+    assert sorted((r.o, r.needle, r.n) for r in got) == sorted((o, w, i) for o, w in needles for p, t, i in texts if o == p and w in t)
+    none = spark.createDataFrame([], "o string, needle string")
+    assert tagging.contained(none, spark.createDataFrame(texts, "o string, text string, n int"), "o").count() == 0
