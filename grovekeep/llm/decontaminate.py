@@ -9,6 +9,9 @@ items of hardly any plain words by the words themselves only.  Matches on one al
 values in the placeholders are consistent, each value of the benchmark standing
 for one value of the document, the most frequent one, or for itself.  That finds copies of a question and the same
 question with other numbers and names.
+
+A capital word at the start of a sentence may be a name or not: unless it is a common
+opening word, windows that touch it come in both forms, in items and in documents.
 """
 
 from __future__ import annotations
@@ -34,6 +37,21 @@ UNITS = frozenset(
     "year years meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters degree degrees percent % "
     "dollar dollars cent cents euro euros usd eur mph kmh km/h hz khz mhz ghz w kw watt watts v volt volts j joule joules kb mb gb tb".split()
 )
+# Number words ("one" is as often a pronoun), in lower case.
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ONES = "one two three four five six seven eight nine".split()
+NUMBER_WORDS = frozenset(
+    "zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+    + ONES[1:] + TENS + [f"{ten}-{one}" for ten in TENS for one in ONES]
+)
+# Words that open sentences and are no names, in lower case.
+OPENERS = frozenset(
+    "a about after all also an and another any are as assume at because before both but by calculate can compute consider could did do does "
+    "during each either every explain find first for from give given had has have he her here his how however i if in into is it its last let "
+    "many more most my next no not now of on once one only or other our out over she should show since so some such suppose than that the "
+    "their then there these they this those though through to today under until was we were what when where which while who whose why will "
+    "with without would yes yesterday yet you your".split()
+)
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\Z")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([^\W\d_]+|%)\Z")
 TRIM = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—、。，．！？：；（）［］｛｝「」『』【】〔〕《》〈〉・〜～"
@@ -49,7 +67,7 @@ ENDS = (".", "!", "?", ":", "…", "。", "！", "？", "：")
 WINDOW = 5
 LITERALS = 3  # windows with fewer plain words say too little
 EXACT = 16  # added to the kind of windows of the words themselves
-FILTER_BITS = 22
+FILTER_BITS = (16, 26)  # least and most low bits in the bitmap of window hashes
 
 _WORD, _NUMBER, _UNIT, _NAME, _NOTHING = range(5)
 
@@ -69,6 +87,7 @@ class Words(dict):
         self.value = np.zeros(size, np.uint64)
         self.kind = np.zeros(size, np.uint8)
         self.capital = np.zeros(size, bool)
+        self.opener = np.zeros(size, bool)
         self.ends = np.zeros(size, bool)
 
     def __missing__(self, token: str) -> int:
@@ -78,13 +97,14 @@ class Words(dict):
         self.ends[at] = token == "\n" or token.rstrip("\"')]}»”’").endswith(ENDS)
         if not word:
             self.kind[at] = _NOTHING
-        elif not word.isalpha() and (NUMBER.match(word) or NUMBER_UNIT.match(word)):
+        elif plain in NUMBER_WORDS or not word.isalpha() and (NUMBER.match(word) or NUMBER_UNIT.match(word)):
             self.kind[at] = _NUMBER
         elif plain in UNITS and word not in ("in", "s", "h", "m", "l", "g", "v", "w", "j", "min", "second", "a"):
             self.kind[at] = _UNIT
         else:
             self.kind[at] = _WORD
             self.capital[at] = len(word) > 1 and word[0].isupper() and word[1:] == word[1:].lower()
+            self.opener[at] = plain in OPENERS
         self.template[at] = self.value[at] = _hash(plain)
         self[token] = at
         return at
@@ -102,7 +122,8 @@ def _of(size: int) -> Words:
 
 
 def template(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Template words of all texts as hashes, whether each is a placeholder, the hash of the word itself, and its text's number."""
+    """Template words of all texts as hashes, whether each is a placeholder, the hash of the word itself, its text's number,
+    and whether it may be a name as well, being capital at the start of a sentence."""
     split = [(TOKEN if text.isascii() else ANY_TOKEN).findall(text) for text in texts]
     counts = np.array([len(t) for t in split], np.int64)
     words = _of(int(counts.sum()))
@@ -111,10 +132,11 @@ def template(texts: list[str]) -> tuple[np.ndarray, ...]:
     starts = np.ones(len(ids), bool)
     starts[1:] = words.ends[ids][:-1] | (owner[1:] != owner[:-1])
     kind = np.where(words.capital[ids] & ~starts, _NAME, words.kind[ids])
+    maybe = words.capital[ids] & starts & ~words.opener[ids]
     shown = kind != _NOTHING
-    ids, kind, owner = ids[shown], kind[shown], owner[shown]
+    ids, kind, owner, maybe = ids[shown], kind[shown], owner[shown], maybe[shown]
     slot = kind != _WORD
-    return np.where(slot, _PLACEHOLDERS[kind % 4], words.template[ids]), slot, words.value[ids], owner
+    return np.where(slot, _PLACEHOLDERS[kind % 4], words.template[ids]), slot, words.value[ids], owner, maybe
 
 
 def _hashed(words: np.ndarray, at: np.ndarray, size: int, kind: int) -> np.ndarray:
@@ -131,10 +153,14 @@ def windows(texts: list[str], kinds: frozenset[int] | None = None) -> tuple[np.n
     for windows of the words themselves, which have no values.  Without ``kinds`` the texts
     are items: an item with fewer words than a window is one window; each telling window comes
     in both kinds, as a word may be a name in one context and none in another, and an item
-    without a telling window has all its exact ones.  With ``kinds`` the texts are documents
+    without a telling window has all its exact ones.  A window with a capital word at the start of
+    a sentence comes with that word and with a name in its place; of an item it counts if both tell,
+    or if no window of the item is such.  With ``kinds`` the texts are documents
     and have all windows of these kinds, those shorter than ``WINDOW`` once each.
     """
-    words, slot, value, owner = template(texts)
+    words, slot, value, owner, maybe = template(texts)
+    # The same with names in place of the capital words at starts.
+    named, named_slot = np.where(maybe, _PLACEHOLDERS[_NAME % 4], words), slot | maybe
     counts = np.bincount(owner, minlength=len(texts))
     first = np.concatenate(([0], np.cumsum(counts)))[:-1]
     found = []
@@ -150,23 +176,33 @@ def windows(texts: list[str], kinds: frozenset[int] | None = None) -> tuple[np.n
             continue
         at = np.flatnonzero(whole & (owner[:n] == owner[size - 1 :]))
         literal = np.zeros(len(at), np.int64)
+        open_words = np.zeros(len(at), np.int64)
         for i in range(size):
             literal += ~slot[at + i]
+            open_words += maybe[at + i]
         telling = literal >= min(LITERALS, size)
+        both = literal - open_words >= min(LITERALS, size)
+        exact = None
+        if kinds is None:
+            # An item's windows are those that tell in either form, if it has such.
+            none = np.bincount(owner[at[both]], minlength=len(texts)) == 0
+            telling &= both | none[owner[at]]
+            none = np.bincount(owner[at[telling]], minlength=len(texts)) == 0
+            exact = telling | none[owner[at]]
         for kind in (size, size + EXACT):
             if kinds is not None and kind not in kinds:
                 continue
-            here = at
-            if kind == size:
-                here = at[telling]
-            elif kinds is None:
-                none = np.bincount(owner[at[telling]], minlength=len(texts)) == 0
-                here = at[telling | none[owner[at]]]
-            total = _hashed(words if kind == size else value, here, size, kind)
-            values = np.zeros((len(here), WINDOW), np.uint64)
             if kind == size:
+                forms = [(words, slot, at[telling]), (named, named_slot, at[both & (open_words > 0)])]
+                here = np.concatenate([chosen for _, _, chosen in forms])
+                total = np.concatenate([_hashed(form, chosen, size, kind) for form, _, chosen in forms])
+                values = np.zeros((len(here), WINDOW), np.uint64)
                 for i in range(size):
-                    values[:, i] = np.where(slot[here + i], value[here + i], 0)
+                    values[:, i] = np.concatenate([np.where(taken[chosen + i], value[chosen + i], 0) for _, taken, chosen in forms])
+            else:
+                here = at if exact is None else at[exact]
+                total = _hashed(value, here, size, kind)
+                values = np.zeros((len(here), WINDOW), np.uint64)
             if kinds is not None and size < WINDOW:
                 # An item of this size has one window: any place that has it, with these values, will do.
                 own = np.column_stack([owner[here].astype(np.uint64), total, values[:, :size]])
@@ -187,7 +223,7 @@ def _rows(keys: list[str], kinds: frozenset[int] | None = None, bitmap: np.ndarr
             for batch in slices(whole, "text"):
                 owner, hashes, places, slots, kind = windows([t or "" for t in batch.column("text").to_pylist()], kinds)
                 if bitmap is not None:
-                    bit = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    bit = (hashes & np.uint64(64 * len(bitmap) - 1)).astype(np.int64)
                     hit = (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
                     owner, hashes, places, slots, kind = (x[hit] for x in (owner, hashes, places, slots, kind))
                 # Of an item, every place has an exact window.
@@ -203,13 +239,13 @@ def _rows(keys: list[str], kinds: frozenset[int] | None = None, bitmap: np.ndarr
 
 
 def _bitmap(asked: DataFrame) -> np.ndarray:
-    """Which low bits of window hashes the benchmark has: 2^FILTER_BITS bits, however large it is."""
-    low = F.col("window").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """Which low bits of window hashes the benchmark has: some eight bits a window, within ``FILTER_BITS``."""
+    bits = min(max((8 * asked.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    low = F.col("window").bitwiseAND(F.lit((1 << bits) - 1))
     words = asked.groupBy(F.shiftright(low, 6).alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(window & 63L AS int)))").alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in words.collect():
-        bitmap[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+        F.expr("bit_or(shiftleft(1L, cast(window & 63L AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bitmap
 
 

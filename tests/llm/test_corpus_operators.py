@@ -370,6 +370,48 @@ def test_short_and_valued_items(spark):
     assert decontaminate.contaminated(docs, items.where("item_id = 9")).count() == 0
 
 
+# Each begins with a name, given as {a}; {b} is a second name and {x}, {y}, {z} are numbers.
+NAMED_ITEMS = [
+    "{a} writes a letter to his friends twice a week. {a} uses {x} pages for each letter. How many pages does {a} write in {y} weeks?",
+    "{a} is saving money for a new wallet which costs {x} dollars. {a} has only half of the money she needs. {b} gives her {y} dollars for that purpose.",
+    "{a} has a garden with flowers. {x} of them are yellow and {y} of them are purple. {a} sold {z} of the purple ones. {a} kept the rest.",
+    "{a} bakes {x} loaves of bread every morning. {a} sells {y} of the loaves at the market. The rest are given to {b} for free.",
+    "{a} walked {x} miles on the first day of the trip. {b} walked {y} miles on the same day. How much farther did one of them walk?",
+    "{a} read {x} pages of the book yesterday. Today {a} read twice as many pages as before. {a} wants to finish half of what remains.",
+    "{a} picked {x} baskets of ripe apples in the orchard. {b} picked {y} baskets less than that. Every basket holds {z} apples.",
+    "{a} drives to work and back home each day. {a} uses {x} gallons of fuel per trip. {a} pays {y} dollars for every gallon.",
+    "{a} owns a shop that sells wooden chairs and tables. {b} ordered {x} chairs and {y} tables for the new office. How much did the order cost?",
+    "{a} collected {x} shells along the beach this summer. {a} gave {y} shells to each of her cousins. {a} has {z} cousins in total.",
+    "{a} planted {x} rows of corn behind the old barn. Each row has {y} plants in it. {b} watered all of the plants once.",
+    "{a} swims {x} laps in the pool every single morning. {b} swims {y} laps in the same pool at night. Who swims more laps in a month?",
+    "{a} made {x} bracelets for the school fair last spring. {a} sold all but {y} of the bracelets. {a} earned {z} dollars from the sale.",
+    "{a} filled a tank with {x} liters of clean water. {a} used {y} liters to wash the family car. How much water is left in the tank?",
+    "{a} works {x} hours at the library each weekend. {b} works {y} hours there during the week. Their pay per hour is the same.",
+    "{a} bought {x} pencils and a ruler at the corner store. {a} paid with a note and got {y} dollars back. {a} shared the pencils with {b} after class.",
+    "{a} feeds the hens on the farm {x} cups of seed a day. {b} feeds the ducks {y} cups a day. How many cups do they need for the week?",
+    "{a} scored {x} points in the first half of the game. {b} scored {y} points in the second half of the game. Which of the two teams won?",
+    "{a} has {x} marbles in a small glass jar. {a} lost {y} marbles while playing with {b} in the yard. {a} then found {z} more under the couch.",
+    "{a} ran around the track {x} times before lunch. {a} rested and then ran {y} more times around it. How long is the track if {a} ran {z} miles?",
+]
+
+
+def test_names_at_sentence_starts(spark):
+    """Questions of sentences that begin with a name are found with other names and numbers, in figures or words; other texts are not."""
+    names = ["James", "Betty", "Mark", "Clara", "Weng", "Julie", "Oskar", "Priya", "Tomas", "Ken"]
+    filler = "Some words stand before it. Nothing in particular comes after them here."
+    items, docs = [], []
+    for i, text in enumerate(NAMED_ITEMS):
+        items.append((i, text.format(a=names[i % 10], b=names[(i + 3) % 10], x=12 + i, y="Ten" if i % 4 == 0 else 7 + i, z=40 + i)))
+        other = text.format(a=names[(i + 4) % 10], b=names[(i + 8) % 10], x="forty-eight" if i % 3 == 0 else 250 + i, y=95 - i, z=3 + i)
+        docs += [(i, f"{filler} {other} {filler}"), (100 + i, f"{filler} {items[-1][1]} {filler}")]
+        docs.append((200 + i, f"{names[i % 10]} went home. {names[i % 9]} has {i} things to do. {filler} {names[i % 7]} writes about it. {names[i % 8]} uses it."))
+    rows = tune(spark).createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(100 + i, i) for i in range(20)} <= found
+    assert sum((i, i) in found for i in range(20)) >= 18
+    assert all(d % 100 == i and d < 200 for d, i in found)
+
+
 def test_contaminated_table(spark, sf, odd, empty):
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
