@@ -189,6 +189,34 @@ def with_next_review(states: DataFrame) -> DataFrame:
     return states.withColumn("next_review_at", R.next_review_at(F.col("last_review_at"), F.col("stability")))
 
 
+def apply_reviews(nodes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` after the reviews of ``log``, and the rejected reviews with a ``reason``, the first that applies.
+
+    ``node_not_found`` if the sender has no such live node, ``invalid_rating`` outside 1..4, ``no_time`` without one.
+    The others are folded onto the stored state in (time, id) order; right after a review recall is certain, so
+    ``mastery_score`` is 1, and ``updated_at`` is the time of the last review.  Graded answers come as reviews by
+    :func:`review_log`.  Columns that ``nodes`` lacks are left out, untouched nodes stay as they are.
+    """
+    live = nodes.where(~F.col("is_deleted")).select(F.col("owner_id").alias("_owner"), F.col("id").alias("_node"))
+    found = log.join(live, (F.col("owner_id") == F.col("_owner")) & (F.col("node_id") == F.col("_node")), "left")
+    reason = (
+        F.when(F.col("_node").isNull(), F.lit("node_not_found"))
+        .when(~F.coalesce(F.col("rating").isin(1, 2, 3, 4), F.lit(False)), F.lit("invalid_rating"))
+        .when(F.col("reviewed_at").isNull(), F.lit("no_time"))
+    )
+    judged = kept(found.select(*log.columns, reason.alias("reason")), "judged-reviews")
+    good = judged.where(F.col("reason").isNull()).drop("reason")
+    stored = nodes.withColumnRenamed("id", "node_id").join(good.select(*KEY).distinct(), KEY, "left_semi")
+    states = recall_state_fold(good, stored).withColumns({"mastery_score": F.lit(1.0), "updated_at": F.col("last_review_at")})
+    names = [c for c in (*R.STATE_FIELDS, "next_review_at", "mastery_score", "updated_at") if c in nodes.columns]
+    written = states.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, *names)], F.lit(True).alias("_reviewed"))
+    at = (F.col("owner_id") == F.col("_owner_id")) & (F.col("id") == F.col("_node_id"))
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    values = {c: F.when(F.col("_reviewed"), F.col(f"_{c}").cast(kinds[c])).otherwise(F.col(c)) for c in names}
+    after = nodes.join(written, at, "left").withColumns(values).select(*nodes.columns)
+    return after, judged.where(F.col("reason").isNotNull())
+
+
 def _states_along(log: Column, start: Column) -> Column:
     """(event_id, state) after each event of an ordered log."""
     none = F.struct(F.col("log")[0]["event_id"].alias("event_id"), start.alias("state"))

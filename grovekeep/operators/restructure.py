@@ -248,6 +248,7 @@ def apply_moves(
 
     One move per node and batch, the first; of two arrivals with one name at one
     parent the first wins; moves that would jointly close a cycle are rejected.
+    If moves have a time ``at``, it becomes ``updated_at`` of the nodes they move.
     """
     single = first_rows(moves, ["owner_id", "id"], ["seq"])
     repeated = moves.join(single.select("seq"), "seq", "left_anti")
@@ -276,17 +277,19 @@ def apply_moves(
     columns = [*moves.columns, "reason"]
     rejects = _reject(repeated, "moved_twice").select(*columns).unionByName(judged.where(F.col("reason").isNotNull()).select(*columns))
     accepted = judged.where(F.col("reason").isNull())
-    arrivals = accepted.select("seq", "owner_id", "id", F.col("new_parent_id").alias("parent_id"))
+    timed = ["at"] if "at" in moves.columns and "updated_at" in nodes.columns else []
+    arrivals = accepted.select("seq", "owner_id", "id", F.col("new_parent_id").alias("parent_id"), *timed)
     placed = append_order(nodes, arrivals, hot_rows=hot_rows).select(
-        "id", F.col("parent_id").alias("_parent"), F.col("sort_order").alias("_order"), F.lit(True).alias("_moved")
-    )
-    after = nodes.join(placed, "id", "left").withColumns(
-        {
-            "parent_id": F.when(F.col("_moved"), F.col("_parent")).otherwise(F.col("parent_id")),
-            "sort_order": F.coalesce("_order", "sort_order"),
-        }
+        "id", F.col("parent_id").alias("_parent"), F.col("sort_order").alias("_order"), F.lit(True).alias("_moved"),
+        *[F.col(c).alias("_at") for c in timed],
     )
-    return after.select(*nodes.columns), rejects
+    written = {
+        "parent_id": F.when(F.col("_moved"), F.col("_parent")).otherwise(F.col("parent_id")),
+        "sort_order": F.coalesce("_order", "sort_order"),
+    }
+    if timed:
+        written["updated_at"] = F.coalesce("_at", "updated_at")
+    return nodes.join(placed, "id", "left").withColumns(written).select(*nodes.columns), rejects
 
 
 # --- generated nodes ----------------------------------------------------------------

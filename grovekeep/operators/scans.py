@@ -89,8 +89,13 @@ def ingest_json_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, lost_items.unionByName(lost_files)
 
 
+def _time_of(text: str) -> Column:
+    """A time stored as text, with or without zone; null if empty or no time."""
+    return F.try_to_timestamp(F.nullif(strip(F.col(text)), F.lit("")))
+
+
 def import_legacy_nodes(source: DataFrame) -> DataFrame:
-    """Rows of the older store in the node schema, with defaults for missing fields."""
+    """Rows of the older store in the node schema, with defaults for missing fields; a time that is missing or unreadable is null."""
     shape = F.schema_of_variant(F.try_parse_json("content"))
     is_object = F.coalesce(shape.startswith("OBJECT"), F.lit(False))
     content = F.when(is_object, F.coalesce(F.get_json_object("content", "$.markdown"), F.col("content"))).otherwise(
@@ -103,8 +108,34 @@ def import_legacy_nodes(source: DataFrame) -> DataFrame:
         content.alias("content"),
         F.col("parent_id_cache").alias("parent_id"),
         F.coalesce("sort_order", F.lit(0.0)).alias("sort_order"),
+        F.coalesce(F.col("depth").cast("bigint"), F.lit(0).cast("bigint")).alias("depth"),
         F.coalesce("domain_tag", F.lit(V.OTHER_TAG)).alias("domain_tag"),
+        F.coalesce(F.col("mastery_score").cast("double"), F.lit(0.0)).alias("mastery_score"),
         F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"),
+        _time_of("created_at").alias("created_at"),
+        _time_of("updated_at").alias("updated_at"),
+    )
+
+
+def import_legacy_edges(source: DataFrame) -> DataFrame:
+    """Edges of the older store, with defaults for missing fields; :func:`insert_ignore` by parent and child adds the new ones."""
+    return source.select(
+        "parent_id",
+        "child_id",
+        F.coalesce(F.col("sort_order").cast("double"), F.lit(0.0)).alias("sort_order"),
+        F.coalesce("relationship_type", F.lit("parent-child")).alias("relationship_type"),
+    )
+
+
+def import_legacy_records(source: DataFrame) -> DataFrame:
+    """Attempt records of the older store, which know no question; a missing result is a wrong answer."""
+    return source.select(
+        "id",
+        "node_id",
+        "owner_id",
+        F.lit(None).cast("string").alias("question_id"),
+        F.coalesce("is_correct", F.lit(False)).alias("is_correct"),
+        _time_of("answered_at").alias("answered_at"),
     )
 
 

@@ -72,7 +72,17 @@ def ingest_json_rejects(spark, d):
 
 @query
 def import_legacy_nodes(spark, d):
-    return scans.import_legacy_nodes(X.legacy_nodes(spark, d))
+    return scans.import_legacy_nodes(X.legacy_nodes(spark, d)).withColumns({c: text(c) for c in ("created_at", "updated_at")})
+
+
+@query
+def import_legacy_edges(spark, d):
+    return scans.import_legacy_edges(X.legacy_edges(spark, d))
+
+
+@query
+def import_legacy_records(spark, d):
+    return scans.import_legacy_records(X.legacy_records(spark, d)).withColumn("answered_at", text("answered_at"))
 
 
 def _order_lines(spark, d):
@@ -485,9 +495,10 @@ def apply_promote_delete(spark, d):
 
 @query
 def apply_moves(spark, d):
-    n = X.nodes(spark, d)
-    after, _ = restructure.apply_moves(n, _moves(spark, d))
-    return after.select("owner_id", "id", "parent_id", "sort_order")
+    n = X.nodes(spark, d).withColumn("updated_at", X.as_of())
+    moves = _moves(spark, d).withColumn("at", F.timestamp_seconds(F.unix_seconds(X.as_of()) + F.col("seq")))
+    after, _ = restructure.apply_moves(n, moves)
+    return after.select("owner_id", "id", "parent_id", "sort_order", text("updated_at"))
 
 
 @query
@@ -861,6 +872,21 @@ def recall_state_fold_blocks(spark, d):
     return _state_columns(recall.recall_state_fold(X.reviews(spark, d), fold_events=10), "owner_id", "node_id")
 
 
+def _applied(spark, d):
+    n = X.states(spark, d).withColumns({"mastery_score": F.lit(0.25), "updated_at": F.lit(None).cast("timestamp")})
+    return recall.apply_reviews(n, X.node_reviews(spark, d))
+
+
+@query
+def apply_reviews(spark, d):
+    return _state_columns(_applied(spark, d)[0], "owner_id", "id", "mastery_score", text("updated_at"))
+
+
+@query
+def apply_reviews_rejects(spark, d):
+    return _applied(spark, d)[1].select("event_id", "owner_id", "node_id", "reason")
+
+
 @query
 def recall_state_history_blocks(spark, d):
     """Every log above ten events followed through blocks."""

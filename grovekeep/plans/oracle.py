@@ -27,13 +27,32 @@ sql("ingest_json_records", f"""
 sql("ingest_json_rejects", f"""
     SELECT source, 'missing_id_or_name' AS reason FROM array_items WHERE NOT coalesce({_ACCEPTED}, FALSE)
     UNION ALL SELECT source, 'not_an_array' FROM raw_node_arrays WHERE NOT json_valid(raw)""")
+
+
+def _legacy_time(n: str, kinds: int) -> str:
+    day = f"'2023-05-' || lpad(({n} % 28 + 1)::VARCHAR, 2, '0')"
+    return f"CASE {n} % {kinds} WHEN 0 THEN {day} || ' 07:08:09' WHEN 1 THEN {day} || ' 05:08:09' END"
+
+
 sql("import_legacy_nodes", f"""
     SELECT p_partkey::VARCHAR AS id, p_brand AS owner_id, p_name AS name,
            CASE p_partkey % 3 WHEN 0 THEN '# ' || p_name WHEN 1 THEN '{{"other":1}}' ELSE p_name END AS content,
            CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey - 1)::VARCHAR END AS parent_id,
            CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 5)::DOUBLE ELSE 0::DOUBLE END AS sort_order,
-           CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE {quote(V.OTHER_TAG)} END AS domain_tag, p_partkey % 7 = 0 AS is_deleted
+           CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE {quote(V.OTHER_TAG)} END AS domain_tag, p_partkey % 7 = 0 AS is_deleted,
+           CASE WHEN p_partkey % 3 <> 2 THEN p_partkey % 6 ELSE 0 END AS depth,
+           CASE WHEN p_partkey % 5 <> 1 THEN (p_partkey % 9) / 8::DOUBLE ELSE 0::DOUBLE END AS mastery_score,
+           {_legacy_time("p_partkey", 4)} AS created_at, {_legacy_time("(p_partkey + 1)", 4)} AS updated_at
+    FROM part""")
+sql("import_legacy_edges", """
+    SELECT (p_partkey - 1)::VARCHAR AS parent_id, p_partkey::VARCHAR AS child_id,
+           CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 5)::DOUBLE ELSE 0::DOUBLE END AS sort_order,
+           CASE WHEN p_partkey % 3 = 0 THEN 'related' ELSE 'parent-child' END AS relationship_type
     FROM part""")
+sql("import_legacy_records", f"""
+    SELECT (l_orderkey * 10 + l_linenumber)::VARCHAR AS id, l_partkey::VARCHAR AS node_id, 'src' || (l_suppkey % 20) AS owner_id,
+           NULL::VARCHAR AS question_id, l_returnflag = 'A' AS is_correct, {_legacy_time("(l_orderkey * 10 + l_linenumber)", 5)} AS answered_at
+    FROM lineitem""")
 sql("insert_ignore", """
     SELECT order_key, line, question_id, price FROM records
     WHERE (order_key, line) NOT IN (SELECT (order_key, line) FROM records WHERE NOT is_correct)
@@ -206,9 +225,10 @@ sql("apply_promote_delete", """
     SELECT n.owner_id, n.id, CASE WHEN p.id IS NULL THEN n.parent_id ELSE p.target END AS parent_id,
            CASE WHEN p.id IS NULL THEN n.sort_order ELSE p.sort_order END AS sort_order, n.is_deleted OR n.id IN (SELECT id FROM dropped) AS is_deleted
     FROM nodes n LEFT JOIN promoted_at p ON p.id = n.id""")
-sql("apply_moves", """
+sql("apply_moves", f"""
     SELECT n.owner_id, n.id, CASE WHEN a.id IS NULL THEN n.parent_id ELSE a.new_parent_id END AS parent_id,
-           CASE WHEN a.id IS NULL THEN n.sort_order ELSE a.sort_order END AS sort_order
+           CASE WHEN a.id IS NULL THEN n.sort_order ELSE a.sort_order END AS sort_order,
+           {time(f"CASE WHEN a.id IS NULL THEN {AS_OF} ELSE {AS_OF} + to_seconds(a.id) END")} AS updated_at
     FROM nodes n LEFT JOIN arrivals a ON a.id = n.id""")
 sql("next_sort_order", "SELECT owner_id, parent_id, next_order FROM next_orders")
 sql("normalize_sibling_order", """
@@ -400,6 +420,15 @@ def _state(source: str, *first: str) -> str:
 
 sql("review_log", "SELECT owner_id, rating::BIGINT AS rating, count(*) AS n FROM both_logs GROUP BY ALL")
 sql("recall_state_fold", _state("final", "owner_id", "node_id"))
+_NEW = {c: f"CASE WHEN a.node_id IS NULL THEN s.{c} ELSE a.{c} END" for c in ("stability", "difficulty", "review_count", "review_state", "last_review_at")}
+sql("apply_reviews", f"""
+    SELECT s.owner_id, s.id, floor({_NEW["stability"]} * 1000000 + 0.5) / 1000000 AS stability,
+           floor({_NEW["difficulty"]} * 1000000 + 0.5) / 1000000 AS difficulty, ({_NEW["review_count"]})::BIGINT AS review_count,
+           {_NEW["review_state"]} AS review_state, {time(_NEW["last_review_at"])} AS last_review_at,
+           {time("CASE WHEN a.node_id IS NULL THEN s.next_review_at ELSE a.due END")} AS next_review_at,
+           CASE WHEN a.node_id IS NULL THEN 0.25::DOUBLE ELSE 1::DOUBLE END AS mastery_score, {time("a.last_review_at")} AS updated_at
+    FROM states s LEFT JOIN (SELECT *, {_NEXT_SECOND} AS due FROM applied) a ON a.owner_id = s.owner_id AND a.node_id = s.id""")
+sql("apply_reviews_rejects", "SELECT event_id, owner_id, node_id, reason FROM judged_reviews WHERE reason IS NOT NULL")
 sql("recall_state_fold_mixed_log", f"""
     SELECT owner_id, node_id, round(ln(stability), 6) AS log_stability, floor(difficulty * 1000000 + 0.5) / 1000000 AS difficulty, review_count, review_state,
            {time("last_review_at")} AS last_review_at FROM mixed_final""")

@@ -312,6 +312,20 @@ TABLES["late_reviews"] = "SELECT * FROM marked_reviews WHERE coalesce(epoch_us(r
 TABLES["timely_log"] = f"SELECT *, {_RANKED} FROM marked_reviews WHERE NOT coalesce(epoch_us(reviewed_at) < mark, FALSE)"
 TABLES["timely_fold"] = _fold("timely_log", "timely_fold")
 TABLES["timely_final"] = _last("timely_fold")
+TABLES["judged_reviews"] = """
+    SELECT r.*, CASE WHEN l.id IS NULL THEN 'node_not_found' WHEN r.rating NOT BETWEEN 1 AND 4 THEN 'invalid_rating' END AS reason
+    FROM node_reviews r LEFT JOIN live l ON l.owner_id = r.owner_id AND l.id = r.node_id"""
+TABLES["applied_log"] = f"SELECT *, {_RANKED} FROM judged_reviews WHERE reason IS NULL"
+_S, _, _T = step("f.stability", "f.difficulty", "f.review_count", "f.review_state", "l.rating")
+_G = "least(0.99::DOUBLE, (1 - 0.15::DOUBLE * (3 - l.rating)) * f.gap)"
+TABLES["applied_fold"] = f"""
+    SELECT owner_id, id AS node_id, 0::BIGINT AS rn, stability, difficulty, review_count::BIGINT AS review_count, review_state, last_review_at,
+           1 - difficulty AS gap
+    FROM decayed WHERE (owner_id, id) IN (SELECT (owner_id, node_id) FROM applied_log)
+    UNION ALL
+    SELECT l.owner_id, l.node_id, l.rn, {_S}, 1 - {_G}, f.review_count + 1, {_T}, date_trunc('second', l.reviewed_at), {_G}
+    FROM applied_fold f JOIN applied_log l ON l.owner_id = f.owner_id AND l.node_id = f.node_id AND l.rn = f.rn + 1"""
+TABLES["applied"] = _last("applied_fold")
 TABLES["final"] = _last("fold")
 TABLES["mixed_final"] = _last("mixed_fold")
 

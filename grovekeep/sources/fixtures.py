@@ -391,4 +391,42 @@ def legacy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(n, F.lit(4)) != 0, F.pmod(n, F.lit(5)).cast("double")).alias("sort_order"),
         F.when(F.pmod(n, F.lit(2)) == 0, F.col("p_type")).alias("domain_tag"),
         F.when(F.pmod(n, F.lit(7)) == 0, F.lit(True)).alias("is_deleted"),
+        F.when(F.pmod(n, F.lit(3)) != 2, F.pmod(n, F.lit(6))).alias("depth"),
+        F.when(F.pmod(n, F.lit(5)) != 1, F.pmod(n, F.lit(9)) / 8).alias("mastery_score"),
+        legacy_time(n, 4).alias("created_at"),
+        legacy_time(n + 1, 4).alias("updated_at"),
+    )
+
+
+def legacy_time(n: Column, kinds: int) -> Column:
+    """A time as the older store has it: plain, in the ISO form with zone, empty or missing."""
+    day = F.lpad((F.pmod(n, F.lit(28)) + 1).cast("string"), 2, "0")
+    kind = F.pmod(n, F.lit(kinds))
+    return (
+        F.when(kind == 0, F.concat(F.lit("2023-05-"), day, F.lit(" 07:08:09")))
+        .when(kind == 1, F.concat(F.lit("2023-05-"), day, F.lit("T07:08:09+02:00")))
+        .when(kind == 2, F.lit(""))
+    )
+
+
+def legacy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of an older store, some without order or type."""
+    n = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(
+        (n - 1).cast("string").alias("parent_id"),
+        n.cast("string").alias("child_id"),
+        F.when(F.pmod(n, F.lit(4)) != 0, F.pmod(n, F.lit(5))).alias("sort_order"),
+        F.when(F.pmod(n, F.lit(3)) == 0, F.lit("related")).alias("relationship_type"),
+    )
+
+
+def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of an older store, some without a result or a time."""
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return read(spark, sf_dir, "lineitem").select(
+        key.cast("string").alias("id"),
+        F.col("l_partkey").cast("string").alias("node_id"),
+        F.concat(F.lit("src"), F.pmod("l_suppkey", F.lit(20))).alias("owner_id"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A").alias("is_correct"),
+        legacy_time(key, 5).alias("answered_at"),
     )
