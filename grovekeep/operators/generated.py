@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.scalars import choose, computed_once
-from .hierarchy import live_nodes, subtree_documents
+from .hierarchy import PART_CHARS, live_nodes, subtree_documents
 from .questions import type_label
 
 
@@ -199,15 +199,16 @@ def prompt_head(question_types: list[str]) -> str:
 
 
 def build_prompts(
-    nodes: DataFrame, question_types: list[str], order: DataFrame | None = None, *, part_nodes: int = 1000
+    nodes: DataFrame, question_types: list[str], order: DataFrame | None = None, *, part_chars: int = PART_CHARS
 ) -> DataFrame:
     """Prompt text of every live node, with its subtree if ``order`` is given.
 
-    ``order`` is the result of ``preorder_rows``; a large subtree comes in parts.
+    ``order`` is the result of ``preorder_rows``; the texts of a large subtree come in parts of at most
+    ``part_chars`` characters, of which the first follows the prompt's head.
     """
     head = F.lit(prompt_head(question_types))
     own = node_text(F.col("name"), F.col("content"))
     if order is None:
         return live_nodes(nodes).select("owner_id", "id", F.concat(head, own).alias("prompt"))
-    documents = subtree_documents(nodes, order, own, separator=V.PROMPT_SEPARATOR, part_nodes=part_nodes)
-    return documents.select("owner_id", "id", "part", F.concat(head, F.col("text")).alias("prompt"))
+    documents = subtree_documents(nodes, order, own, separator=V.PROMPT_SEPARATOR, part_chars=part_chars)
+    return documents.select("owner_id", "id", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(F.lit("")), F.col("text")).alias("prompt"))

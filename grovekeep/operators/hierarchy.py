@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Rounds
+from ..scratch import Rounds, kept
 from .keyed import HOT_ROWS, rank_rows, running_sums
 
 SIBLINGS = ["owner_id", "up"]
 LEAF_EXPONENT = 0.6
+# Longest part of a subtree's text, in characters.
+PART_CHARS = 1_000_000
 
 
 def display_order() -> list[Column]:
@@ -202,14 +204,33 @@ def self_union_descendants(closure: DataFrame, nodes: DataFrame) -> DataFrame:
     return closure.unionByName(own)
 
 
-def blocked_move_targets(moving: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each moving node, the nodes it may not be moved under."""
-    wanted = moving.select("owner_id", F.col("id").alias("ancestor"))
-    return (
-        self_union_descendants(closure, nodes)
-        .join(wanted, ["owner_id", "ancestor"], "left_semi")
-        .select("owner_id", F.col("ancestor").alias("id"), F.col("descendant").alias("blocked_id"))
-    )
+# Display-order positions per bin of a range join.
+BIN = 256
+
+
+def _within(spans: DataFrame, order: DataFrame) -> DataFrame:
+    """``spans(owner_id, _from, _to, ...)`` with ``_pos`` and ``_member``, each node at a position of [_from, _to).
+
+    Both sides are filed under bins of positions, so a hot owner is many keys, and a span of n nodes takes about
+    n / BIN rows before it meets them.
+    """
+    bins = F.sequence(F.floor(F.col("_from") / BIN), F.floor((F.col("_to") - 1) / BIN))
+    points = order.select("owner_id", F.floor(F.col("pos") / BIN).alias("_bin"), F.col("pos").alias("_pos"), F.col("id").alias("_member"))
+    met = spans.withColumn("_bin", F.explode(bins)).join(points, ["owner_id", "_bin"])
+    return met.where((F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to"))).drop("_bin")
+
+
+def blocked_move_targets(moving: DataFrame, order: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each moving live node, the nodes it may not be moved under: itself and those below it.
+
+    ``order`` is the result of :func:`preorder_rows`; a node on a cycle, which has no place there, blocks itself.
+    """
+    asked = moving.select("owner_id", "id").distinct()
+    spans = order.select("owner_id", "id", F.col("pos").alias("_from"), (F.col("pos") + F.col("subtree_size")).alias("_to"))
+    blocked = _within(spans.join(asked, ["owner_id", "id"], "left_semi"), order)
+    live = live_nodes(nodes).select("owner_id", "id").join(asked, ["owner_id", "id"], "left_semi")
+    placeless = live.join(order.select("owner_id", "id"), ["owner_id", "id"], "left_anti")
+    return blocked.select("owner_id", "id", F.col("_member").alias("blocked_id")).unionByName(placeless.withColumn("blocked_id", F.col("id")))
 
 
 def child_count(nodes: DataFrame) -> DataFrame:
@@ -341,29 +362,43 @@ def root_context(nodes: DataFrame, *, page_rows: int = 1000, hot_rows: int = HOT
 
 
 def subtree_documents(
-    nodes: DataFrame, order: DataFrame, render: Column, *, separator: str, part_nodes: int = 1000
+    nodes: DataFrame, order: DataFrame, render: Column, *, separator: str, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Text of every node and its descendants, in display order.
+    """Text of every node and its descendants in display order, joined by ``separator``, in parts of at most ``part_chars`` characters.
+
+    Parts are numbered from 0 and put together, with nothing between, they are the exact text; a cut may fall inside a
+    node's text.  ``n_nodes`` counts the nodes whose text begins in the part.  ``order`` is the result of
+    :func:`preorder_rows`, ``render`` the text of one node; a node whose text is null adds neither text nor separator.
 
-    A subtree of more than ``part_nodes`` nodes comes as several parts,
-    numbered in order; together they hold the whole text.  ``order`` is the
-    result of :func:`preorder_rows`, ``render`` the text of one node.
+    Running totals of lengths in display order give every node's offset below any ancestor, so only narrow rows are
+    packed, and texts join once their places are known.
     """
-    closure = self_union_descendants(descendant_closure(nodes), nodes)
-    at = order.select("owner_id", F.col("id").alias("descendant"), F.col("pos").alias("_pos"))
-    start = order.select("owner_id", F.col("id").alias("ancestor"), F.col("pos").alias("_start"))
-    texts = live_nodes(nodes).select("owner_id", F.col("id").alias("descendant"), render.alias("_text"))
-    rows = (
-        closure.join(at, ["owner_id", "descendant"])
-        .join(start, ["owner_id", "ancestor"])
-        .join(texts, ["owner_id", "descendant"])
-        .withColumn("_rel", F.col("_pos") - F.col("_start"))
-        .withColumn("part", F.floor(F.col("_rel") / part_nodes).cast("bigint"))
+    gap = len(separator)
+    texts = live_nodes(nodes).select("owner_id", F.col("id").alias("_member"), render.alias("_text"))
+    lengths = texts.select("owner_id", F.col("_member").alias("id"), F.coalesce(F.length("_text") + gap, F.lit(0)).cast("bigint").alias("_n"))
+    sized = order.select("owner_id", "id", "pos", "subtree_size").join(lengths, ["owner_id", "id"])
+    summed = kept(running_sums(sized, ["owner_id"], [F.col("pos")], {"_through": F.col("_n")}, hot_rows=hot_rows), "text-offsets")
+    ends = summed.select("owner_id", (F.col("pos") + 1).alias("_to"), F.col("_through").alias("_end"))
+    spans = summed.select(
+        "owner_id", "id", F.col("pos").alias("_from"), (F.col("pos") + F.col("subtree_size")).alias("_to"), (F.col("_through") - F.col("_n")).alias("_start")
+    ).join(ends, ["owner_id", "_to"])
+    spans = spans.withColumn("_whole", F.greatest(F.col("_end") - F.col("_start") - gap, F.lit(0)))
+    before = summed.select("owner_id", F.col("id").alias("_member"), (F.col("_through") - F.col("_n")).alias("_before"), "_n")
+    rows = _within(spans, summed).join(before, ["owner_id", "_member"])
+    rows = rows.withColumn("_at", F.col("_before") - F.col("_start"))
+    last = F.greatest(F.col("_whole") - 1, F.lit(0))
+    first_part = F.floor(F.least(F.col("_at"), last) / part_chars)
+    last_part = F.greatest(first_part, F.floor(F.least(F.col("_at") + F.col("_n") - 1, last) / part_chars))
+    rows = rows.select("owner_id", "id", "_member", "_pos", "_at", "_whole", first_part.alias("_first"), F.explode(F.sequence(first_part, last_part)).alias("part"))
+    low = F.greatest(F.col("_at"), F.col("part") * part_chars)
+    high = F.least(F.col("_whole"), (F.col("part") + 1) * part_chars)
+    piece = F.concat(F.col("_text"), F.lit(separator)).substr((low - F.col("_at") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    pieces = rows.join(texts, ["owner_id", "_member"]).select(
+        "owner_id", "id", "part", "_pos", F.coalesce(piece, F.lit("")).alias("_piece"), (F.col("_first") == F.col("part")).alias("_begins")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("_rel", "_text")))
-    return rows.groupBy("owner_id", F.col("ancestor").alias("id"), "part").agg(
-        F.array_join(F.transform(ordered, lambda r: r["_text"]), separator).alias("text"),
-        F.count(F.lit(1)).alias("n_nodes"),
+    ordered = F.sort_array(F.collect_list(F.struct("_pos", "_piece")))
+    return pieces.groupBy("owner_id", "id", "part").agg(
+        F.array_join(F.transform(ordered, lambda r: r["_piece"]), "").alias("text"), F.count_if("_begins").alias("n_nodes")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.scalars import lookup
-from .keyed import last_rows, top_rows
+from .keyed import HOT_ROWS, last_rows, rank_rows, top_rows
 
 OPTIONS_OBJECT = "reference_answer string, keywords array<string>"
 
@@ -52,6 +52,14 @@ def question_latest_attempt(questions: DataFrame, records: DataFrame, tie_break:
     )
 
 
+def question_list(questions: DataFrame, records: DataFrame, tie_break: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every node's questions as its owner sees them: decoded options, type label, last attempt, and ``position``, newest first."""
+    keys = questions.select("owner_id", "node_id", "id", "created_at")
+    placed = rank_rows(keys, ["owner_id", "node_id"], [F.col("created_at").desc(), F.col("id").asc()], "position", hot_rows=hot_rows)
+    seen = question_latest_attempt(questions, records, tie_break).join(placed.select("id", "owner_id", "position"), ["id", "owner_id"])
+    return seen.withColumns({"options": decode_options(F.col("options")), "type_label": type_label(F.col("question_type"))})
+
+
 def wrong_attempt_times(records: DataFrame) -> DataFrame:
     """Time of the last wrong attempt at every question, whoever made it."""
     wrong = records.where(~F.col("is_correct") & F.col("question_id").isNotNull())

@@ -248,6 +248,14 @@ def question_latest_attempt(spark, d):
     return rows.select("owner_id", "id", "node_id", "question", "question_type", "answered", "last_correct")
 
 
+@query
+def question_list(spark, d):
+    rows = questions.question_list(X.questions(spark, d), X.records(spark, d), ["order_key", "line", "price"])
+    return rows.select("owner_id", "node_id", "position", "id", "question", F.array_join("options.choices", ",").alias("choices"),
+                       "options.reference_answer", F.array_join("options.keywords", ",").alias("keywords"), "options.raw", "explanation",
+                       "question_type", "type_label", "difficulty", text("created_at"), "answered", "last_correct")
+
+
 @query
 def latest_per_key(spark, d):
     rows = questions.latest_attempts(X.records(spark, d), ["order_key", "line", "price"])
@@ -372,7 +380,7 @@ def is_descendant(spark, d):
 def blocked_move_targets(spark, d):
     n = X.nodes(spark, d)
     moving = _moves(spark, d)
-    return hierarchy.blocked_move_targets(moving, hierarchy.descendant_closure(n), n)
+    return hierarchy.blocked_move_targets(moving, hierarchy.preorder_rows(n), n)
 
 
 @query
@@ -435,6 +443,15 @@ def subtree_documents(spark, d):
     return docs.select("owner_id", "id", "part", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "n_nodes")
 
 
+@query
+def subtree_documents_parts(spark, d):
+    """The same texts in parts of 3,000 characters."""
+    n = X.nodes(spark, d)
+    rendered = F.concat(F.col("name"), F.lit("="), F.col("content"))
+    docs = hierarchy.subtree_documents(n, hierarchy.preorder_rows(n), rendered, separator="\n---\n", part_chars=3000, hot_rows=100)
+    return docs.select("owner_id", "id", "part", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "n_nodes")
+
+
 @query
 def derive_edges(spark, d):
     return hierarchy.derive_edges(X.nodes(spark, d))

@@ -187,13 +187,23 @@ sql("root_context", """
     SELECT owner_id, (place - 1) // 2 AS page, string_agg(id, ',' ORDER BY place) AS children
     FROM (SELECT owner_id, id, row_number() OVER (PARTITION BY owner_id ORDER BY sort_order, name, id) AS place FROM live WHERE parent_id IS NULL)
     GROUP BY ALL""")
-_DOCUMENTS = """
-    SELECT m.owner_id, m.ancestor AS id, (d.pos - a.pos) // 1000 AS part, {text} AS text, count(*) AS n_nodes
-    FROM members m JOIN preorder d ON d.id = m.descendant JOIN preorder a ON a.id = m.ancestor JOIN live l ON l.id = m.descendant
-    GROUP BY m.owner_id, m.ancestor, (d.pos - a.pos) // 1000"""
-sql("subtree_documents", f"""
-    SELECT owner_id, id, part, md5(text) AS text_md5, length(text) AS n_chars, n_nodes
-    FROM ({_DOCUMENTS.format(text="string_agg(l.name || '=' || l.content, chr(10) || '---' || chr(10) ORDER BY d.pos)")})""")
+
+
+def _documents(node: str, part_chars: int = 1_000_000) -> str:
+    """Texts of subtrees, each cut every ``part_chars`` characters, and how many nodes begin in each part."""
+    members = "members m JOIN preorder d ON d.id = m.descendant JOIN live l ON l.id = m.descendant"
+    return f"""
+    SELECT t.owner_id, t.id, t.part, substr(t.text, {part_chars} * t.part + 1, {part_chars}) AS text, coalesce(b.n, 0) AS n_nodes
+    FROM (SELECT owner_id, id, text, unnest(range(greatest(1, (length(text) + {part_chars - 1}) // {part_chars}))) AS part
+          FROM (SELECT m.owner_id, m.ancestor AS id, string_agg({node}, chr(10) || '---' || chr(10) ORDER BY d.pos) AS text FROM {members} GROUP BY ALL)) t
+    LEFT JOIN (SELECT id, begun // {part_chars} AS part, count(*) AS n
+               FROM (SELECT m.ancestor AS id, sum(length({node}) + 5) OVER (PARTITION BY m.ancestor ORDER BY d.pos) - length({node}) - 5 AS begun FROM {members})
+               GROUP BY ALL) b ON b.id = t.id AND b.part = t.part"""
+
+
+_RENDERED = "l.name || '=' || l.content"
+for _name, _docs in {"subtree_documents": _documents(_RENDERED), "subtree_documents_parts": _documents(_RENDERED, 3000)}.items():
+    sql(_name, f"SELECT owner_id, id, part, md5(text) AS text_md5, length(text) AS n_chars, n_nodes FROM ({_docs})")
 sql("derive_edges", """
     SELECT up AS parent_id, id AS child_id, sort_order, 'parent-child' AS relationship_type FROM links WHERE up IS NOT NULL""")
 _DERIVED = "SELECT up AS parent_id, id AS child_id, sort_order FROM links WHERE up IS NOT NULL"
@@ -366,6 +376,13 @@ sql("format_stability", f"""
 _LABELS = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in V.TYPE_LABELS.items())
 sql("type_label", f"""
     SELECT id, CASE CASE WHEN id % 5 = 0 THEN 'essay' ELSE question_type END {_LABELS} ELSE {quote(V.DEFAULT_TYPE_LABEL)} END AS type_label FROM questions""")
+sql("question_list", f"""
+    SELECT q.owner_id, q.node_id, row_number() OVER (PARTITION BY q.owner_id, q.node_id ORDER BY q.created_at DESC, q.id) AS position, q.id, q.question,
+           CASE q.id % 3 WHEN 0 THEN 'A,B,C,D' END AS choices, CASE q.id % 3 WHEN 2 THEN q.question END AS reference_answer,
+           CASE q.id % 3 WHEN 2 THEN 'k1,k2' END AS keywords, CASE q.id % 3 WHEN 1 THEN q.options END AS raw, 'see ' || p.p_type AS explanation,
+           q.question_type, CASE q.question_type {_LABELS} ELSE {quote(V.DEFAULT_TYPE_LABEL)} END AS type_label, q.difficulty,
+           {time("q.created_at")} AS created_at, a.is_correct IS NOT NULL AS answered, coalesce(a.is_correct, FALSE) AS last_correct
+    FROM questions q JOIN part p ON p.p_partkey = q.id LEFT JOIN last_attempt a ON a.question_id = q.id AND a.owner_id = q.owner_id""")
 sql("decode_options", """
     SELECT id, CASE id % 3 WHEN 0 THEN 'A,B,C,D' END AS choices, CASE id % 3 WHEN 2 THEN question END AS reference_answer,
            CASE id % 3 WHEN 2 THEN 'k1,k2' END AS keywords, CASE id % 3 WHEN 1 THEN options END AS raw FROM questions""")
@@ -406,8 +423,7 @@ def _head(types: str) -> str:
 
 sql("build_prompts", f"SELECT owner_id, id, md5({_head('single_choice、true_false')} || {_NODE_TEXT}) AS prompt_md5 FROM live l")
 sql("build_subtree_prompts", f"""
-    SELECT owner_id, id, part, md5({_head("short_answer")} || text) AS prompt_md5
-    FROM ({_DOCUMENTS.format(text=f"string_agg({_NODE_TEXT}, chr(10) || '---' || chr(10) ORDER BY d.pos)")})""")
+    SELECT owner_id, id, part, md5(CASE part WHEN 0 THEN {_head("short_answer")} ELSE '' END || text) AS prompt_md5 FROM ({_documents(_NODE_TEXT)})""")
 
 # --- logs and streams -------------------------------------------------------------------------------
 

@@ -99,7 +99,17 @@ def test_parent_of_another_owner_does_not_count(spark, forest):
 def test_blocked_move_targets(spark, forest):
     nodes = forest((1, None), (2, 1), (3, 1), (4, 3), (5, None))
     moving = nodes.where("id = 1")
-    assert rows(H.blocked_move_targets(moving, H.descendant_closure(nodes), nodes), "blocked_id") == [(1,), (2,), (3,), (4,)]
+    assert rows(H.blocked_move_targets(moving, H.preorder_rows(nodes), nodes), "blocked_id") == [(1,), (2,), (3,), (4,)]
+
+
+def test_blocked_move_targets_of_wide_and_cyclic_nodes(spark, forest):
+    """Spans over several bins; a node on a cycle blocks itself; no closure in the plan."""
+    nodes = forest((0, None), *[(i, i // 2) for i in range(1, 900)], (1000, 1001), (1001, 1000), (1002, None, {"is_deleted": True}))
+    nodes = nodes.withColumn("parent_id", F.when(F.col("id") == 1, 0).otherwise(F.col("parent_id")))
+    moving = nodes.where("id in (1, 3, 450, 1000, 1002)")
+    below = {i: {j for j in range(1, 900) if any(j >> k == i for k in range(10))} for i in (1, 3, 450)}
+    want = sorted([(i, j) for i, found in below.items() for j in found] + [(1000, 1000)])
+    assert rows(H.blocked_move_targets(moving, H.preorder_rows(nodes), nodes), "id", "blocked_id") == want
 
 
 def test_child_pages_cover_all_children(spark, forest):
@@ -112,8 +122,26 @@ def test_child_pages_cover_all_children(spark, forest):
 
 def test_subtree_documents_in_parts(spark, forest):
     nodes = forest((1, None), (2, 1), (3, 2), (4, 1))
-    docs = H.subtree_documents(nodes, H.preorder_rows(nodes), F.col("name"), separator=",", part_nodes=3)
-    assert rows(docs.where("id = 1"), "part", "text") == [(0, "n1,n2,n3"), (1, "n4")]
+    docs = H.subtree_documents(nodes, H.preorder_rows(nodes), F.col("name"), separator=",", part_chars=7)
+    assert rows(docs.where("id = 1"), "part", "text", "n_nodes") == [(0, "n1,n2,n", 3), (1, "3,n4", 1)]
+
+
+@pytest.mark.parametrize("part_chars, separator", [(1, ""), (5, ", "), (1000, ", ")])
+def test_subtree_documents_join_to_the_text(spark, forest, separator, part_chars):
+    texts = {1: "ab", 2: None, 3: "", 4: "é𝄞" * 5, 5: None, 6: None, 7: "z"}
+    parents = {1: None, 2: 1, 3: 2, 4: 2, 5: 1, 6: 5, 7: 1}
+    nodes = forest(*[(i, p, {"content": texts[i]}) for i, p in parents.items()])
+    docs = H.subtree_documents(nodes, H.preorder_rows(nodes), F.col("content"), separator=separator, part_chars=part_chars, hot_rows=2).collect()
+
+    def below(i):
+        return [i, *[k for j, p in parents.items() if p == i for k in below(j)]]
+
+    for i in parents:
+        mine = sorted((r.part, r.text, r.n_nodes) for r in docs if r.id == i)
+        assert [p for p, _, _ in mine] == list(range(len(mine)))
+        assert "".join(t for _, t, _ in mine) == separator.join(texts[j] for j in below(i) if texts[j] is not None)
+        assert all(len(t) <= part_chars for _, t, _ in mine)
+        assert sum(n for _, _, n in mine) == len(below(i))
 
 
 @pytest.mark.parametrize("hot_rows", [1, 4, 1000])
