@@ -8,7 +8,7 @@ Every operator returns its rejects with a reason.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -320,43 +320,138 @@ def resolve_names(
     return rows.join(won, "seq", "left").withColumn("final_name", F.when(F.col("_won"), F.col("final_name"))).drop("_won")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+MADE = "array<struct<label:string,root:boolean,key:string,parent:string,name:string,chain:array<bigint>>>"
+AIMED = "array<struct<seq:bigint,key:string,chain:array<bigint>,fresh:boolean,lost:boolean>>"
+
+
+def _aim(acc: Column, item: Column) -> Column:
+    """One more suggestion of a response: its place, seeing the nodes that the response has made so far.
+
+    A place is ``n`` and an id, ``r`` and the name of a new root, or ``i`` and the number of an earlier suggestion;
+    ``chain`` lists the suggestions above it.
+    """
+
+    def at(key: Column, chain: Column, fresh: bool) -> Column:
+        return F.struct(key.alias("key"), chain.cast("array<bigint>").alias("chain"), F.lit(fresh).alias("fresh"))
+
+    none = F.array()
+    fits = F.filter(acc["made"], lambda m: F.contains(m["label"], item["wanted"]) | F.contains(item["wanted"], m["label"]))
+    own_key = F.concat(F.lit("n"), item["match"].cast("string"))
+    known = F.when(item["match"].isNotNull(), at(own_key, none, False))
+
+    def placed(fits: Column) -> Column:
+        roots = F.filter(fits, lambda m: m["root"])
+
+        def first(found: Column) -> Column:
+            return F.when(F.size(found) > 0, at(F.get(found, F.lit(0))["key"], F.get(found, F.lit(0))["chain"], False))
+
+        fresh = at(F.concat(F.lit("r"), item["wanted"]), none, True)
+        return F.coalesce(F.when(item["is_root"], known), first(roots), known, first(fits), fresh)
+
+    def named(place: Column) -> Column:
+        def taken(name: Column, stored: Column) -> Column:
+            here = F.coalesce(place["key"] == own_key, F.lit(False)) & stored
+            return here | F.exists(acc["made"], lambda m: (m["parent"] == place["key"]) & (m["name"] == name))
+
+        suffixed = F.concat(item["name"], F.lit(V.DUPLICATE_NAME_SUFFIX))
+        return F.when(~taken(item["name"], item["taken"]), item["name"]).when(~taken(suffixed, item["suffix_taken"]), suffixed)
+
+    def made(label: Column, root: bool, key: Column, parent: Column, name: Column, chain: Column) -> Column:
+        return F.array(F.struct(label.alias("label"), F.lit(root).alias("root"), key.alias("key"), parent.alias("parent"),
+                                name.alias("name"), chain.cast("array<bigint>").alias("chain"))).cast(MADE)
+
+    def added(place: Column, name: Column) -> Column:
+        root = made(item["wanted"], True, place["key"], F.lit(""), item["suggested"], none)
+        child = made(F.lower(name), False, F.concat(F.lit("i"), item["seq"].cast("string")), place["key"], name,
+                     F.concat(place["chain"], F.array(item["seq"])))
+        aimed = F.array(F.struct(item["seq"].alias("seq"), place["key"].alias("key"), place["chain"].alias("chain"),
+                                 place["fresh"].alias("fresh"), name.isNull().alias("lost"))).cast(AIMED)
+        nothing = none.cast(MADE)
+        return F.struct(
+            F.concat(acc["made"], F.when(place["fresh"], root).otherwise(nothing), F.when(name.isNotNull(), child).otherwise(nothing)).alias("made"),
+            F.concat(acc["aimed"], aimed).alias("aimed"),
+        )
+
+    return _let(_let(fits, placed), lambda place: _let(named(place), lambda name: added(place, name)))
+
+
 def place_generated_nodes(
     nodes: DataFrame, suggestions: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Inserts for ``suggestions(seq, owner_id, name, content, suggested_parent)``, and the skipped.
+    """Inserts for ``suggestions(seq, owner_id, name, content, suggested_parent[, response_id])``, and the skipped.
 
-    A suggestion goes under its best matching node; suggestions without a match
-    share one new root per (owner, suggested parent), ignoring case.  New nodes come
-    after all siblings, deleted ones included.
+    A suggestion goes under its best matching node: a root first, stored before new; an empty parent name matches
+    every node.  Without a match a new root of that name is made.  The suggestions of one response are taken in the
+    order of ``seq`` and see what earlier ones of it have made; without ``response_id`` each is a response of its own.
+    Responses of a batch are judged against the snapshot, not against each other: new roots of one owner and name,
+    ignoring case, become one, a name asked for twice under one parent gets a suffix, any further one is skipped, and
+    so are the nodes of its response below it.  New nodes come after all siblings, deleted ones included.  ``seq`` is
+    unique; a null name or parent name is skipped.
+
+    A response was one text before it was split into rows, so it bounds the list that is folded.
     """
     kind = nodes.schema["id"].dataType
-    nameless = suggestions.where(F.coalesce(F.length("suggested_parent"), F.lit(0)) == 0)
-    asked = suggestions.where(F.length("suggested_parent") > 0).withColumn("wanted", F.lower("suggested_parent"))
-    found = match_parent(asked, nodes).select("owner_id", "wanted", F.col("parent_id").alias("_match"))
-    asked = kept(asked.join(found, ["owner_id", "wanted"], "left"), "suggestions")
+    response = F.col("response_id" if "response_id" in suggestions.columns else "seq")
+    rows = suggestions.select(
+        F.col("seq").cast("bigint").alias("seq"), "owner_id", response.alias("_response"), "name", "content", "suggested_parent"
+    )
+    nameless = rows.where(F.col("name").isNull() | F.col("suggested_parent").isNull())
+    asked = rows.where(F.col("name").isNotNull() & F.col("suggested_parent").isNotNull()).withColumn("wanted", F.lower("suggested_parent"))
+    found = match_parent(asked, nodes).select("owner_id", "wanted", F.col("parent_id").alias("_match"), "is_root")
+    asked = asked.join(found, ["owner_id", "wanted"], "left").withColumn("_suffixed", F.concat("name", F.lit(V.DUPLICATE_NAME_SUFFIX)))
+    children = live_nodes(nodes).where(F.col("parent_id").isNotNull()).select("owner_id", F.col("parent_id").alias("_match"), "name").distinct()
+    asked = asked.join(children.withColumn("_taken", F.lit(True)), ["owner_id", "_match", "name"], "left")
+    suffixed = children.withColumnRenamed("name", "_suffixed").withColumn("_suffix_taken", F.lit(True))
+    asked = kept(asked.join(suffixed, ["owner_id", "_match", "_suffixed"], "left"), "suggestions")
+
+    no = F.lit(False)
+    item = F.struct(
+        "seq", "name", F.col("suggested_parent").alias("suggested"), "wanted", F.col("_match").alias("match"), F.coalesce("is_root", no).alias("is_root"),
+        F.coalesce("_taken", no).alias("taken"), F.coalesce("_suffix_taken", no).alias("suffix_taken"),
+    )
+    empty = F.struct(F.array().cast(MADE).alias("made"), F.array().cast(AIMED).alias("aimed"))
+    folded = asked.groupBy("owner_id", "_response").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    aims = folded.select(F.inline(F.aggregate("_items", empty, _aim, lambda acc: acc["aimed"])))
+    own_id = stable_id(kind, F.col("owner_id"), F.lit("item"), F.col("seq"), F.col("name"), F.col("content"))
+    aimed = kept(asked.join(aims, "seq").withColumn("id", own_id), "aimed-suggestions")
 
     fresh = first_rows(
-        asked.where(F.col("_match").isNull()).select("owner_id", "wanted", "seq", F.col("suggested_parent").alias("name")),
-        ["owner_id", "wanted"],
-        ["seq"],
+        aimed.where("fresh").select("owner_id", "wanted", "seq", F.col("suggested_parent").alias("name")), ["owner_id", "wanted"], ["seq"]
     )
-    new_id = stable_id(kind, F.col("owner_id"), F.lit("root"), F.col("wanted"))
-    roots = fresh.withColumns({"id": new_id, "parent_id": F.lit(None).cast(kind), "content": F.lit("")})
+
+    def root_id(wanted: Column) -> Column:
+        return stable_id(kind, F.col("owner_id"), F.lit("root"), wanted)
+
+    roots = fresh.withColumns({"id": root_id(F.col("wanted")), "parent_id": F.lit(None).cast(kind), "content": F.lit("")})
     root_rows = append_order(nodes, roots, with_deleted=True, hot_rows=hot_rows)
 
-    target = roots.select("owner_id", "wanted", F.col("id").alias("_new"))
-    aimed = asked.join(target, ["owner_id", "wanted"], "left").withColumn("parent_id", F.coalesce("_match", "_new"))
-    aimed = aimed.select("seq", "owner_id", "parent_id", "name", "content")
-    named = resolve_names(nodes, aimed, hot_rows=hot_rows)
-    good = named.where(F.col("final_name").isNotNull()).withColumn("name", F.col("final_name")).drop("final_name")
-    good = good.withColumn("id", stable_id(kind, F.col("owner_id"), F.col("parent_id"), F.col("name"), F.col("seq")))
-    child_rows = append_order(nodes, good, with_deleted=True, hot_rows=hot_rows)
+    above = aimed.select(F.col("seq").alias("_above"), F.col("id").alias("_made"))
+    aimed = aimed.withColumn("_above", F.get("chain", F.size("chain") - 1)).join(above, "_above", "left")
+    way = F.substring("key", 1, 1)
+    parent = F.when(way == "n", F.col("_match")).when(way == "r", root_id(F.expr("substring(key, 2)"))).otherwise(F.col("_made"))
+    good = aimed.where(~F.col("lost")).select("seq", "owner_id", parent.alias("parent_id"), "name", "content", "id", "chain")
+    named = kept(resolve_names(nodes, good, hot_rows=hot_rows), "named-suggestions")
+    unnamed = named.where(F.col("final_name").isNull())
+    below = named.select("seq", F.explode("chain").alias("_above")).join(unnamed.select(F.col("seq").alias("_above")), "_above", "left_semi")
+    orphaned = named.where(F.col("final_name").isNotNull()).join(below.select("seq"), "seq", "left_semi")
+    good = named.where(F.col("final_name").isNotNull()).join(below.select("seq"), "seq", "left_anti").withColumn("name", F.col("final_name"))
+    child_rows = append_order(nodes, good.drop("final_name", "chain"), with_deleted=True, hot_rows=hot_rows)
     columns = ["seq", "owner_id", "id", "parent_id", "name", "content", "sort_order"]
     inserts = root_rows.select(*columns).withColumn("is_new_root", F.lit(True)).unionByName(
         child_rows.select(*columns).withColumn("is_new_root", F.lit(False))
     )
-    skipped = named.where(F.col("final_name").isNull()).select("seq", "owner_id", "name", F.lit("name_taken_twice").alias("reason"))
-    return inserts, skipped.unionByName(nameless.select("seq", "owner_id", "name", F.lit("no_parent_name").alias("reason")))
+
+    def skipped(rows: DataFrame, reason: Column) -> DataFrame:
+        return rows.select("seq", "owner_id", "name", reason.alias("reason"))
+
+    twice = F.lit("name_taken_twice")
+    lost = skipped(aimed.where("lost"), twice).unionByName(skipped(unnamed, twice)).unionByName(skipped(orphaned, F.lit("parent_skipped")))
+    return inserts, lost.unionByName(skipped(nameless, F.when(F.col("name").isNull(), F.lit("no_name")).otherwise(F.lit("no_parent_name"))))
 
 
 def place_extracted_nodes(

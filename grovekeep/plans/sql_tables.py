@@ -175,42 +175,67 @@ TABLES["named_nodes"] = """
 TABLES["suggestions"] = """
     SELECT p_partkey AS seq, p_brand AS owner_id, 's' || (p_partkey % 3) AS name,
            CASE p_partkey % 5 WHEN 0 THEN 'all about ' || p_name || ' 3 and more' WHEN 1 THEN upper(split_part(p_name, ' ', 1))
-                WHEN 2 THEN 'topic ' || (p_partkey % 3) WHEN 3 THEN split_part(p_name, ' ', -1) ELSE '' END AS suggested_parent
+                WHEN 2 THEN 'topic ' || (p_partkey % 3) WHEN 3 THEN split_part(p_name, ' ', -1)
+                ELSE CASE WHEN p_partkey % 10 = 9 THEN 'About S' || (p_partkey % 3) || ' here' ELSE '' END END AS suggested_parent,
+           p_partkey // 200 AS response
     FROM part"""
 TABLES["matches"] = """
     SELECT s.owner_id, s.wanted, arg_min(n.id, (n.parent_id IS NOT NULL)::BIGINT * 1000000000000 + n.id) AS parent_id,
            min((n.parent_id IS NOT NULL)::BIGINT) = 0 AS is_root
-    FROM (SELECT DISTINCT owner_id, lower(suggested_parent) AS wanted FROM suggestions WHERE suggested_parent <> '') s
+    FROM (SELECT DISTINCT owner_id, lower(suggested_parent) AS wanted FROM suggestions) s
     JOIN (SELECT * FROM named_nodes WHERE NOT is_deleted) n
       ON n.owner_id = s.owner_id AND (contains(lower(n.name), s.wanted) OR contains(s.wanted, lower(n.name)))
     GROUP BY ALL"""
-TABLES["aimed"] = """
-    SELECT s.seq, s.owner_id, s.name, s.suggested_parent, lower(s.suggested_parent) AS wanted, m.parent_id AS found,
-           coalesce('node ' || m.parent_id, 'new ' || lower(s.suggested_parent)) AS target
-    FROM suggestions s LEFT JOIN matches m ON m.owner_id = s.owner_id AND m.wanted = lower(s.suggested_parent)
-    WHERE s.suggested_parent <> ''"""
+TABLES["asked"] = """
+    SELECT s.*, lower(s.suggested_parent) AS wanted, m.parent_id AS found, coalesce(m.is_root, FALSE) AS in_root,
+           row_number() OVER (PARTITION BY s.owner_id, response ORDER BY seq) AS rn
+    FROM suggestions s LEFT JOIN matches m ON m.owner_id = s.owner_id AND m.wanted = lower(s.suggested_parent)"""
+# One suggestion of every response after another, with the list of what the response has made.
+_MADE = "STRUCT(label VARCHAR, root BOOLEAN, key VARCHAR, parent VARCHAR, name VARCHAR, chain BIGINT[])[]"
+_FITS = "list_filter(p.made, lambda m: contains(m.label, a.wanted) OR contains(a.wanted, m.label))"
+_SUFFIXED = f"name || {quote(V.DUPLICATE_NAME_SUFFIX)}"
+TABLES["aiming"] = f"""
+    SELECT DISTINCT owner_id, response, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS name, NULL::VARCHAR AS wanted, NULL::VARCHAR AS suggested_parent,
+           NULL::BIGINT AS found, NULL::VARCHAR AS target, NULL::BIGINT[] AS chain, FALSE AS fresh, NULL::VARCHAR AS own, []::{_MADE} AS made
+    FROM suggestions
+    UNION ALL
+    SELECT owner_id, response, rn, seq, name, wanted, suggested_parent, found, target, chain, fresh, own,
+           made || CASE WHEN fresh THEN [(wanted, TRUE, target, '', suggested_parent, []::BIGINT[])]::{_MADE} ELSE []::{_MADE} END
+                || CASE WHEN own IS NOT NULL THEN [(lower(own), FALSE, 'i' || seq, target, own, chain || [seq])]::{_MADE} ELSE []::{_MADE} END
+    FROM (SELECT *, CASE WHEN NOT list_contains(names, name) THEN name WHEN NOT list_contains(names, {_SUFFIXED}) THEN {_SUFFIXED} END AS own
+      FROM (SELECT *, list_transform(list_filter(made, lambda m: m.parent = target), lambda m: m.name) AS names
+        FROM (SELECT *, coalesce(place.key, CASE WHEN found IS NOT NULL THEN 'n' || found ELSE 'r' || wanted END) AS target,
+                     coalesce(place.chain, []::BIGINT[]) AS chain, place IS NULL AND found IS NULL AS fresh
+          FROM (SELECT a.owner_id, a.response, a.rn, a.seq, a.name, a.wanted, a.suggested_parent, a.found, p.made,
+                       CASE WHEN in_root THEN NULL WHEN len(list_filter({_FITS}, lambda m: m.root)) > 0 THEN list_filter({_FITS}, lambda m: m.root)[1]
+                            WHEN a.found IS NULL THEN ({_FITS})[1] END AS place
+                FROM aiming p JOIN asked a ON a.owner_id = p.owner_id AND a.response = p.response AND a.rn = p.rn + 1))))"""
+TABLES["aimed"] = "SELECT * FROM aiming WHERE rn > 0"
+TABLES["ranked"] = """
+    SELECT *, row_number() OVER (PARTITION BY owner_id, target, name ORDER BY seq) AS nth FROM aimed WHERE own IS NOT NULL"""
 TABLES["named"] = f"""
-    SELECT *, CASE nth WHEN 1 THEN name WHEN 2 THEN name || {quote(V.DUPLICATE_NAME_SUFFIX)} END AS final_name
-    FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, target, name ORDER BY seq) AS nth FROM aimed)"""
+    SELECT *, nth > 2 AS unnamed, list_has_any(chain, (SELECT coalesce(list(seq), []) FROM ranked WHERE nth > 2)) AS orphaned,
+           CASE nth WHEN 1 THEN name WHEN 2 THEN {_SUFFIXED} END AS final_name FROM ranked"""
 TABLES["named_next"] = """
     SELECT owner_id, parent_id, max(sort_order) + 1 AS next_order FROM named_nodes GROUP BY ALL"""
 TABLES["new_roots"] = """
     SELECT f.seq, f.owner_id, f.name,
            coalesce(n.next_order, 0) + row_number() OVER (PARTITION BY f.owner_id ORDER BY f.seq) - 1 AS sort_order
-    FROM (SELECT owner_id, wanted, min(seq) AS seq, arg_min(suggested_parent, seq) AS name
-          FROM aimed WHERE found IS NULL GROUP BY ALL) f
+    FROM (SELECT owner_id, wanted, min(seq) AS seq, arg_min(suggested_parent, seq) AS name FROM aimed WHERE fresh GROUP BY ALL) f
     LEFT JOIN named_next n ON n.owner_id = f.owner_id AND n.parent_id IS NULL"""
 TABLES["placed"] = """
     SELECT seq, owner_id, name, sort_order, TRUE AS is_new_root, 'ok' AS reason FROM new_roots
     UNION ALL
     SELECT d.seq, d.owner_id, d.final_name,
            coalesce(n.next_order, 0) + row_number() OVER (PARTITION BY d.owner_id, d.target ORDER BY d.seq) - 1, FALSE, 'ok'
-    FROM (SELECT * FROM named WHERE final_name IS NOT NULL) d
-    LEFT JOIN named_next n ON n.owner_id = d.owner_id AND n.parent_id = d.found
+    FROM (SELECT * FROM named WHERE NOT unnamed AND NOT orphaned) d
+    LEFT JOIN named_next n ON n.owner_id = d.owner_id AND 'n' || n.parent_id = d.target
+    UNION ALL
+    SELECT seq, owner_id, name, NULL, FALSE, 'name_taken_twice' FROM named WHERE unnamed
     UNION ALL
-    SELECT seq, owner_id, name, NULL, FALSE, 'name_taken_twice' FROM named WHERE final_name IS NULL
+    SELECT seq, owner_id, name, NULL, FALSE, 'parent_skipped' FROM named WHERE orphaned AND NOT unnamed
     UNION ALL
-    SELECT seq, owner_id, name, NULL, FALSE, 'no_parent_name' FROM suggestions WHERE suggested_parent = ''"""
+    SELECT seq, owner_id, name, NULL, FALSE, 'name_taken_twice' FROM aimed WHERE own IS NULL"""
 TABLES["node_stats"] = f"""
     SELECT d.owner_id, d.id, d.name, {half_even("d.mastery", 4)} AS mastery_score, {half_even("d.stability", 4)} AS stability,
            {half_even("d.difficulty", 4)} AS difficulty, d.review_count, d.review_state, coalesce(q.n, 0) AS question_count

@@ -267,7 +267,7 @@ def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated nodes naming a parent that is longer, shorter, absent or empty."""
+    """Generated nodes naming a parent that is longer, shorter, absent, empty, or made by the same response."""
     p = read(spark, sf_dir, "part")
     n = F.col("p_partkey")
     kind = F.pmod(n, F.lit(5))
@@ -276,6 +276,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.upper(F.substring_index("p_name", " ", 1)))
         .when(kind == 2, F.concat(F.lit("topic "), F.pmod(n, F.lit(3))))
         .when(kind == 3, F.substring_index("p_name", " ", -1))
+        .when(F.pmod(n, F.lit(10)) == 9, F.concat(F.lit("About S"), F.pmod(n, F.lit(3)), F.lit(" here")))
         .otherwise(F.lit(""))
     )
     return p.select(
@@ -284,6 +285,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), F.pmod(n, F.lit(3))).alias("name"),
         F.col("p_type").alias("content"),
         parent.alias("suggested_parent"),
+        F.floor(n / 200).alias("response_id"),
     )
 
 

@@ -2,6 +2,8 @@ from datetime import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from grovekeep.functions.fixed_values import DUPLICATE_NAME_SUFFIX as SUFFIX
 from grovekeep.operators import hierarchy as H
 from grovekeep.operators import restructure as S
@@ -116,13 +118,33 @@ def test_name_clashes_get_a_suffix_once(spark, forest, hot_rows):
                                         "seq long, owner_id string, name string, content string, suggested_parent string")
     made, skipped = S.place_generated_nodes(nodes, suggestions, hot_rows=hot_rows)
     placed = rows(made.where("not is_new_root"), "seq", "name")
-    assert placed == sorted([(1, "a" + SUFFIX), (4, "c"), (5, "c" + SUFFIX), (8, "p"), (9, "q")], key=repr)
+    assert placed == sorted([(1, "a" + SUFFIX), (4, "c"), (5, "c" + SUFFIX), (7, "x"), (8, "p"), (9, "q")], key=repr)
     assert rows(made.where("is_new_root"), "name", "parent_id") == [("Poetry", None)]
     assert rows(skipped, "seq", "reason") == sorted([(2, "name_taken_twice"), (3, "name_taken_twice"), (6, "name_taken_twice"),
-                                                     (7, "no_parent_name"), (10, "name_taken_twice")], key=repr)
+                                                     (10, "name_taken_twice")], key=repr)
     root = made.where("is_new_root").first().id
     assert {r.parent_id for r in made.where("seq in (8, 9) and not is_new_root").collect()} == {root}
-    assert S.placement_summary(made, skipped).first()[1:] == (6, 5)
+    assert S.placement_summary(made, skipped).first()[1:] == (7, 4)
+
+
+def test_responses_see_what_they_have_made(spark, forest):
+    nodes = forest((1, None, {"name": "Math"}), (2, 1, {"name": "Algebra"}), (3, 2, {"name": "Rings"}))
+    asked = [
+        (1, 1, "Groups", "algebra"), (2, 1, "Lie groups", "groups"), (3, 1, "SU(2)", "Lie groups"), (4, 1, "Verse", "Poetry"), (5, 1, "Ode", "poetry"),
+        (6, 1, "Odes", "Ode"), (7, 2, "Sonnet", "POETRY"), (8, 2, "x", "Groups"), (9, 2, "Groups", "Algebra"), (10, 3, "Groups", "algebra"),
+        (11, 3, "Deep", "groups"), (12, 3, "Rings", "Math"), (13, 3, "y", "rings"), (14, 3, None, "Math"), (15, 3, "z", None), (16, 3, "w", ""),
+    ]
+    columns = "seq long, response_id int, name string, suggested_parent string"
+    suggestions = spark.createDataFrame(asked, columns).withColumns({"owner_id": F.lit("o"), "content": F.lit("")})
+    made, skipped = S.place_generated_nodes(nodes, suggestions)
+    made = made.collect()
+    names = {r.id: r.name for r in made} | {1: "Math", 2: "Algebra", 3: "Rings"}
+    # The root "Groups" is a new one, which response 2 makes as its snapshot has no such node.
+    assert sorted((r.seq, r.name, names.get(r.parent_id)) for r in made if not r.is_new_root) == [
+        (1, "Groups", "Algebra"), (2, "Lie groups", "Groups"), (3, "SU(2)", "Groups"), (4, "Verse", "Poetry"), (5, "Ode", "Poetry"), (6, "Odes", "Ode"),
+        (7, "Sonnet", "Poetry"), (8, "x", "Groups"), (9, "Groups" + SUFFIX, "Algebra"), (12, "Rings", "Math"), (13, "y", "Rings"), (16, "w", "Math")]
+    assert sorted((r.name, r.seq) for r in made if r.is_new_root) == [("Groups", 8), ("Poetry", 4)]
+    assert rows(skipped, "seq", "reason") == sorted([(10, "name_taken_twice"), (11, "parent_skipped"), (14, "no_name"), (15, "no_parent_name")], key=repr)
 
 
 def test_upsert_and_insert_ignore(spark):
