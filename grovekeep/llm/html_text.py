@@ -2,7 +2,7 @@
 
 The page becomes a tree.  Parts that are never article text (menus, headers,
 footers, side columns, notices, adverts, forms, scripts, reader comments) are
-cut by element and role, and by whole class tokens and ids, unless what is so named
+cut by element and role, and by whole class tokens and ids or one unmistakable part of them, unless what is so named
 holds the article, is a section of it under a heading, or is most of a page
 without an article.  Every block of text then passes points for its
 length and commas to its ancestors, less the further up they are, and each
@@ -14,6 +14,7 @@ kept; a container inside an article stands for the whole article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -46,37 +47,52 @@ CLUTTER = re.compile(
     r"ads?|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|sidenav|"
     r"rail|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|"
     r"discussions?|social|share|sharing|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscriptions?|signup|login|widgets?|toolbar|"
-    r"pagination|pager|skiplink|copyright|disclaimer"
+    r"pagination|pager|skiplink|copyright|disclaimer|outbrain|taboola|mostpopular|mostread|latestnews|siteinfo|authorbio|trendingnow"
 )
 BESIDE = re.compile(
     r"site|page|main|global|top|bottom|left|right|primary|secondary|inner|outer|wrapper|wrap|container|box|bar|list|items?|section|area|block|"
     r"links?|buttons?|icons?|slot|unit|mobile|desktop|sticky|fixed|form|toggle|panel|group|col|column|title|posts?|entry|article|articles|"
-    r"stories|google|dfp|js|id|\d+(?:x\d+)?|"
+    r"stories|google|dfp|js|id|users?|readers?|visitors?|guests?|blog|wp|fb|facebook|threads?|law|info|legal|in|mid|mpu|leaderboard|cta|email|kit|"
+    r"\d+(?:x\d+)?|"
 )
 # What others say or sell: never a section of the article, whatever its heading.
-FOREIGN = re.compile(r"ads?|adv|adsense|adbox|cookies?|gdpr|comments?|commentlist|disqus|reply|replies|respond|newsletter|signup|popup")
-HALVES = re.compile(r"\b(pop|sign|side|skip)[-_](up|bar|link)\b")
+FOREIGN = re.compile(r"ads?|adv|adsense|adbox|cookies?|gdpr|comments?|commentlist|disqus|reply|replies|respond|newsletter|signup|popup|outbrain|taboola")
+HALVES = re.compile(
+    r"(?<![^-_])(?:(pop|sign|side|skip)[-_](up|bar|link)|(most)[-_](popular|read)|(latest)[-_](news)|(site)[-_](info)|(author)[-_](bio)|(trending)[-_](now))(?![^-_])"
+)
+# One such part is enough beside any other, but for those that say what a page has, lacks or allows.
+UNMISTAKABLE = re.compile(r"advert\w*|adsense|comments|commentlist|disqus|cookies?|newsletter|promos?|signup|outbrain|taboola|sponsored")
+MODIFIERS = frozenset("has have no non not with without is are show shown hide hidden open opened closed enabled disabled allow allowed free before after".split())
 CUT_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 @lru_cache(1 << 16)
-def clutter(token: str) -> tuple[str, ...]:
-    """The parts of a class token or id that name clutter; none if any part says something else, as in has-sidebar or notice-period."""
-    parts = re.split("[-_]+", HALVES.sub(r"\1\2", token.lower()))
+def clutter(token: str) -> tuple[tuple[str, ...], bool]:
+    """The parts of a class token or id that name clutter, and whether no part says something else.
+
+    If one does, as in has-sidebar or notice-period, only unmistakable parts count, and none beside a modifier.
+    """
+    parts = re.split("[-_]+", HALVES.sub(lambda m: "".join(g for g in m.groups() if g), token.lower()))
     named = tuple(p for p in parts if CLUTTER.fullmatch(p))
-    return named if all(p in named or BESIDE.fullmatch(p) for p in parts) else ()
+    if all(p in named or BESIDE.fullmatch(p) for p in parts):
+        return named, True
+    return (() if MODIFIERS.intersection(parts) else tuple(p for p in parts if UNMISTAKABLE.fullmatch(p))), False
 
 
 class Node:
-    __slots__ = ("children", "cut", "doubt", "link_text", "name", "parent", "points", "text")
+    __slots__ = ("children", "cut", "doubt", "heading", "link_text", "name", "paragraph", "paragraphs", "parent", "points", "text")
 
     def __init__(self, name: str, parent: Node | None, cut: bool) -> None:
         self.name, self.parent, self.cut = name, parent, cut
         self.children: list[Node | str] = []
         self.points, self.text, self.link_text = 0.0, 0, 0
+        # Characters of paragraphs below it, and the place of its first heading among all blocks.
+        self.paragraphs, self.heading = 0, -1
+        # The open paragraph that a block here would end.
+        self.paragraph: Node | None = self if name == "p" else None if parent is None or name in WALLS else parent.paragraph
         # Names of clutter in its class tokens and its id, each with the token; settled once the whole tree is known.
-        self.doubt: list[tuple[str, tuple[str, ...]]] = []
+        self.doubt: list[tuple[str, tuple[str, ...], bool]] = []
 
 
 class Tree(HTMLParser):
@@ -86,24 +102,27 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None, False)
         self.at = self.root
-        self.doubtful: list[Node] = []
+        self.doubtful = False
+        # How many elements of each name are open.
+        self.open: Counter[str] = Counter()
+
+    def _end(self, last: Node) -> None:
+        while self.at is not last:
+            self.open[self.at.name] -= 1
+            self.at = self.at.parent
+        self.open[last.name] -= 1
+        self.at = last.parent
 
     def _close(self, names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
+        if not any(self.open[name] for name in names):
+            return
         node = self.at
         while node.parent is not None and node.name not in walls:
             if node.name in names:
-                self.at = node.parent
+                self._end(node)
                 return
             node = node.parent
 
-    def _inside(self, *names: str) -> bool:
-        node = self.at
-        while node is not None:
-            if node.name in names:
-                return True
-            node = node.parent
-        return False
-
     def _is_cut(self, name: str, attrs: dict[str, str | None]) -> bool:
         if name in ("html", "body", "main", "article"):
             return False
@@ -111,28 +130,30 @@ class Tree(HTMLParser):
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or ""):
             return True
-        return name == "header" and not self._inside("article", "main")
+        return name == "header" and not (self.open["article"] or self.open["main"])
 
-    def _doubt(self, name: str, attrs: dict[str, str | None]) -> list[tuple[str, tuple[str, ...]]]:
+    def _doubt(self, name: str, attrs: dict[str, str | None]) -> list[tuple[str, tuple[str, ...], bool]]:
         if name in ("html", "body", "header") or name in HEADINGS:
             return []
         tokens = [*(attrs.get("class") or "").split(), (attrs.get("id") or "").strip()]
-        return [(t, named) for t in tokens if t and (named := clutter(t))]
+        return [(t, *found) for t in tokens if t and (found := clutter(t))[0]]
 
     def handle_starttag(self, name: str, attributes: list[tuple[str, str | None]]) -> None:
         if name in ENDS:
             self._close(*ENDS[name])
         if name in BLOCKS:
-            self._close({"p"}, WALLS)
+            if self.at.paragraph is not None:
+                self._end(self.at.paragraph)
             if name in HEADINGS:
                 self._close(HEADINGS, WALLS | {"div", "li"})
         attrs = dict(attributes)
         node = Node(name, self.at, self.at.cut or self._is_cut(name, attrs))
         if not node.cut and (doubt := self._doubt(name, attrs)):
             node.doubt = doubt
-            self.doubtful.append(node)
+            self.doubtful = True
         self.at.children.append(node)
         if name not in VOID:
+            self.open[name] += 1
             self.at = node
 
     def handle_startendtag(self, name: str, attributes: list[tuple[str, str | None]]) -> None:
@@ -211,32 +232,55 @@ def _above(node: Node) -> Iterator[Node]:
         yield node
 
 
-def _settle(root: Node, doubtful: list[Node]) -> None:
-    """Cut what is named as clutter, except what holds the article, is a section of it, or is most of the page."""
+def _settle(root: Node) -> None:
+    """Cut what is named as clutter, except what holds the article, is a section of it, or is most of the page.
+
+    Sums for all nodes are made in one pass, so boxes in boxes take no longer than boxes side by side.
+    """
     _measure(root)
+    blocks = blocks_of(root)
+    for place, (owner, text) in enumerate(blocks):
+        if owner.name not in HEADINGS:
+            owner.paragraphs += len(text)
+        elif owner.heading < 0:
+            owner.heading = place
+    for node in reversed(list(_nodes(root))):
+        above = node.parent
+        if above is not None:
+            above.paragraphs += node.paragraphs
+            if node.heading >= 0 and (above.heading < 0 or node.heading < above.heading):
+                above.heading = node.heading
     bodies = [n for n in _nodes(root) if n.name in ("article", "main")]
     body = max(bodies, key=lambda n: n.text - n.link_text, default=None)
     holders = {id(n) for n in (body, *_above(body))} if body is not None else set()
-    for node in doubtful:
-        if id(node) in holders or any(n.cut for n in _above(node)):
-            continue
-        inside = any(n.name in ("article", "main") for n in _above(node))
-        doubt = [(t, named) for t, named in node.doubt if not (inside and set(named) <= {"header", "masthead", "banner"})]
-        if doubt and not any(FOREIGN.fullmatch(n) for _, named in doubt for n in named):
-            blocks = blocks_of(node)
-            paragraphs = sum(len(text) for owner, text in blocks if owner.name not in HEADINGS)
-            if node.link_text > 0.25 * paragraphs:
-                paragraphs = 0
-            heading = next((text for owner, text in blocks if owner.name in HEADINGS), "")
-            if (inside or not bodies) and paragraphs and all(_slug(heading) == _slug(t) or (node.name == "section" and heading) for t, _ in doubt):
-                continue
-            if not bodies and paragraphs >= 200 and 2 * (node.text - node.link_text) > root.text - root.link_text:
-                continue
-        node.cut = bool(doubt)
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node.doubt and id(node) not in holders:
+            node.cut = _unwanted(node, inside, bodies, body if body is not None else root, blocks)
+        if not node.cut:
+            inside = inside or node.name in ("article", "main")
+            stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node) and not c.cut)
     for node in _nodes(root):
         node.text = node.link_text = 0
 
 
+def _unwanted(node: Node, inside: bool, bodies: list[Node], body: Node, blocks: list[tuple[Node, str]]) -> bool:
+    """Whether a node named as clutter is such; ``inside`` an article or not."""
+    doubt = [d for d in node.doubt if not (inside and set(d[1]) <= {"header", "masthead", "banner"})]
+    if not doubt or any(sure and FOREIGN.fullmatch(n) for _, named, sure in doubt for n in named):
+        return bool(doubt)
+    # Text of inline elements is no block of their own.
+    paragraphs = node.paragraphs if node.name in BLOCKS else node.text
+    if node.link_text > 0.25 * paragraphs:
+        paragraphs = 0
+    heading = blocks[node.heading][1] if node.heading >= 0 else ""
+    if (inside or not bodies) and paragraphs and all(_slug(heading) == _slug(t) or (node.name == "section" and heading and sure) for t, _, sure in doubt):
+        return False
+    most = paragraphs >= 200 and 2 * (node.text - node.link_text) > body.text - body.link_text
+    return not (most and (not bodies or (inside and not any(sure for _, _, sure in doubt))))
+
+
 def _reads(node: Node) -> bool:
     """Whether there is a paragraph below ``node``: a long one, or a sentence."""
     return any(
@@ -257,7 +301,7 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     if tree.doubtful:
-        _settle(tree.root, tree.doubtful)
+        _settle(tree.root)
     _measure(tree.root)
     scored: dict[int, Node] = {}
     for owner, text in blocks_of(tree.root):

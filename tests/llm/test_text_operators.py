@@ -1,6 +1,7 @@
 """Operators on single texts: extraction, classifiers, fingerprints, token counts."""
 
 import hashlib
+import time
 import zlib
 
 import pytest
@@ -91,6 +92,34 @@ def test_clutter_goes(part):
     assert "Gone" not in html_text.main_text(f"<div>{LONG}{part}</div>")
 
 
+@pytest.mark.parametrize("name", [
+    "user-comments", "reader-comments", "blog-comments", "wp-comments", "fb-comments", "comment-thread", "cookie-law-info", "legal-notice",
+    "in-article-promo", "mid-article-ad", "advert-mpu", "leaderboard-ad", "newsletter-cta", "email-signup", "user-login-form", "social-share-kit",
+    "most-popular", "outbrain", "taboola", "latest-news", "author-bio", "site-info", "story-comments-v2", "weekly_newsletter_teaser",
+])
+def test_compound_names_of_clutter_go(name):
+    part = f"<div class='{name}'><p>Gone, all of it, word for word, to the last.</p></div>"
+    for around in ("article", "div"):
+        text = html_text.main_text(f"<body><{around}><h1>T</h1>{LONG}{part}{LONG}</{around}></body>")
+        assert "Gone" not in text and text.count("The first paragraph") == 16
+
+
+@pytest.mark.parametrize("name", ["has-comments", "comments-open", "cookies-enabled", "ad-free-text", "no-newsletter"])
+def test_modifiers_are_no_clutter(name):
+    text = html_text.main_text(f"<body><article>{LONG}<div class='{name}'><p>Kept, with its words.</p></div></article></body>")
+    assert text.endswith("Kept, with its words.")
+
+
+@pytest.mark.parametrize("tags", ["<div class='widget'>", "<div>", "<span class='widget'>", "<section class='promo-zone'>"])
+def test_deep_pages_take_linear_time(tags):
+    """Doubling the depth of 50,000 boxes would take four times as long if any box looked at all those above or below it."""
+    depth, name = 50_000, tags[1:].split()[0].strip(">")
+    page = tags * depth + LONG + f"</{name}>" * depth + "</i>" * depth
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 20
+
+
 def test_short_sibling_keeps_its_paragraphs():
     text = html_text.main_text(f"<div><div>{LONG * 3}</div><div><p>A short one.</p></div><div><a href='x'>Gone</a></div></div>")
     assert text.endswith("A short one.")
