@@ -77,7 +77,7 @@ def test_parent_match_equals_checking_every_pair(spark, seed):
     want = {}
     for owner, name in asked:
         low = name.lower()
-        fits = [(p is not None, i) for i, o, p, n, gone in nodes if o == owner and not gone and low and (low in n.lower() or n.lower() in low)]
+        fits = [(p is not None, i) for i, o, p, n, gone in nodes if o == owner and not gone and (low in n.lower() or n.lower() in low)]
         if fits:
             want[owner, low] = min(fits)[1]
     assert {(r.owner_id, r.wanted): r.parent_id for r in got.collect()} == want
