@@ -144,6 +144,48 @@ def _double(state, step, sums, trails, totals, height) -> DataFrame:
     return moved.unionByName(base.where(F.col("jump").isNull()))
 
 
+def below_marked(links: DataFrame) -> DataFrame:
+    """ids of ``links(id, up, marked)`` whose walk upward, itself included, meets a marked row.
+
+    Pointer doubling with a flag, so a row stays as narrow on a cycle as on a path.  A row that has met a mark
+    goes no further.  A round that closes no row proves that no mark is left to meet: if a row met one only in
+    a later round, the row one jump ahead of it would have met it now, and so would the row itself.
+    """
+    state = links.select("id", F.when(~F.col("marked"), F.col("up")).alias("jump"), "marked")
+    is_open = F.col("jump").isNotNull()
+    rounds = Rounds(links.sparkSession, "below-marked")
+    before = None
+    while True:
+        state, seen = rounds.write(state, open=F.count_if(is_open))
+        left = seen.get("open", 0)
+        if left in (0, before):
+            return state.where("marked").select("id")
+        before = left
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("marked").alias("_marked"))
+        moved = state.where(is_open).join(ahead, "jump").select("id", F.col("_jump").alias("jump"), F.col("_marked").alias("marked"))
+        state = moved.unionByName(state.where(~is_open))
+
+
+def cycle_members(links: DataFrame) -> DataFrame:
+    """ids of ``links(id, up)`` that lie on a cycle; those that only lead to one are left out.
+
+    Each round keeps the rows that some row jumps to and whose own jump leads on, and jumps twice as far.  Rows of
+    a cycle always stay; when all rows stay, the jumps permute them, so all are on cycles.
+    """
+    state = links.where(F.col("up").isNotNull()).select("id", F.col("up").alias("jump"))
+    rounds = Rounds(links.sparkSession, "cycle-members")
+    before = None
+    while True:
+        state, seen = rounds.write(state, rows=F.count(F.lit(1)))
+        left = seen.get("rows", 0)
+        if left in (0, before):
+            return state.select("id")
+        before = left
+        met = state.select(F.col("jump").alias("id")).distinct()
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"))
+        state = state.join(met, "id", "left_semi").join(ahead, "jump").select("id", F.col("_jump").alias("jump"))
+
+
 def with_cycle_flag(climbed: DataFrame) -> DataFrame:
     return climbed.withColumn("in_cycle", F.col("root").isNull())
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.scalars import choose, stable_id, strip
 from ..scratch import keep, kept
-from .hierarchy import climb, display_order, live_nodes, parent_link
+from .hierarchy import below_marked, climb, cycle_members, display_order, live_nodes, parent_link
 from .keyed import HOT_ROWS, first_rows, last_rows, null_safe_join, rank_rows
 from .tagging import match_parent
 
@@ -118,20 +118,13 @@ def _known(requests: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
 def apply_cascade_delete(nodes: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes after soft-deleting ``deletes(owner_id, id)`` and all below them.
 
-    A node goes if any node on its path is asked for; counting those along the
-    path needs no closure.  In and below a cycle the walk upward is followed until it
-    has come round, so all nodes there go that reach an asked one.
+    A node goes if the walk upward from it meets one asked for; that needs no closure, and on a cycle, or below
+    one, the walk meets every node there is to meet.
     """
     valid, unknown = _known(deletes, nodes)
-    asked = valid.select("id").distinct().withColumn("_hit", F.lit(1).cast("bigint"))
-    links = parent_link(nodes).join(asked, "id", "left").fillna(0, ["_hit"])
-    climbed = climb(links, sums=("_hit",))
-    gone = climbed.where(F.col("root").isNotNull() & (F.col("_hit") > 0)).select("id")
-    endless = climbed.where(F.col("root").isNull()).select("id")
-    if not endless.isEmpty():
-        rounds = links.join(endless, "id", "left_semi").withColumn("trail", F.col("id"))
-        walked = climb(rounds, trails=("trail", "_hit"), wrap=True)
-        gone = gone.unionByName(walked.where(F.array_contains("_hit", 1)).select("id"))
+    asked = valid.select("id").distinct().withColumn("marked", F.lit(True))
+    links = parent_link(nodes).join(asked, "id", "left").fillna(False, ["marked"])
+    gone = below_marked(links)
     gone = gone.select("id", F.lit(True).alias("_gone"))
     after = nodes.join(gone, "id", "left")
     flag = F.coalesce("_gone", F.col("is_deleted"))
@@ -234,13 +227,6 @@ def move_conflicts(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     return _judge(nodes, moves).select(*moves.columns, "reason")
 
 
-def _joint_cycles(graph: DataFrame) -> DataFrame:
-    """Moves on a cycle, of ``graph(id, up)``: each mover's next mover upward."""
-    walked = climb(graph.withColumn("trail", F.col("id")), trails=("trail",), wrap=True).where(F.col("root").isNull())
-    met_again = F.size(F.filter("trail", lambda t: t == F.col("id"))) > 1
-    return walked.where(met_again).select("id", F.lit(True).alias("_cyclic"))
-
-
 def apply_moves(
     nodes: DataFrame, moves: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +254,8 @@ def apply_moves(
         movers = judged.where(F.coalesce(F.col("reason") != "node_not_found", F.lit(True)))
         graph = movers.select("id", F.when(F.col("reason").isNull(), F.col("ahead")).otherwise(F.col("above")).alias("up"))
         accepted = judged.where(F.col("reason").isNull())
-        cyclic, found = keep(_joint_cycles(graph).join(accepted, "id", "left_semi"), "joint-cycles", n=F.count(F.lit(1)))
+        cyclic = cycle_members(graph).join(accepted, "id", "left_semi").withColumn("_cyclic", F.lit(True))
+        cyclic, found = keep(cyclic, "joint-cycles", n=F.count(F.lit(1)))
         if not found.get("n"):
             break
         broken = F.when(F.col("_cyclic"), F.lit("joint_cycle")).otherwise(F.col("reason"))

@@ -503,6 +503,13 @@ def apply_cascade_delete(spark, d):
     return after.select("owner_id", "id", "is_deleted")
 
 
+@query
+def apply_cascade_delete_cyclic(spark, d):
+    n = X.cyclic_nodes(spark, d)
+    after, _ = restructure.apply_cascade_delete(n, X.labelled(spark, d, "quality", 0))
+    return after.select("owner_id", "id", "is_deleted")
+
+
 @query
 def apply_promote_delete(spark, d):
     n = X.nodes(spark, d)

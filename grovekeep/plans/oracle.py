@@ -231,6 +231,9 @@ sql("apply_content_updates", f"""
       ON u.owner_id = n.owner_id AND u.id = n.id""")
 sql("apply_cascade_delete", """
     SELECT owner_id, id, is_deleted OR id IN (SELECT descendant FROM members WHERE ancestor IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS is_deleted FROM nodes""")
+sql("apply_cascade_delete_cyclic", """
+    SELECT owner_id, id, is_deleted OR id IN (SELECT id FROM cyclic_reach WHERE met IN (SELECT doc_id FROM labels WHERE quality = 0)) AS is_deleted
+    FROM cyclic_nodes""")
 sql("apply_promote_delete", """
     SELECT n.owner_id, n.id, CASE WHEN p.id IS NULL THEN n.parent_id ELSE p.target END AS parent_id,
            CASE WHEN p.id IS NULL THEN n.sort_order ELSE p.sort_order END AS sort_order, n.is_deleted OR n.id IN (SELECT id FROM dropped) AS is_deleted

@@ -89,6 +89,10 @@ TABLES["cyclic_path"] = """
     UNION ALL
     SELECT p.owner_id, p.id, n.parent_id, list_prepend(n.id, p.path) FROM cyclic_path p JOIN cyclic_nodes n ON n.id = p.next
     WHERE NOT list_contains(p.path, n.id)"""
+TABLES["cyclic_reach"] = """
+    SELECT id, id AS met FROM cyclic_links
+    UNION
+    SELECT r.id, l.up FROM cyclic_reach r JOIN cyclic_links l ON l.id = r.met WHERE l.up IS NOT NULL"""
 TABLES["full_path"] = """
     SELECT owner_id, id, array_to_string(path, '/') AS path FROM path
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path) DESC) = 1"""

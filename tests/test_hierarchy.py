@@ -186,3 +186,33 @@ def test_leaf_weights(spark, forest):
 def test_learner_statistics_of_an_empty_log(spark):
     stats = spark.createDataFrame([], "owner_id string, id long, mastery_score double, stability double, review_count long")
     assert recall.learner_kpis(stats).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_on_cycles_by_brute_force(spark, seed):
+    """Any pointers, cycles included: who meets a marked row, and who is on a cycle."""
+    rng = random.Random(seed)
+    n = 60
+    up = {i: rng.randrange(n) if rng.random() < 0.95 else None for i in range(n)}
+    # One long cycle with a tail as long, whose only mark is far away.
+    up.update({i: n + (i - n + 1) % 40 for i in range(n, n + 40)} | {i: i - 1 for i in range(n + 40, n + 80)})
+    marked = {i for i in range(n) if rng.random() < 0.05} | {n + 20}
+
+    def walk(i):
+        seen = []
+        while i is not None and i not in seen:
+            seen.append(i)
+            i = up[i]
+        return seen, i
+
+    links = spark.createDataFrame([(i, p, i in marked) for i, p in up.items()], "id long, up long, marked boolean")
+    assert {r.id for r in H.below_marked(links).collect()} == {i for i in up if marked & set(walk(i)[0])}
+    assert {r.id for r in H.cycle_members(links).collect()} == {i for i in up if walk(i)[1] == i}
+
+
+def test_walks_without_rows_or_marks(spark):
+    none = spark.createDataFrame([], "id long, up long, marked boolean")
+    assert H.below_marked(none).count() == 0 and H.cycle_members(none).count() == 0
+    loop = spark.createDataFrame([(1, 2, False), (2, 1, False), (3, 3, False), (4, 3, False), (5, None, False)], none.schema)
+    assert H.below_marked(loop).count() == 0
+    assert rows(H.cycle_members(loop), "id") == [(1,), (2,), (3,)]
