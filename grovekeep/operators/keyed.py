@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 from ..scratch import kept
 
 HOT_ROWS = 1_000_000
+# A slice is a task: however few rows make a group hot, slices hold about so many, so that the tasks of a cut, each of
+# which reports to the driver, and the sample behind it stay few.
+SLICE_ROWS = 100_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -48,7 +51,7 @@ def sliced(df: DataFrame, by: list[str], order: list[Column], rows: int, per_sli
     The slices are written out, so every later reader sees the same cut.
     """
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(shuffles, -(-rows // per_slice))
+    n = max(shuffles, -(-rows // max(per_slice, SLICE_ROWS)))
     ranged = df.repartitionByRange(n, *by, *order)
     return kept(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 

@@ -216,3 +216,12 @@ def test_walks_without_rows_or_marks(spark):
     loop = spark.createDataFrame([(1, 2, False), (2, 1, False), (3, 3, False), (4, 3, False), (5, None, False)], none.schema)
     assert H.below_marked(loop).count() == 0
     assert rows(H.cycle_members(loop), "id") == [(1,), (2,), (3,)]
+
+
+def test_slices_do_not_grow_with_a_small_threshold(spark):
+    """Groups that count as hot from a few rows on are cut into as many slices as there are tasks, not rows."""
+    rows = spark.range(3000).select(F.lit("o").alias("owner_id"), "id")
+    cut = keyed.sliced(rows, ["owner_id"], [F.col("id")], 3000, 10)
+    assert cut.select("_slice").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = keyed.running_sums(rows, ["owner_id"], [F.col("id")], {"total": F.col("id")}, hot_rows=10).collect()
+    assert all(r.total == r.id * (r.id + 1) // 2 for r in sums)
