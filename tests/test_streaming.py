@@ -169,3 +169,18 @@ def test_a_key_is_taken_once_within_the_delay(spark, tmp_path):
     rows = [(1, "o", 1, 3, T0), (1, "o", 1, 3, T0 + timedelta(minutes=5)), (2, "o", 1, 3, T0)]
     stream = write_files(spark, tmp_path, [rows], closed=False)
     assert sorted(r.event_id for r in jobs.run_to_table(jobs.insert_ignore(stream, ["event_id"], "reviewed_at", "1 hour")).collect()) == [1, 2]
+
+
+def test_keys_of_a_bucket_share_its_state(spark, tmp_path):
+    """Many keys, some without an owner or an event id, in two buckets: as many timers and stored rows as buckets, not keys."""
+    rows = [(None if i % 9 == 0 else i + (1 << 60), None if i % 7 == 0 else f"o{i % 4}", i % 25, i % 4 + 1, T0 + timedelta(minutes=37 * i)) for i in range(120)]
+    stream = write_files(spark, tmp_path, [rows[:70], rows[70:]])
+    changes = jobs.run_keyed(jobs.recall_state_changes(stream, "1 hour", buckets=2))
+    folded = lambda df: {(r.owner_id, r.node_id, round(r.stability, 6), round(r.difficulty, 6), r.review_count, r.review_state, r.last_review_at) for r in df.collect()}
+    assert folded(jobs.current_states(changes)) == folded(recall.recall_state_fold(spark.createDataFrame(rows, LOG)))
+    assert changes.where("kind = 'state'").select("owner_id", "node_id").dtypes == [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame(rows, LOG).select("owner_id", "node_id").schema]
+    late = [(1 << 60, "o0", 1, 3, T0 - timedelta(days=9)), (None, None, 2, 3, T0 - timedelta(days=9))]
+    again = write_files(spark, tmp_path / "late", [rows[:70], rows[70:] + late])
+    changes = jobs.run_keyed(jobs.recall_state_changes(again, "1 hour", buckets=2))
+    got = {(r.event_id, r.owner_id, r.node_id) for r in jobs.late_reviews(changes).collect()}
+    assert got == {r[:3] for r in late}
