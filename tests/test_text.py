@@ -112,6 +112,14 @@ def many_hits(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_pieces_of_texts_are_not_shuffled(many_hits):
+    """A row per node and domain is dealt out, not one per keyword in a text and domain of it."""
+    nodes, rules = many_hits
+    hits = tagging.keyword_hits(nodes, rules)
+    assert sorted(map(tuple, hits.collect())) == sorted(("o", i, f"d{d}", d) for i in range(40) for d in range(5))
+    assert _shuffled_rows(hits) <= 2 * 40 * 5
+
+
 def test_tags_of_a_table_shuffle_a_row_per_node(many_hits):
     nodes, rules = many_hits
     tags = tagging.tag_by_table(nodes, rules)
